@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridix.llm import packing, simhash
+from veridix.llm import packing, simhash, suffix
 
-MODULES = [packing, simhash]
+MODULES = [packing, simhash, suffix]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
