@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridix.llm import packing, simhash, suffix
+from veridix.llm import decontam, packing, quality, simhash, suffix
 
-MODULES = [packing, simhash, suffix]
+MODULES = [packing, simhash, suffix, quality, decontam]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
