@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridix.llm import decontam, packing, quality, simhash, suffix, templates
+from veridix.llm import decontam, mixing, packing, quality, simhash, suffix, templates
 
-MODULES = [packing, simhash, suffix, quality, decontam, templates]
+MODULES = [packing, simhash, suffix, quality, decontam, templates, mixing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
