@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridix.llm import decontam, edits, mixing, mpeg, packing, quality, simhash, suffix, templates
+from veridix.llm import decontam, edits, htmltext, mixing, mpeg, packing, quality, simhash, suffix, templates
 
-MODULES = [packing, simhash, suffix, quality, decontam, templates, mixing, mpeg, edits]
+MODULES = [packing, simhash, suffix, quality, decontam, templates, mixing, mpeg, edits, htmltext]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
