@@ -1,2 +1,6 @@
-QUERIES = {}
-ORACLE = {}
+"""Queries by name and their SQL."""
+
+from veridix.plans.oracle import ORACLE
+from veridix.plans.queries import QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
