@@ -86,7 +86,7 @@ ORACLE["nearest_rank_latency"] = TRACES + """ SELECT event_type, count(*) AS n,
 TELE = """WITH t AS (SELECT user_id % 2 AS gpu, ts, json_extract_string(props, '$.k')::DOUBLE AS mem_mib, least(value, 100.0) AS util FROM events)"""
 ORACLE["gpu_summary"] = TELE + " SELECT gpu, count(*) AS n, round(max(mem_mib), 6) AS peak_mem_mib, round(max(util), 6) AS peak_util, round(avg(util), 6) AS mean_util FROM t GROUP BY 1"
 ORACLE["telemetry_in_run"] = TELE + """, d AS (SELECT DISTINCT date_trunc('day', ts)::TIMESTAMP AS day FROM t)
-SELECT strftime(day, '%Y-%m-%d') AS day, gpu, count(*) AS n, round(avg(util), 6) AS mean_util, round(max(epoch_us(ts::TIMESTAMP) - epoch_us(day + INTERVAL 6 HOUR)) / 1e6, 6) AS last_second FROM t JOIN d ON ts::TIMESTAMP BETWEEN day + INTERVAL 6 HOUR AND day + INTERVAL 9 HOUR GROUP BY 1, 2"""
+SELECT strftime(day, '%Y-%m-%d') AS day, gpu, count(*) AS n, round(avg(util), 9) AS mean_util, round(max(epoch_us(ts::TIMESTAMP) - epoch_us(day + INTERVAL 6 HOUR)) / 1e6, 6) AS last_second FROM t JOIN d ON ts::TIMESTAMP BETWEEN day + INTERVAL 6 HOUR AND day + INTERVAL 9 HOUR GROUP BY 1, 2"""
 ORACLE["prefetch_status"] = "SELECT CASE WHEN page_id % 5 = 0 THEN 'embedded' WHEN coalesce(url, '') = '' THEN 'missing' WHEN page_id % 3 = 0 THEN 'cached' ELSE 'failed' END AS status, count(*) AS n FROM pages GROUP BY 1"
 ORACLE["url_cache_keys"] = r"""WITH p AS (SELECT page_id, url, regexp_extract(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1), '(\.[A-Za-z0-9]+)$', 1) AS ext FROM pages)
 SELECT page_id, md5(url) || CASE WHEN ext = '' THEN '.jpg' ELSE ext END AS md5_key, sha256(url) || '.jpg' AS sha_key, regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+') AS is_url FROM pages JOIN p USING (page_id, url)"""

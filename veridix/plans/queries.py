@@ -174,7 +174,8 @@ def telemetry_in_run(spark, d):
     days = t.select(F.date_trunc("day", "ts").alias("day")).distinct()
     runs = days.select("day", (F.col("day") + F.expr("interval 6 hours")).alias("started"), (F.col("day") + F.expr("interval 9 hours")).alias("ended"))
     got = T.telemetry_in_runs(t, runs).groupBy("day", "gpu").agg(F.count("*").alias("n"), F.avg("util").alias("mean_util"), F.max("seconds").alias("last_second"))
-    return rounded(got.withColumn("day", F.date_format("day", "yyyy-MM-dd")))
+    # means of whole hundredths fall on ties at six digits
+    return got.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "gpu", "n", F.round("mean_util", 9).alias("mean_util"), r6("last_second").alias("last_second"))
 
 
 @query
