@@ -184,15 +184,17 @@ def site_rates(sites: DataFrame, levels: list[str]) -> DataFrame:
     rate = (whole["k"] + 1) / (whole["n"] + 2)
     out = base
     parent: Column = F.lit(rate)
+    above = (whole["k"] ** 2 / whole["n"] if whole["n"] else 0.0, 1)
     for i in range(len(levels)):
         keys = levels[: i + 1]
         level = base.groupBy(*keys).agg(F.sum("n").alias("ln"), F.sum("k").alias("lk"))
-        # between-site variance beyond what binomial noise gives
-        m = level.where("ln > 1").agg(F.sum("ln").alias("n"), F.sum(F.col("ln") * F.pow(F.col("lk") / F.col("ln") - rate, 2)).alias("v"), F.count("*").alias("s")).first()
+        # spread of the sites about their parents beyond what binomial noise gives: sums of k * k / n by level
+        m = level.where("ln > 0").agg(F.sum("ln").alias("n"), F.sum(F.col("lk") * F.col("lk") / F.col("ln")).alias("a"), F.count("*").alias("s")).first()
         icc = 0.0
-        if m["s"] and m["s"] > 1:
+        if m["s"]:
             within = rate * (1 - rate)
-            icc = (m["v"] / m["n"] - within * m["s"] / m["n"]) / within
+            icc = ((m["a"] - above[0]) - within * (m["s"] - above[1])) / m["n"] / within
+            above = (m["a"], m["s"])
         strength = (1 - icc) / icc if icc > 1e-4 else 1e4
         out = out.join(level.select(*[F.col(c).alias(f"__{c}") for c in keys], "ln", "lk"), [out[c].eqNullSafe(F.col(f"__{c}")) for c in keys], "left").drop(*[f"__{c}" for c in keys])
         out = out.withColumn(f"rate_{i}", (F.coalesce("lk", F.lit(0.0)) + parent * F.lit(strength)) / (F.coalesce("ln", F.lit(0)) + F.lit(strength))).drop("ln", "lk")
