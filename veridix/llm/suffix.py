@@ -29,13 +29,12 @@ CHUNK = 1 << 20
 MAP_BITS = 25
 
 
-def _rank(keys: list[np.ndarray]) -> np.ndarray:
-    """Dense ranks by the keys, first key first."""
-    order = np.lexsort(keys[::-1])
+def _rank(key: np.ndarray) -> np.ndarray:
+    """Dense ranks."""
+    order = np.argsort(key)
+    s = key[order]
     new = np.zeros(len(order), bool)
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
+    new[1:] = s[1:] != s[:-1]
     out = np.empty(len(order), np.int64)
     out[order] = np.cumsum(new)
     return out
@@ -77,11 +76,11 @@ def _sort_small(t: np.ndarray, small: np.ndarray) -> np.ndarray:
             at = np.minimum(pos[live] + k, n - 1)
             word = (word << np.uint64(10)) | np.where(ok, sym[at] + np.uint64(1), np.uint64(0))
         if done == 0:
-            name = _rank([word])
+            name = _rank(word)
         else:  # refine the names of the long ones; the finished ones of a name sort first
             full = np.zeros(m, np.uint64)
-            full[live] = word
-            name = _rank([name, full])
+            full[live] = _rank(word) + 1
+            name = _rank(name * (m + 1) + full.astype(np.int64))
         done += 6
         live = live[size[live] > done]
         if len(live):
@@ -91,7 +90,7 @@ def _sort_small(t: np.ndarray, small: np.ndarray) -> np.ndarray:
     while name.max() + 1 < m:
         nxt_name = np.zeros(m, np.int64)
         nxt_name[:-step] = name[step:] + 1
-        name = _rank([name, nxt_name])
+        name = _rank(name * (m + 1) + nxt_name)
         step *= 2
         if step >= m:
             break
@@ -196,23 +195,25 @@ def longest_matches(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(a: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of one text's bytes: anchor hashes, the first and last window start that select each, and hashes of the
-    pieces that those windows cover.
+    """Of one text's bytes: anchor hashes, the first and last window start that select each, hashes of the pieces
+    that those windows cover, and whether a piece has several places of its anchor.
 
     Ties go to the last gram; the tie rule looks at the window alone, so equal windows agree.
     """
     n = len(a)
     if n < length:
         z = np.zeros(0, np.int64)
-        return z, z, z, z
+        return z, z, z, z, z > 0
     sums = prefix_sums(a)
     i = np.arange(n - gram + 1)
     h = span_hash(sums, i, i + gram)
     at = _window_minima(h, length - gram + 1)
     change = np.flatnonzero(np.diff(at)) + 1
+    chosen = h[at]
+    change = change[chosen[change] != chosen[change - 1]]  # a periodic stretch selects equal grams: one run
     lo = np.append(0, change)
     hi = np.append(change - 1, len(at) - 1)
-    return h[at[lo]].view(np.int64), lo, hi, span_hash(sums, lo, hi + length).view(np.int64)
+    return chosen[lo].view(np.int64), lo, hi, span_hash(sums, lo, hi + length).view(np.int64), at[lo] != at[hi]
 
 
 def _window_minima(h: np.ndarray, w: int) -> np.ndarray:
@@ -239,7 +240,7 @@ def _sliding_min_fixed(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def _find(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (id, anchor, lo, hi, piece); a text that the task has met is not searched again."""
+    """(id, text) -> (id, anchor, lo, hi, piece, own); a text that the task has met is not searched again."""
     met: set[int] = set()
     for b in batches:
         a, off = bytes_of(b.column(1))
@@ -248,11 +249,11 @@ def _find(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator
             if i in met:
                 continue
             met.add(i)
-            h, lo, hi, piece = anchors(a[off[k] : off[k + 1]], length, gram)
+            h, lo, hi, piece, own = anchors(a[off[k] : off[k + 1]], length, gram)
             if len(h):
-                out.append((np.full(len(h), i, np.int64), h, lo, hi, piece))
+                out.append((np.full(len(h), i, np.int64), h, lo, hi, piece, own))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["id", "anchor", "lo", "hi", "piece"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["id", "anchor", "lo", "hi", "piece", "own"])
 
 
 def _only(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -376,11 +377,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, dens
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     named = rows.withColumn("id", F.xxhash64(F.xxhash64("text"), F.md5("text")))
     long = named.where(F.octet_length("text") >= length).select("id", "text")
-    found = cut(long.mapInArrow(lambda it: _find(it, length, gram), "id long, anchor long, lo long, hi long, piece long"))
+    found = cut(long.mapInArrow(lambda it: _find(it, length, gram), "id long, anchor long, lo long, hi long, piece long, own boolean"))
     place = F.struct("id", "lo", "hi")
-    pieces = cut(found.groupBy("anchor", "piece").agg(F.min(place).alias("one"), (F.min(place) != F.max(place)).alias("many")))
+    pieces = cut(found.groupBy("anchor", "piece").agg(F.min(place).alias("one"), (F.min(place) != F.max(place)).alias("many"), F.max("own").alias("own")))
     repeated = found.join(pieces.where("many").select("anchor", "piece"), ["anchor", "piece"], "left_semi").select("id", F.col("lo").alias("s"), (F.col("hi") + length).alias("e")).distinct()
-    meet = pieces.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    # a piece meets the others of its anchor; one with several places of it may hold repeats of its own
+    meet = pieces.groupBy("anchor").agg(F.count("*").alias("n"), F.max("own").alias("some")).where("n > 1 or some").drop("some")
     wanted = pieces.join(meet, "anchor").select(F.col("one.id").alias("id"), F.struct("anchor", F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), (~F.col("many")).alias("single"), (F.col("n") > dense).alias("dense")).alias("spot"))
     wanted = cut(wanted.groupBy("id").agg(F.collect_list("spot").alias("spots")))
 
