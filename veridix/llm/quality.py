@@ -1,9 +1,8 @@
 """Operator 9: document quality by a classifier and hierarchical empirical Bayes over sites.
 
-Three stages, each a grouped aggregation over all labelled documents and a pass over the texts:
-1. words and word beginnings that stand out in toxic documents become a lexicon (bounded);
-2. a logistic regression on the lexicon's hits and on text statistics, fitted on a bounded sample of labelled rows;
-3. per host and per path the labelled rate of bad documents, each shrunk toward the level above by a beta prior
+1. words and word beginnings that stand out in toxic documents become a lexicon (bounded), and
+2. a logistic regression on the lexicon's hits and on text statistics, both fitted on a bounded sample of labelled rows (SAMPLE);
+3. over all labels, per host and per path the labelled rate of bad documents, each shrunk toward the level above by a beta prior
    whose strength comes from the spread between sites. The site's log-odds against the global rate shift the
    document's own log-odds by a fixed small weight.
 """
@@ -22,7 +21,7 @@ from veridix.llm.common import LOWER, TERM, WHITE, bytes_of, cut, prefix_sums, r
 
 #: Entries of the lexicon at most, documents an entry needs at least, and how much more often it must be toxic.
 LEXICON, SUPPORT, LIFT = 4096, 4, 8.0
-#: Labelled rows that the regression is fitted on at most.
+#: Labelled rows, about, that the lexicon and the regression are fitted on at most.
 SAMPLE = 40_000
 #: Weight of the site's log-odds in the document's.
 SITE_WEIGHT = 0.25
@@ -129,14 +128,19 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int
     return w
 
 
-def _with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    own = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"), F.min("quality").cast("int").alias("quality"))
-    return docs.join(own, "doc_id")
+def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """docs (text) with labels (toxic, quality) of about `most` labelled ids at most, the same ids each time. A bounded
+    number of labels is broadcast to the texts; the texts aren't moved."""
+    own = labels.where("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "quality")
+    part = min(1.0, most / max(1, own.count()))
+    own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000))
+    own = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"), F.min("quality").cast("int").alias("quality")).limit(2 * most)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), "doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """docs (doc_id, text), labels (doc_id, quality, toxic). A document with several labels counts by its worst."""
-    known = _with_labels(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels)
+    known = _labelled(docs, labels, SAMPLE)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,10 +164,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             x = features(lexicon, weight, *bytes_of(b.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(list(x)), b.column(1), b.column(2)], names=["x", "toxic", "quality"])
 
-    # a fixed part of the ids by hash, so that about SAMPLE rows come whatever the input
-    part = min(1.0, SAMPLE / max(1, totals["n"]))
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000))
-    got = picked.select("text", "toxic", "quality").mapInArrow(rows, "x array<double>, toxic int, quality int").orderBy(F.xxhash64("x")).limit(2 * SAMPLE).toPandas()
+    got = known.select("text", "toxic", "quality").mapInArrow(rows, "x array<double>, toxic int, quality int").toPandas()  # about SAMPLE rows
+    order = np.lexsort([got["toxic"].to_numpy(), *np.array(got["x"].tolist()).reshape(len(got), FEATURES).T])  # whatever order the tasks end in
+    got = got.iloc[order]
     x = np.array(got["x"].tolist()).reshape(len(got), FEATURES)
     mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(FEATURES), np.ones(FEATURES))
     z = (x - mean) / scale
