@@ -43,7 +43,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are left, packed: one row per piece."""
-    return pack_documents(docs, tokenizer_file())
+    return pack_documents(docs, tokenizer_file(), cached_words=250_000)
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("packing", packing)]

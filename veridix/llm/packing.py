@@ -120,11 +120,12 @@ def step_groups(windows: list[Window], step: int = STEP) -> list[int]:
     return group
 
 
-#: Closing marks between an ASCII letter and white space: a pre-token of their own.
-_TAIL = re.compile(rb"(?<=[a-z])([.,!?;:|]+)(?=[ \n])")
-
+#: Closing marks; after an ASCII letter they are a pre-token of their own.
+_TAIL = b".,!?;:|"
 #: Stands between words that are encoded in one call.
 _MARK = b"\x01"
+#: Words of a-z and the lower-case letters of Latin-1.
+_LATIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
 
 class WordEncoder:
@@ -134,61 +135,95 @@ class WordEncoder:
     words in order are the text's ids.
     """
 
-    def __init__(self, path: str, most: int = 800_000) -> None:
+    def __init__(self, path: str, most: int = 1_200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its core; threads only cost CPU time
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        (self.mark,) = self.tokenizer.encode(_MARK.decode(), add_special_tokens=False).ids
+        # a word of lower-case letters is one pre-token and needs no normaliser; of ASCII letters, no byte mapping
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.mapped = Tokenizer.from_file(path)
+        self.mapped.normalizer = normalizers.Sequence([])
+        self.mapped.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.most = most
         self.known: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
-        words = [_TAIL.sub(rb" \1", (t or "").encode("utf-8", "surrogatepass").lower()).split() for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = list({w for ws in words for w in ws if w not in self.known})
-        odd = [w for w in new if _MARK in w]
-        new = [w for w in new if _MARK not in w]
-        parts = [new[i : i + 500] for i in range(0, len(new), 500)]
-        found = self.tokenizer.encode_batch_fast([(b" " + _MARK + b" ").join(p).decode("utf-8", "replace") for p in parts], add_special_tokens=False)
+        words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        known = self.known
+        if len(known) > self.most:
+            short = {w: x for w, x in known.items() if len(w) <= 7}  # the frequent ones, mostly
+            known = self.known = short if len(short) < self.most // 2 else {}
+        plain, mapped, other, tailed = set(), set(), set(), []
+        for w in set().union(*words).difference(known):
+            stem = w.rstrip(_TAIL)
+            if len(stem) < len(w) and stem[-1:].isalpha():
+                tailed.append((w, stem))
+                if stem in known:
+                    continue
+                w = stem
+            (plain if w.isalpha() else mapped if _LATIN.fullmatch(w) else other).add(w)
+        self._learn(self.plain, b".", list(plain))
+        self._learn(self.mapped, b".", list(mapped))
+        self._learn(self.tokenizer, _MARK, [w for w in other if _MARK not in w])
+        for w in other:
+            if _MARK in w:
+                known[w] = self._ids(w)
+        for w, stem in tailed:
+            tail = w[len(stem) :]
+            if tail not in self.tails:
+                if len(self.tails) > 10_000:
+                    self.tails.clear()
+                self.tails[tail] = self._ids(tail)
+            known[w] = known[stem] + self.tails[tail]
+        get = known.__getitem__
+        return [b"".join(map(get, ws)) for ws in words]
+
+    def _ids(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, tokenizer, mark: bytes, words: list[bytes]) -> None:
+        (stop,) = tokenizer.encode(mark.decode(), add_special_tokens=False).ids
+        parts = [words[i : i + 500] for i in range(0, len(words), 500)]
+        found = tokenizer.encode_batch_fast([(b" " + mark + b" ").join(p).decode("utf-8", "replace") for p in parts], add_special_tokens=False)
         for part, e in zip(parts, found, strict=True):
             ids = np.array(e.ids, "<u4")
-            at = np.flatnonzero(ids == self.mark)
-            starts, ends = np.append(0, at + 1).tolist(), np.append(at, len(ids)).tolist()
+            at = np.flatnonzero(ids == stop)
+            starts, ends, raw = np.append(0, at + 1).tolist(), np.append(at, len(ids)).tolist(), ids.tobytes()
             for w, i, j in zip(part, starts, ends, strict=True):
-                self.known[w] = ids[i:j].tobytes()
-        for w in odd:
-            self.known[w] = np.array(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+                self.known[w] = raw[4 * i : 4 * j]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, cached_words: int) -> WordEncoder:
     """One encoder a Python worker."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
+    _ENCODERS[path].most = cached_words
     return _ENCODERS[path]
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window_tokens long, step_id long"
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, with_ids: bool = False, cached_words: int = 1_200_000) -> DataFrame:
     """docs (doc_id, text) -> one row per piece (see SCHEMA), with the ids themselves if asked for.
 
     Each task packs what it reads, HELD tokens at a time, without a shuffle; sequence_id and step_id start at the
     task's number times 2**33. Null and empty texts are one token, the end id. Rows with equal or null ids are
-    packed as separate documents. An empty table gives no rows; other columns are ignored.
+    packed as separate documents. An empty table gives no rows; other columns are ignored. cached_words bounds what a
+    Python worker keeps of words' ids, about 200 bytes each.
     """
     small_batches(docs.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, cached_words)
         base = TaskContext.get().partitionId() << 33
         first = [0, 0]
         ids: list[int | None] = []
