@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridix.llm.common import LOWER, TERM, bytes_of, hash_bytes, mix64, prefix_sums, read_table, runs, small_batches, span_hash
+from veridix.llm.common import LOWER, TERM, bytes_of, hash_bytes, mix64, prefix_sums, read_table, runs, settle, small_batches, span_hash
 
 #: Passage and step in terms; segments are at most the overlap, so each leak of a segment lies in a passage whole.
 PASSAGE, OVERLAP = 128, 64
@@ -271,6 +271,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, overlaps: float = OVERLAPS) ->
                         rows.append((doc, item, score, q, ans, s))
                 cols = list(zip(*rows, strict=True)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()), strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+            settle()
 
         found = texts.mapInArrow(run, SCHEMA)
         out = found if out is None else out.unionAll(found)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridix.llm.common import read_table, small_batches
+from veridix.llm.common import read_table, settle, small_batches
 
 #: Context sizes, powers of two; the last is the longest window.
 TIERS = (512, 1024, 2048, 4096)
@@ -220,7 +220,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...]
     packed as separate documents. An empty table gives no rows; other columns are ignored. cached_words bounds what a
     Python worker keeps of words' ids, about 200 bytes each.
     """
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path, cached_words)
@@ -263,6 +263,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...]
                     total = 0
         if held:
             yield from flush()
+        settle()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
 

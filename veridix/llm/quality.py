@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridix.llm.common import LOWER, TERM, WHITE, bytes_of, cut, prefix_sums, read_table, runs, small_batches, span_hash
+from veridix.llm.common import LOWER, TERM, WHITE, bytes_of, cut, prefix_sums, read_table, runs, settle, small_batches, span_hash
 
 #: Entries of the lexicon at most, documents an entry needs at least, and how much more often it must be toxic.
 LEXICON, SUPPORT, LIFT = 4096, 4, 8.0
@@ -149,6 +149,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             toxic = np.asarray(b.column(1)).astype(np.int64)[r] > 0
             u, inv = np.unique(h, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(inv, weights=toxic, minlength=len(u)).astype(np.int64)), pa.array(np.bincount(inv, minlength=len(u)).astype(np.int64))], names=["h", "t", "n"])
+        settle()
 
     totals = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)), F.lit(0)).alias("t")).first()
     t_all, c_all = totals["t"], totals["n"] - totals["t"]
@@ -163,6 +164,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         for b in batches:
             x = features(lexicon, weight, *bytes_of(b.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(list(x)), b.column(1), b.column(2)], names=["x", "toxic", "quality"])
+        settle()
 
     got = known.select("text", "toxic", "quality").mapInArrow(rows, "x array<double>, toxic int, quality int").toPandas()  # about SAMPLE rows
     order = np.lexsort([got["toxic"].to_numpy(), *np.array(got["x"].tolist()).reshape(len(got), FEATURES).T])  # whatever order the tasks end in
@@ -214,7 +216,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Repeated rows are classified alike; an empty table gives no rows; input columns named like the added ones go.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark)
     docs = docs.drop("p_bad", "p_toxic", "site_rate", "rejected")
     model = train(docs, labels)
     sent = spark.sparkContext.broadcast(model)
@@ -229,6 +231,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
             z = (features(m.lexicon, m.weight, *bytes_of(b.column(b.schema.get_field_index("text")))) - m.mean) / m.scale
             cols = [pa.array(np.clip(z @ w[:-1] + w[-1], -30, 30)) for w in (m.bad, m.toxic)]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, "__bad", "__toxic"])
+        settle()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     scored = docs.mapInArrow(run, fields + ", __bad double, __toxic double")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridix.llm.common import LOWER, WHITE, bytes_of, cut, mix64, prefix_sums, read_table, runs, small_batches, span_hash
+from veridix.llm.common import LOWER, WHITE, bytes_of, cut, mix64, prefix_sums, read_table, runs, settle, small_batches, span_hash
 from veridix.llm.graph import connected_components
 
 #: Reference fingerprints of the pivot table: mixed counters, so about half the bits of each are set.
@@ -160,6 +160,7 @@ def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands[i] = [(whole >> (BAND_BITS * j) & ((1 << BAND_BITS) - 1)) | j << BAND_BITS for j in range(BANDS)]
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(off), dtype=np.int32) * BANDS), pa.array(bands.reshape(-1)))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), flat], names=["id", "fp", "bands"])
+    settle()
 
 
 def shingle_set(text: str | None, k: int = 5) -> frozenset[int]:
@@ -186,6 +187,7 @@ def _verify(k: int, least: float):
                     last = (x, shingle_set(s, k))
                 keep.append(jaccard(last[1], shingle_set(t, k)) >= least)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        settle()
 
     return run
 
