@@ -77,3 +77,33 @@ def test_near_duplicate_groups_equal_brute_force(docs, rows):
     sets = {i: S.shingle_set(t) for i, t in own.items()}
     want = components(own, [(a, b) for a in own for b in own if a < b and S.jaccard(sets[a], sets[b]) >= 0.8])
     assert {r["doc_id"]: r["component_id"] for r in S.near_duplicate_groups(docs.where("doc_id is not null")).collect()} == want
+
+
+def test_loose_copies_of_one_text_lose_no_link(spark):
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(900)}" for _ in range(120)]
+
+    def edited(words, n):
+        w = list(words)
+        for _ in range(n):
+            i = rng.randrange(len(w))
+            w[i : i + 1] = rng.choice([[], [f"x{rng.randrange(4)}"], [w[i], f"y{rng.randrange(4)}"]])
+        return w
+
+    texts = [edited(base, rng.choice([0, 1, 2, 3, 4, 6, 9])) for _ in range(120)]
+    tail = [f"tail{i}" for i in range(40)]
+    texts += [edited(base, 1) + edited(tail, 1) for _ in range(10)]
+    texts += [edited(base[:n], 1) for n in (60, 70, 80, 84, 88, 92, 96, 100, 104, 108, 112) for _ in range(3)]
+    texts += [edited(texts[i], 1) for i in range(40)]
+    own = {i: " ".join(t) for i, t in enumerate(texts)}
+    sets = {i: S.shingle_set(t) for i, t in own.items()}
+    alike = [(a, b) for a in own for b in own if a < b and S.jaccard(sets[a], sets[b]) >= 0.8]
+    pairs = [(0, b, own[0], own[b]) for b in own if b]
+    stars = spark.createDataFrame(pairs, "a long, b long, s string, t string").mapInArrow(S._stars(5, 0.8), S.STAR)
+    told = {r["b"]: r["hit"] for r in stars.select("b", "hit").collect()}
+    found = {(r["a"], r["b"]) for r in S.star_candidates(stars, 0.8).collect()}
+    wanted = {(a, b) for a, b in alike if a and a in told and b in told and not (told[a] and told[b])}
+    assert wanted <= found and len(found) < len(told) ** 2 / 6
+    df = spark.createDataFrame(list(own.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in S.near_duplicate_groups(df).collect()}
+    assert got == components(own, alike)

@@ -138,7 +138,7 @@ def simhash_components(docs: DataFrame, most: int = 2) -> DataFrame:
 # ---------------------------------------------------------------- near-duplicate texts, for pipelines
 
 #: Bits of the long fingerprint used for the search, and how they are cut into bands.
-LANES, BAND_BITS, BANDS = 16, 20, 51
+LANES, BAND_BITS, BANDS = 22, 22, 64
 #: Most bits in which the first 64 may differ; the mean at the similarity sought is below 6.
 FAR = 18
 
@@ -192,13 +192,81 @@ def _verify(k: int, least: float):
     return run
 
 
+#: Longs in the bit mask of a text's own shingles, and the part of a text's shingles that a centre must hold to describe it.
+MASKS, HELD = 4, 0.25
+STAR = "a long, b long, hit boolean, size int, common int, own array<long>, " + ", ".join(f"m{i} long" for i in range(MASKS))
+
+
+def _stars(k: int, least: float):
+    """(a, b, s, t) -> a STAR row for each text t that shares at least HELD of its shingles with the centre's text s.
+
+    own: hashes of the shingles that the centre lacks, in order; m0, m1, ...: the bits of these hashes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hit", pa.bool_()), ("size", pa.int32()), ("common", pa.int32()), ("own", pa.list_(pa.int64())), *[(f"m{i}", pa.int64()) for i in range(MASKS)]])
+        for batch in batches:
+            last: tuple[int | None, frozenset[int]] = (None, frozenset())
+            out = []
+            for a, b, s, t in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if last[0] != a:
+                    last = (a, shingle_set(s, k))
+                x = shingle_set(t, k)
+                common = len(x & last[1])
+                hit = jaccard(last[1], x) >= least
+                if not hit and common < HELD * len(x):
+                    continue
+                own = np.sort(np.fromiter(x - last[1], np.uint64, len(x) - common).view(np.int64))
+                marks = np.zeros(MASKS * 64, np.uint8)
+                marks[mix64(own.view(np.uint64)) % np.uint64(MASKS * 64)] = 1
+                out.append([a, b, hit, len(x), common, own.tolist(), *np.packbits(marks).view(np.int64).tolist()])
+            columns = list(zip(*out, strict=True)) if out else [[]] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        settle()
+
+    return run
+
+
+def star_candidates(stars: DataFrame, least: float) -> DataFrame:
+    """STAR rows -> (a, b): every pair of one centre's texts, not both linked to it, that can be `least` alike.
+
+    Alike texts x and y share at least need = least / (1 + least) * (|x| + |y|) shingles. Of the centre's shingles they
+    share at most the smaller `common`; the rest must be own shingles that both have. So either no own shingle is needed
+    (found by size class), or they share one within a prefix of their own (found by that shingle), and enough of them
+    (bounded by their masks: each common bit, and each shingle beyond x's set bits, can be one). Exact: nothing alike is lost.
+    A text's home is the one of its centres that links most texts; texts of one home are paired there alone.
+    """
+    linked = stars.groupBy("a").agg(F.sum(F.col("hit").cast("long")).alias("links"), F.min("hit").alias("all"))
+    ranked = stars.select("a", "b").join(linked, "a").groupBy("b").agg(F.min_by("a", F.struct(-F.col("links"), "a")).alias("home"))
+    kept = stars.join(linked.where("not all").select("a"), "a", "left_semi").join(ranked, "b").withColumn("must", F.ceil(F.col("size") * least - 1e-9) - F.col("common"))
+    need = lambda x, y: (F.col(f"{x}.size") + F.col(f"{y}.size")) * (least / (1 + least)) - F.least(f"{x}.common", f"{y}.common") - 1e-9
+    pair = [F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")]
+    here = (F.col("x.a") == F.col("y.a")) & (F.col("x.b") != F.col("y.b")) & ((F.col("x.home") != F.col("y.home")) | (F.col("x.home") == F.col("x.a")))
+    # no own shingle is needed
+    level = F.floor(F.log(F.col("size").cast("double")) / float(-np.log(least))).cast("long")
+    full = kept.where("must <= 0 and size > 0").select("a", "b", "home", "hit", "size", "common", level.alias("level"))
+    around = full.select("a", "b", "home", "size", "common", F.explode(F.array(*[F.col("level") + i for i in (-1, 0, 1)])).alias("level"))
+    x, y = full.where("not hit").alias("x"), around.alias("y")
+    plain = x.join(y, here & (F.col("x.level") == F.col("y.level")) & (need("x", "y") <= 0)).select(*pair)
+    # a shared own shingle
+    prefix = F.slice("own", F.lit(1), F.greatest(F.lit(0).cast("long"), F.size("own") - F.greatest(F.col("must"), F.lit(1).cast("long")) + 1).cast("int"))
+    marks = [f"m{i}" for i in range(MASKS)]
+    spare = F.size("own") - sum((F.bit_count(m) for m in marks), F.lit(0))
+    parts = kept.select("a", "b", "home", "hit", "size", "common", spare.alias("spare"), *marks, F.explode(prefix).alias("shingle"))
+    x, y = parts.where("not hit").alias("x"), parts.alias("y")
+    most = sum((F.bit_count(F.col(f"x.{m}").bitwiseAND(F.col(f"y.{m}"))) for m in marks), F.lit(0)) + F.least("x.spare", "y.spare")
+    shared = x.join(y, here & (F.col("x.shingle") == F.col("y.shingle")) & (need("x", "y") <= most)).select(*pair)
+    return plain.unionAll(shared).distinct()
+
+
 def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, component_id): groups of texts whose shingle sets are at least that similar.
 
-    Equal texts are one node (null as empty). A band of the long SimHash gives candidates. Within a band's bucket
-    every text is first held against the bucket's smallest id; only texts that are not linked to it are held
-    against all others of the bucket, so a bucket of n near copies costs n comparisons and still joins whatever
-    any two of its members join. The pivot table and the first 64 bits discard; whole shingle sets verify.
+    Equal texts are one node (null as empty). A band of the long SimHash gives candidates: texts of a bucket, which the
+    pivot table and the first 64 bits thin out. Every text is first held against its buckets' smallest ids, the centres,
+    so a bucket of n near copies costs n comparisons. Texts that a centre describes but doesn't link are held against
+    its others only where `star_candidates` can't rule it out; those that the centre doesn't describe, against the whole
+    bucket. Whole shingle sets verify. A bucket of unrelated texts grows with the square of the input by 2**-BAND_BITS.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -209,24 +277,26 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     reps = names.join(firsts, ["hi", "lo"]).select("doc_id", F.col("id").alias("rep"))
     texts = cut(keyed.join(firsts.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text"))
     wide = texts.mapInArrow(_wide, "id long, fp long, bands array<long>")
-    rows = cut(wide.select("id", "fp", pivot_table(F.col("fp")).alias("d"), F.explode("bands").alias("key")))
+    rows = cut(wide.select("id", "fp", F.explode("bands").alias("key"))).withColumn("d", pivot_table(F.col("fp")))
     centres = rows.groupBy("key").agg(F.min(F.struct("id", "fp", "d")).alias("c"), F.count("*").alias("n")).where("n > 1")
-    held = rows.join(centres.select("key", F.col("c.id").alias("a"), F.col("c.fp").alias("afp"), F.col("c.d").alias("ad")), "key")
-    close = within(F.col("ad"), F.col("d"), FAR) & (F.bit_count(F.col("afp").bitwiseXOR(F.col("fp"))) <= FAR)
+    held = rows.join(centres.select("key", F.col("c.id").alias("a"), F.col("c.fp").alias("afp"), F.col("c.d").alias("ad")), "key").where(F.col("a") < F.col("id"))
+
+    def close(afp: str, fp: str, ad: str, d: str) -> Column:
+        return within(F.col(ad), F.col(d), FAR) & (F.bit_count(F.col(afp).bitwiseXOR(F.col(fp))) <= FAR)
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame, by, schema: str) -> DataFrame:
         one = texts.select(F.col("id").alias("a"), F.col("text").alias("s"))
         two = texts.select(F.col("id").alias("b"), F.col("text").alias("t"))
-        both = pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t")
-        return cut(both.mapInArrow(_verify(shingle, similarity), "a long, b long"))
-
-    first = verified(held.where((F.col("a") < F.col("id")) & close).select("a", F.col("id").alias("b")).distinct())
-    done = first.withColumn("hit", F.lit(1))
-    loose = held.where(F.col("a") < F.col("id")).join(done, (held["a"] == done["a"]) & (held["id"] == done["b"]), "left_anti").select("key", "id", "fp", "d")
-    x, y = loose.alias("x"), rows.join(centres.select("key"), "key", "left_semi").alias("y")
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & within(F.col("x.d"), F.col("y.d"), FAR) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= FAR)
-    rest = x.join(y, near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    second = verified(rest.join(first, ["a", "b"], "left_anti"))
+        return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(by(shingle, similarity), schema))
+
+    stars = compared(held.where(close("afp", "fp", "ad", "d")).select("a", F.col("id").alias("b")).distinct(), _stars, STAR)
+    first = stars.where("hit").select("a", "b")
+    told = stars.select(F.col("a").alias("sa"), F.col("b").alias("sb"))
+    apart = held.join(told, (F.col("a") == F.col("sa")) & (F.col("id") == F.col("sb")), "left_anti").select("key", "id", "fp", "d")
+    x, y = apart.alias("x"), rows.join(centres.select("key"), "key", "left_semi").alias("y")
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & close("x.fp", "y.fp", "x.d", "y.d"))
+    rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    second = compared(rest.unionAll(star_candidates(stars, similarity)).distinct().join(first, ["a", "b"], "left_anti"), _verify, "a long, b long")
     roots = connected_components(first.unionAll(second))
     return reps.join(roots, reps["rep"] == roots["id"], "left").select("doc_id", F.coalesce("root", "rep").alias("component_id"))
 
