@@ -293,7 +293,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     first = stars.where("hit").select("a", "b")
     told = stars.select(F.col("a").alias("sa"), F.col("b").alias("sb"))
     apart = held.join(told, (F.col("a") == F.col("sa")) & (F.col("id") == F.col("sb")), "left_anti").select("key", "id", "fp", "d")
-    x, y = apart.alias("x"), rows.join(centres.select("key"), "key", "left_semi").alias("y")
+    x, y = apart.alias("x"), rows.alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & close("x.fp", "y.fp", "x.d", "y.d"))
     rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     second = compared(rest.unionAll(star_candidates(stars, similarity)).distinct().join(first, ["a", "b"], "left_anti"), _verify, "a long, b long")
