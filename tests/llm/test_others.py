@@ -171,6 +171,13 @@ def test_templates_generalise_variable_words(spark):
     assert [r["dropped"] for r in got.orderBy("doc_id").collect()] == [0, 1, 1, 1, 1, 1]
 
 
+def test_templates_take_white_space_and_hexadecimal_fields_alike(spark):
+    forms = ["all rights reserved by us\r", "all rights\treserved  by us", " all rights reserved by us", "all\x0brights reserved by\fus "]
+    rows = [(i, f"{x}\nbody {'abcd'[i]}\nName\tPrice\tStock\tSeller\nkey {'abcdef'[i] * 16} of the file") for i, x in enumerate(forms)]
+    got = templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["dropped"], r["text"]) for r in got] == [(0, rows[0][1]), *((3, f"body {c}") for c in "bcd")]
+
+
 def test_quality(spark, docs, no_docs):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice(["ta", "ri", "no", "sel", "um", "ka"]) for _ in range(rng.randint(1, 3)))

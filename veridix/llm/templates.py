@@ -29,16 +29,30 @@ VARIABLE = 0.3
 MAP_BITS = 24
 
 
-def mask_fields(line: Column) -> Column:
-    """The trimmed line in lower case with tokens that hold a digit as <*>."""
-    t = F.lower(F.trim(line))
-    return F.when(t.rlike("[0-9]"), F.regexp_replace(t, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(t)
+def spaced_once(line: Column) -> Column:
+    """The trimmed line in lower case, each run of white space one space; only lines with other white space pay for it."""
+    other = F.lit(False)
+    for c in ("  ", "\t", "\r", "\x0b", "\f"):
+        other = other | F.contains(line, F.lit(c))
+    return F.lower(F.trim(F.when(other, F.regexp_replace(line, r"\s+", " ")).otherwise(line)))
+
+
+def mask_digits(t: Column) -> Column:
+    """A line of single spaces with tokens that hold a digit as <*>."""
+    return F.when(t.rlike("[0-9]"), F.regexp_replace(t, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(t)
+
+
+def mask_hexadecimal(t: Column) -> Column:
+    """A line of masked digits with long hexadecimal tokens as <*>."""
+    return F.when(t.rlike("[a-f]{16}"), F.regexp_replace(t, "(?<![^ ])[a-f]{16,}+(?![^ ])", "<*>")).otherwise(t)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(text_id, doc_id, place, n, masked, form): every line with enough tokens."""
-    split = docs.select("text_id", "doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    masked = split.select("text_id", "doc_id", "place", mask_fields(F.col("line")).alias("masked"))
+    masked = F.split("text", "\n")
+    for step in (spaced_once, mask_digits, mask_hexadecimal):
+        masked = F.transform(masked, step)  # before the explode: a filter on lines would otherwise be pushed below it and mask them again
+    masked = docs.select("text_id", "doc_id", F.posexplode(masked).alias("place", "masked"))
     n = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
     return masked.withColumn("n", n).where(F.col("n") >= MIN_TOKENS).withColumn("form", F.xxhash64("masked"))
 
