@@ -178,6 +178,14 @@ def test_templates_take_white_space_and_hexadecimal_fields_alike(spark):
     assert [(r["dropped"], r["text"]) for r in got] == [(0, rows[0][1]), *((3, f"body {c}") for c in "bcd")]
 
 
+def test_templates_of_one_leaf_are_told_apart(spark):
+    names = ["anna", "bert", "carl", "dora"]
+    rows = [f"click here to read more about {n} today with us now" for n in names] + [f"click here to join our weekly list for {n} every day" for n in names]
+    rows += [f"see also the long list of old {n} in this town" for n in names] + ["see also the " + " ".join(f"{w}{chr(97 + i)}" for w in "qrstuvwx") for i in range(10)]
+    got = templates.drop_recurring_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert [r["dropped"] for r in got.orderBy("doc_id").collect()] == [0, 1, 1, 1] * 3 + [0] * 10
+
+
 def test_quality(spark, docs, no_docs):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice(["ta", "ri", "no", "sel", "um", "ka"]) for _ in range(rng.randint(1, 3)))

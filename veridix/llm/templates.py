@@ -69,12 +69,23 @@ def _maybe(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return joined.withColumn("__b", byte).where(hit).drop("__at", "__k", "__m", "__b")
 
 
+def _agreeing(tokens: DataFrame) -> DataFrame:
+    """(leaf, form, all, texts, n, at, token) -> (leaf, form): the forms that agree with their leaf at all its fixed
+    positions, of leaves with few enough variable ones."""
+    weight = tokens.groupBy("leaf", "at", "token").agg(F.sum("texts").alias("c"), F.max("all").alias("all"), F.max("n").alias("n"))
+    fixed = weight.where(F.col("c") > F.col("all") * DOMINANT).select("leaf", "at", "token", "n")
+    shape = fixed.groupBy("leaf").agg(F.count("*").alias("held"), F.max("n").alias("n")).where(F.col("held") >= F.col("n") * (1 - VARIABLE)).select("leaf", "held")
+    agreed = tokens.join(fixed.join(shape, "leaf").select("leaf", "at", "token", "held"), ["leaf", "at", "token"]).groupBy("leaf", "form").agg(F.count("*").alias("same"), F.max("held").alias("held"))
+    return agreed.where(F.col("same") == F.col("held")).select("leaf", "form")
+
+
 def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, depth: int = DEPTH) -> DataFrame:
     """docs (text_id, doc_id, text) -> (text_id, place): lines to drop, by text and line number; text_id is a hash of
     the text, so its copies are one text.
 
-    Two rounds. First masked forms that recur as they are; then, among leaves with enough different texts, forms
-    generalised at the leaf's variable positions. A template's first line, by (doc_id, place), stays.
+    Three rounds. First masked forms that recur as they are; then, among leaves with enough different texts, forms
+    generalised at the leaf's variable positions; then the same among a leaf's forms that are left, in groups that have a
+    further token in common, so neither another template nor unrelated lines outvote one. A template's first line, by (doc_id, place), stays.
     """
     lines = _lines(docs)
     leaf = F.xxhash64("n", F.substring_index("masked", " ", depth))
@@ -93,14 +104,23 @@ def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, depth: int = DE
     some = _maybe(_lines(holders).select("form", "n", "masked"), "form", wanted)
     words = some.join(wanted, "form").select("leaf", "form", "all", "texts", "n", "masked").dropDuplicates(["leaf", "form"])
     tokens = cut(words.select("leaf", "form", "all", "texts", "n", F.posexplode(F.transform(F.split("masked", " "), lambda t: F.xxhash64(t))).alias("at", "token")))
-    weight = tokens.groupBy("leaf", "at", "token").agg(F.sum("texts").alias("c"), F.max("all").alias("all"), F.max("n").alias("n"))
-    fixed = weight.where(F.col("c") > F.col("all") * DOMINANT).select("leaf", "at", "token", "n")
-    shape = fixed.groupBy("leaf").agg(F.count("*").alias("held"), F.max("n").alias("n")).where(F.col("held") >= F.col("n") * (1 - VARIABLE)).select("leaf", "held")
-    agreed = tokens.join(fixed.join(shape, "leaf").select("leaf", "at", "token", "held"), ["leaf", "at", "token"]).groupBy("leaf", "form").agg(F.count("*").alias("same"), F.max("held").alias("held"))
-    member = agreed.where(F.col("same") == F.col("held")).select("leaf", "form")
-    held = wanted.select("leaf", "form", "texts", "first").join(member, ["leaf", "form"])
+    held = cut(wanted.select("leaf", "form", "texts", "first").join(_agreeing(tokens), ["leaf", "form"]))
+    inside = held.groupBy("leaf").agg(F.sum("texts").alias("texts"), F.min("first").alias("first")).where(F.col("texts") >= min_texts)
+    whole = held.join(inside.select("leaf", F.col("first").alias("kept")), "leaf").select("leaf", "form", F.col("kept").alias("first"))
+
+    # forms that fit no template of their whole leaf: groups by a further token that stands in enough texts
+    left = tokens.join(whole.select("leaf", "form"), ["leaf", "form"], "left_anti")
+    shared = left.where(F.col("at") >= depth).groupBy("leaf", "at", "token").agg(F.sum("texts").alias("all")).where(F.col("all") >= min_texts)
+    parts = cut(left.join(shared, ["leaf", "at", "token"]).select("leaf", "form", F.xxhash64("leaf", "at", "token").alias("group"), shared["all"]))
+    # groups of the same forms are one
+    alike = parts.groupBy("leaf", "group").agg(F.bit_xor(F.xxhash64("form")).alias("same"), F.count("*").alias("forms"))
+    alike = alike.groupBy("leaf", "same", "forms").agg(F.min("group").alias("group")).select("group")
+    dealt = parts.join(alike, "group").select("leaf", "form", "group", "all")
+    grouped = cut(left.drop("all").join(dealt, ["leaf", "form"]).drop("leaf").withColumnRenamed("group", "leaf"))
+    held = cut(_agreeing(grouped).join(wanted.select("form", "texts", "first"), "form"))
     inside = held.groupBy("leaf").agg(F.sum("texts").alias("texts"), F.min("first").alias("first")).where(F.col("texts") >= min_texts)
-    general = held.select("leaf", "form").join(inside.select("leaf", "first"), "leaf").select("form", "first")
+    split = held.select("leaf", "form").join(inside.select("leaf", "first"), "leaf").groupBy("form").agg(F.min("first").alias("first"))
+    general = whole.select("form", "first").unionAll(split)
     drop = cut(exact.unionAll(general))
     hit = seen.join(drop, "form").where((F.col("text_id") != F.col("first.text_id")) | (F.col("place") != F.col("first.place")))
     return hit.select("text_id", "place").distinct()
