@@ -79,6 +79,14 @@ def test_broken_streams():
     assert tagged.tags["TIT2"] == "Song" and tagged.payload == p.payload and p.vbr_frames == len(p.offsets)
 
 
+def test_a_payload_that_looks_like_a_tag():
+    for n in (1100, 3008):
+        for k in range(n - 1100, n - 2):
+            payload = b"x" * k + b"TAG" + b"y" * (n - k - 3)
+            p = mpeg.read_stream(mpeg.write_stream(payload))
+            assert (p.payload, p.lost_bytes, "TIT2" in p.tags) == (payload, 0, False)
+
+
 def test_crc_of_a_known_string():
     assert mpeg.frame_crc(b"123456789") == 0xAEE7  # CRC-16/CMS
 

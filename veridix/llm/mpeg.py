@@ -130,6 +130,19 @@ def header(data: bytes, at: int) -> tuple[int, int, int, int, bool, bool] | None
     return samples // 8 * kbit * 1000 // hz + (b2 >> 1 & 1), samples, hz, kbit, not b1 & 1, data[at + 3] >> 6 == 3
 
 
+def _counted(data: bytes, at: int) -> int:
+    """Where the audio that begins at `at` ends by the byte count of its bitrate table; `at` if none tells."""
+    h = header(data, at)
+    if h is None:
+        return at
+    k = at + 4 + 2 * h[4] + ((17 if h[5] else 32) if h[1] == 1152 else (9 if h[5] else 17))
+    if data[k : k + 4] not in (b"Xing", b"Info") or not data[k + 7 : k + 8] or not data[k + 7] & 2:
+        return at
+    k += 8 + 4 * (data[k + 7] & 1)
+    stop = at + int.from_bytes(data[k : k + 4], "big")
+    return stop if stop <= len(data) else at
+
+
 def _tags(data: bytes, out: Probe) -> tuple[int, int]:
     """Start and end of the audio; tags before and after it are read."""
     at, end = 0, len(data)
@@ -145,7 +158,7 @@ def _tags(data: bytes, out: Probe) -> tuple[int, int]:
             out.tags[key] = value.rstrip("\0")
             k += 10 + n
         at += 10 + size
-    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
+    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG" and end - 128 >= _counted(data, at):
         end -= 128
         out.tags.setdefault("TIT2", data[end + 3 : end + 33].split(b"\0")[0].decode("latin-1").strip())
     return min(at, end), end
