@@ -8,6 +8,9 @@ recurring, and its lines are dropped from all texts but the first that has it. D
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +22,7 @@ DEPTH = 3
 MIN_TEXTS = 3
 #: A position is variable where no token holds this part of the leaf's lines.
 DOMINANT = 0.5
-#: Lines of fewer tokens are too short to be told from each other and are kept.
+#: Lines of fewer tokens are kept unless the caller asks otherwise: a heading or a closing bracket isn't boilerplate.
 MIN_TOKENS = 3
 #: Of a leaf's positions at most this part may be variable; a leaf with more holds unrelated lines.
 VARIABLE = 0.3
@@ -29,32 +32,38 @@ VARIABLE = 0.3
 MAP_BITS = 24
 
 
-def spaced_once(line: Column) -> Column:
-    """The trimmed line in lower case, each run of white space one space; only lines with other white space pay for it."""
-    other = F.lit(False)
-    for c in ("  ", "\t", "\r", "\x0b", "\f"):
-        other = other | F.contains(line, F.lit(c))
-    return F.lower(F.trim(F.when(other, F.regexp_replace(line, r"\s+", " ")).otherwise(line)))
+def _has(t: Column, *parts: str) -> Column:
+    return reduce(or_, [F.contains(t, F.lit(c)) for c in parts])
+
+
+def spaced_once(t: Column) -> Column:
+    """White space in a line as one space; only texts that have other white space pay for it."""
+    return F.when(_has(t, "  ", "\t", "\r", "\x0b", "\f"), F.regexp_replace(t, r"[ \t\x0B\f\r]+", " ")).otherwise(t)
+
+
+def trimmed(t: Column) -> Column:
+    """No space at a line's ends."""
+    return F.trim(F.when(_has(t, " \n", "\n "), F.regexp_replace(t, " ?\n ?", "\n")).otherwise(t))
 
 
 def mask_digits(t: Column) -> Column:
-    """A line of single spaces with tokens that hold a digit as <*>."""
-    return F.when(t.rlike("[0-9]"), F.regexp_replace(t, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(t)
+    """Tokens that hold a digit as <*>."""
+    return F.when(t.rlike("[0-9]"), F.regexp_replace(t, "(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", "<*>")).otherwise(t)
 
 
 def mask_hexadecimal(t: Column) -> Column:
-    """A line of masked digits with long hexadecimal tokens as <*>."""
-    return F.when(t.rlike("[a-f]{16}"), F.regexp_replace(t, "(?<![^ ])[a-f]{16,}+(?![^ ])", "<*>")).otherwise(t)
+    """Of a text without digits, long hexadecimal tokens as <*>."""
+    return F.when(t.rlike("[a-f]{16}"), F.regexp_replace(t, "(?<![^ \n])[a-f]{16,}+(?![^ \n])", "<*>")).otherwise(t)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(text_id, doc_id, place, n, masked, form): every line with enough tokens."""
-    masked = F.split("text", "\n")
-    for step in (spaced_once, mask_digits, mask_hexadecimal):
-        masked = F.transform(masked, step)  # before the explode: a filter on lines would otherwise be pushed below it and mask them again
-    masked = docs.select("text_id", "doc_id", F.posexplode(masked).alias("place", "masked"))
+    masked = F.array("text")  # whole texts, once for all their lines
+    for step in (F.lower, spaced_once, trimmed, mask_digits, mask_hexadecimal):
+        masked = F.transform(masked, step)  # a lambda's variable is computed once, however often the step names it
+    masked = docs.select("text_id", "doc_id", F.posexplode(F.split(masked[0], "\n")).alias("place", "masked"))
     n = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
-    return masked.withColumn("n", n).where(F.col("n") >= MIN_TOKENS).withColumn("form", F.xxhash64("masked"))
+    return masked.withColumn("n", n).where((F.col("n") >= min_tokens) & (F.col("masked") != "")).withColumn("form", F.xxhash64("masked"))
 
 
 def _maybe(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -79,15 +88,27 @@ def _agreeing(tokens: DataFrame) -> DataFrame:
     return agreed.where(F.col("same") == F.col("held")).select("leaf", "form")
 
 
-def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, depth: int = DEPTH) -> DataFrame:
+def _split(tokens: DataFrame, depth: int, min_texts: int, rare: bool) -> DataFrame:
+    """(leaf, form, all, texts, n, at, token) -> the same of smaller leaves: a form goes to the rarest (or the most common)
+    of its further tokens that stand in enough texts of its leaf, so neither another template nor unrelated lines outvote
+    its own. A form goes to one leaf, so there are no more rows than before."""
+    weight = tokens.where(F.col("at") >= depth).groupBy("leaf", "at", "token").agg(F.sum("texts").alias("all")).where(F.col("all") >= min_texts)
+    pick = F.min(F.struct("all", "at", "token")) if rare else F.max(F.struct("all", "at", "token"))
+    named = tokens.drop("all").join(weight, ["leaf", "at", "token"]).groupBy("leaf", "form").agg(pick.alias("g"), F.max("texts").alias("texts"))
+    named = named.select("form", "texts", F.xxhash64("leaf", "g.at", "g.token").alias("leaf"))
+    full = named.groupBy("leaf").agg(F.sum("texts").alias("all")).where(F.col("all") >= min_texts)
+    return tokens.drop("leaf", "all").join(named.join(full, "leaf").select("form", "leaf", "all"), "form")
+
+
+def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """docs (text_id, doc_id, text) -> (text_id, place): lines to drop, by text and line number; text_id is a hash of
     the text, so its copies are one text.
 
-    Three rounds. First masked forms that recur as they are; then, among leaves with enough different texts, forms
-    generalised at the leaf's variable positions; then the same among a leaf's forms that are left, in groups that have a
-    further token in common, so neither another template nor unrelated lines outvote one. A template's first line, by (doc_id, place), stays.
+    Masked forms that recur as they are; then, among leaves with enough different texts, forms generalised at the
+    leaf's variable positions; then the same twice among a leaf's forms that are left, split by a further token (see
+    _split). A template's first line, by (doc_id, place), stays.
     """
-    lines = _lines(docs)
+    lines = _lines(docs, min_tokens)
     leaf = F.xxhash64("n", F.substring_index("masked", " ", depth))
     # copies of a text and repeats in it fall together here, and a hot form is partly summed before it is shuffled
     seen = cut(lines.select("text_id", "doc_id", "place", "n", "form", leaf.alias("leaf")).groupBy("leaf", "form", "n", "text_id", "place").agg(F.min("doc_id").alias("doc_id")))
@@ -101,45 +122,37 @@ def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, depth: int = DE
     crowded = rest.groupBy("leaf").agg(F.sum("texts").alias("all"), F.count("*").alias("kinds")).where((F.col("kinds") > 1) & (F.col("all") >= min_texts)).select("leaf", "all")
     wanted = cut(rest.join(crowded, "leaf").select("leaf", "form", "all", "texts", "first"))
     holders = _maybe(docs, "text_id", wanted.select(F.col("first.text_id").alias("text_id")))
-    some = _maybe(_lines(holders).select("form", "n", "masked"), "form", wanted)
+    some = _maybe(_lines(holders, min_tokens).select("form", "n", "masked"), "form", wanted)
     words = some.join(wanted, "form").select("leaf", "form", "all", "texts", "n", "masked").dropDuplicates(["leaf", "form"])
     tokens = cut(words.select("leaf", "form", "all", "texts", "n", F.posexplode(F.transform(F.split("masked", " "), lambda t: F.xxhash64(t))).alias("at", "token")))
-    held = cut(wanted.select("leaf", "form", "texts", "first").join(_agreeing(tokens), ["leaf", "form"]))
-    inside = held.groupBy("leaf").agg(F.sum("texts").alias("texts"), F.min("first").alias("first")).where(F.col("texts") >= min_texts)
-    whole = held.join(inside.select("leaf", F.col("first").alias("kept")), "leaf").select("leaf", "form", F.col("kept").alias("first"))
-
-    # forms that fit no template of their whole leaf: groups by a further token that stands in enough texts
-    left = tokens.join(whole.select("leaf", "form"), ["leaf", "form"], "left_anti")
-    shared = left.where(F.col("at") >= depth).groupBy("leaf", "at", "token").agg(F.sum("texts").alias("all")).where(F.col("all") >= min_texts)
-    parts = cut(left.join(shared, ["leaf", "at", "token"]).select("leaf", "form", F.xxhash64("leaf", "at", "token").alias("group"), shared["all"]))
-    # groups of the same forms are one
-    alike = parts.groupBy("leaf", "group").agg(F.bit_xor(F.xxhash64("form")).alias("same"), F.count("*").alias("forms"))
-    alike = alike.groupBy("leaf", "same", "forms").agg(F.min("group").alias("group")).select("group")
-    dealt = parts.join(alike, "group").select("leaf", "form", "group", "all")
-    grouped = cut(left.drop("all").join(dealt, ["leaf", "form"]).drop("leaf").withColumnRenamed("group", "leaf"))
-    held = cut(_agreeing(grouped).join(wanted.select("form", "texts", "first"), "form"))
-    inside = held.groupBy("leaf").agg(F.sum("texts").alias("texts"), F.min("first").alias("first")).where(F.col("texts") >= min_texts)
-    split = held.select("leaf", "form").join(inside.select("leaf", "first"), "leaf").groupBy("form").agg(F.min("first").alias("first"))
-    general = whole.select("form", "first").unionAll(split)
-    drop = cut(exact.unionAll(general))
+    firsts = wanted.select("form", "texts", "first")
+    drop, left = exact, tokens
+    for rare in (None, True, False):
+        parts = left if rare is None else cut(_split(left, depth, min_texts, rare))
+        held = cut(_agreeing(parts).join(firsts, "form"))
+        inside = held.groupBy("leaf").agg(F.sum("texts").alias("all"), F.min("first").alias("kept")).where(F.col("all") >= min_texts)
+        whole = cut(held.join(inside, "leaf").select("form", F.col("kept").alias("first")))
+        drop = drop.unionAll(whole)
+        left = left.join(whole.select("form"), "form", "left_anti")
+    drop = cut(drop)
     hit = seen.join(drop, "form").where((F.col("text_id") != F.col("first.text_id")) | (F.col("place") != F.col("first.place")))
     return hit.select("text_id", "place").distinct()
 
 
-def drop_recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """docs (doc_id, text, ...) -> the same rows and columns with recurring lines taken out of text, and `dropped`, the
     number of lines that went.
 
     Equal texts are one text, so copies of a document don't make its lines recurring and stay equal; of a template's
     lines the one of the smallest doc_id stays. Null texts stay null, empty ones empty; lines of fewer than
-    MIN_TOKENS tokens stay; line ends stay as they are. Rows with null or repeated ids are kept; an empty table
+    `min_tokens` tokens stay (1: none, blank lines aside); line ends stay as they are. Rows with null or repeated ids are kept; an empty table
     gives no rows; an input column named `dropped` goes.
     """
     docs = docs.drop("dropped")
     text_id = F.xxhash64("text")
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     named = docs.where("text is not null").select(text_id.alias("text_id"), own.alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = cut(recurring_lines(named, min_texts).groupBy("text_id").agg(F.collect_set("place").alias("__gone")))
+    marks = cut(recurring_lines(named, min_texts, min_tokens=min_tokens).groupBy("text_id").agg(F.collect_set("place").alias("__gone")))
     out = docs.withColumn("__h", text_id).join(marks.withColumnRenamed("text_id", "__h").hint("merge"), "__h", "left")  # the plan of any large input
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
