@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veridix.functions import text as X
-from veridix.functions.stats import mcnemar_p, percentile_linear, percentile_nearest
+from veridix.functions.stats import mcnemar_p, percentile_linear, percentiles
 
 
 def one(spark, column, **values):
@@ -61,10 +61,11 @@ def test_number_with_unit(spark):
 
 
 def test_percentiles(spark):
-    df = spark.createDataFrame([(x,) for x in (1.0, 2.0, 3.0, 4.0)], "v double")
-    r = df.agg(percentile_linear(F.col("v"), 0.5), percentile_linear(F.col("v"), 0.95), percentile_nearest(F.col("v"), 0.5)).first()
-    assert (r[0], round(r[1], 6), r[2]) == (2.5, 3.85, 3.0)
-    assert df.where("v > 9").agg(percentile_nearest(F.col("v"), 0.5)).first()[0] is None
+    df = spark.createDataFrame([(float(i),) for i in (1, 2, 3, 4)], "v double")
+    r = df.agg(percentile_linear(F.col("v"), 0.5), percentile_linear(F.col("v"), 0.95)).first()
+    assert tuple(r) == pytest.approx((2.5, 3.85))
+    assert percentiles(df, [], "v", {"p": ("nearest", 0.5)}).first()["p"] == 3
+    assert percentiles(df.where("v > 9"), [], "v", {"p": ("nearest", 0.5)}).first()["p"] is None
 
 
 @pytest.mark.parametrize(("b", "c", "p"), [(0, 0, 1.0), (1, 0, 1.0), (8, 2, 0.109375), (20, 40, 2 * sum(math.comb(60, k) for k in range(21)) / 2**60)])

@@ -2,19 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Of the sketch that brackets a percentile: its rank is off by at most one in this many rows.
+ACCURACY = 10_000
+
 
 def percentile_linear(c: Column, p: float) -> Column:
-    """Linear interpolation between order statistics."""
+    """Linear interpolation between order statistics, for groups of bounded size (draws of a bootstrap, say): the
+    aggregate holds a group's distinct values. `percentiles` takes groups of any size."""
     return F.percentile(c.cast("double"), F.lit(p))
 
 
-def percentile_nearest(c: Column, p: float) -> Column:
-    """The order statistic at round-half-even(p * (n - 1)); null of nothing."""
-    a = F.array_sort(F.collect_list(c))
-    return F.when(F.count(c) > 0, F.get(a, F.bround(F.lit(p) * (F.count(c) - 1)).cast("int")))
+def percentiles(rows: DataFrame, keys: list[str], value: str, points: dict[str, tuple[str, float]]) -> DataFrame:
+    """Per group exact percentiles of a column's values that aren't null: points names each and says ("linear", p),
+    interpolated at p * (n - 1), or ("nearest", p), the order statistic at its half-even rounding.
+
+    No task gathers a group. A sketch brackets each percentile between two values that hold about 8 / ACCURACY of the
+    group's rows; rows below the bracket are only counted, and only the bracket's distinct values are sorted.
+    A group of nulls has no row.
+    """
+    own = [f"__k{i}" for i in range(len(keys))]
+    v = rows.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(value).cast("double").alias("v")).where("v is not null")
+    ps = [p for _, p in points.values()]
+    edge = lambda by: F.array(*[F.lit(min(1.0, max(0.0, p + by * 4 / ACCURACY))) for p in ps])
+    sketch = lambda by: F.percentile_approx("v", edge(by), F.lit(ACCURACY))
+    small = F.count("*") <= ACCURACY  # too few rows for a bracket
+    all_of = lambda x: F.array(*[x for _ in ps])
+    bounds = v.groupBy(*own).agg(F.count("*").alias("n"), F.when(small, all_of(F.min("v"))).otherwise(sketch(-1)).alias("lo"), F.when(small, all_of(F.max("v"))).otherwise(sketch(1)).alias("hi"))
+    b = bounds.select(*[F.col(o).alias(f"b{o}") for o in own], "n", "lo", "hi")
+    same = [v[o].eqNullSafe(b[f"b{o}"]) for o in own]
+    held = (v.join(b, same) if own else v.crossJoin(F.broadcast(b))).drop(*[f"b{o}" for o in own])
+    within = lambda i: (F.col("v") >= F.col("lo")[i]) & (F.col("v") <= F.col("hi")[i])
+    spots = range(len(ps))
+    # one pass: every value below a bracket falls to one row a group, the others to one row a value
+    inside = F.when(F.greatest(*[within(i).cast("int") for i in spots], F.lit(0)) == 1, F.col("v"))
+    cells = held.groupBy(*own, inside.alias("v")).agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("lo").alias("lo"), F.max("hi").alias("hi"), *[F.count_if(F.col("v") < F.col("lo")[i]).alias(f"under{i}") for i in spots])
+    under = F.array(*[F.sum(f"under{i}").over(Window.partitionBy(*own)) for i in spots])
+    cells = cells.withColumn("under", under).where("v is not null")
+    near = cells.select("*", F.posexplode("under").alias("i", "before")).where((F.col("v") >= F.get("lo", F.col("i"))) & (F.col("v") <= F.get("hi", F.col("i"))))
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy(*own, "i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    near = near.withColumn("upto", upto)
+    out = []
+    for i, (name, (kind, p)) in enumerate(points.items()):
+        x = F.lit(p) * (F.col("n") - 1)
+        first, last = (F.floor(x), F.ceil(x)) if kind == "linear" else (F.bround(x), F.bround(x))
+        at = lambda r, i=i: F.min(F.when((F.col("i") == i) & (F.col("upto") > r), F.col("v")))
+        part = F.max(x - F.floor(x)) if kind == "linear" else F.lit(0.0)
+        out.append((at(first) + (at(last) - at(first)) * part).alias(name))
+    got = near.groupBy(*own).agg(*out)
+    return got.select(*[F.col(o).alias(k) for k, o in zip(keys, own, strict=True)], *points)
 
 
 def ratio(a: Column, b: Column) -> Column:

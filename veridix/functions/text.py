@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import html
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # They must equal the behaviour to be matched.
 STOP_WORDS = ["the", "is", "a", "an", "of", "in", "on", "to", "what", "which", "who", "how"]
@@ -21,13 +27,25 @@ def collapse(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+@F.pandas_udf(StringType())
+def _unescape_all(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
+def unescape_all(c: Column) -> Column:
+    """Every named and numeric character reference of HTML, as the standard library's table has them; for `clean_markup`'s
+    `unescape_with`. Runs in Arrow batches."""
+    return _unescape_all(c)
+
+
 def unescape(c: Column) -> Column:
-    """The named entities of HTML_ENTITIES; a full table needs the injected function of `clean_markup`."""
+    """The named entities of HTML_ENTITIES, in the JVM; `unescape_all` has the full table."""
     for entity, char in HTML_ENTITIES:
         c = F.replace(c, F.lit(entity), F.lit(char))
     return c
 
 
+# The patterns of both clean_markup functions and their order must equal the behaviour to be matched.
 def clean_markup(c: Column, unescape_with=unescape) -> Column:
     """Second generation: entities, line breaks, wiki links, templates, white space, edge marks, in that order."""
     c = unescape_with(c)
@@ -103,9 +121,11 @@ def search_query(entities: Column, query: Column, most: int = 240) -> Column:
 
 
 def search_query_v1(query: Column, summary: Column, history: Column, most: int = 280) -> Column:
-    """The question, an image summary and the last two messages (array of texts)."""
-    last = F.when(F.size(history) > 2, F.slice(history, -2, 2)).otherwise(history)
-    return F.substring(clean_markup_v1(F.concat_ws(" ", query, summary, last)), 1, most)
+    """The question, an image summary and the last two messages (array of texts) that aren't empty, each cleaned."""
+    said = F.filter(history, lambda x: F.coalesce(x, F.lit("")) != "")
+    last = F.when(F.size(said) > 2, F.slice(said, -2, 2)).otherwise(said)
+    parts = F.transform(F.concat(F.array(query, summary), last), lambda x: clean_markup_v1(F.coalesce(x, F.lit(""))))
+    return F.substring(F.array_join(F.filter(parts, lambda x: x != ""), " "), 1, most)
 
 
 def rewrite_query(entity: Column, query: Column, most: int = 240) -> Column:
@@ -146,3 +166,41 @@ def is_url(value: Column) -> Column:
 def number_with_unit(c: Column) -> Column:
     """`100 MiB` -> 100.0; null where no number leads."""
     return F.try_element_at(F.split(F.trim(c), " "), F.lit(1)).try_cast("double")
+
+
+def canonical_sha256(payload: object) -> str:
+    """SHA-256 of a value's JSON with sorted keys and no spaces: equal values, equal hashes. For configurations, on the
+    driver; `row_sha256` has the same for rows."""
+    return hashlib.sha256(json.dumps(payload, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def row_sha256(*names: str) -> Column:
+    """SHA-256 of the named columns' JSON, names in sorted order; nulls are left out."""
+    return F.sha2(F.to_json(F.struct(*sorted(names))), 256)
+
+
+def split_words(c: Column) -> Column:
+    return F.filter(F.split(strip(F.coalesce(c, F.lit(""))), r"(?U)\s+"), lambda t: t != "")
+
+
+def count_tokens(c: Column, tokenize=split_words) -> Column:
+    """How many tokens the injected tokenizer (a function from a Column to an array Column) finds; white space by default."""
+    return F.size(tokenize(c))
+
+
+def truncate_tokens(c: Column, most: int = 75, tokenize=split_words, join: str = " ") -> Column:
+    """The first `most` tokens, joined; texts of no more stay as the tokens say."""
+    return F.array_join(F.slice(tokenize(c), 1, most), join)
+
+
+def clip_batch(size: int, least: int = 1, most: int = 16) -> int:
+    return max(least, min(most, size))
+
+
+def seeded_answer(seed: int, key: Column) -> Column:
+    """A made-up answer of 2 to 16 letters and spaces that seed and key decide, as a baseline agent gives."""
+    digits = F.concat(*[F.md5(F.concat_ws("-", F.lit(str(seed)), key.cast("string"), F.lit(i))) for i in range(2)])
+    at = lambda i: F.conv(F.substring(digits, 1 + 3 * i, 3), 16, 10).cast("int")
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ "
+    text = F.concat(*[F.substring(F.lit(letters), at(i + 1) % len(letters) + 1, F.lit(1)) for i in range(16)])
+    return F.substring(text, F.lit(1), at(0) % 15 + 2)

@@ -1,10 +1,14 @@
-"""Session helpers."""
+"""Session helpers and the shared folder."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -15,8 +19,34 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir where it is set; a folder of our own in local mode, the warehouse elsewhere."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    if spark.sparkContext.master.startswith("local"):
-        return "file://" + tempfile.mkdtemp(prefix="veridix-")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_veridix_checkpoints"
+    if not found:
+        local = spark.sparkContext.master.startswith("local")
+        found = "file://" + tempfile.mkdtemp(prefix="veridix-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_veridix_shared"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/veridix-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(remove_written)
+    _WRITTEN.append((spark, path))
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written once as Parquet to the shared folder and read back: the lineage ends there and its rows are settled."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_written() -> None:
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the JVM may be gone
+            return
