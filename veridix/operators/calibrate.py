@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridix.functions.stats import ratio
+from veridix.functions.text import IDK
+from veridix.operators.order import seeded_shuffle
 
 
 def threshold_grid(rows: DataFrame, grid: list[float], min_coverage: float = 0.0) -> DataFrame:
@@ -52,10 +54,11 @@ def stratified_sample(rows: DataFrame, strata: list[str], key: str, size: int, s
     return picked.withColumn("position", F.row_number().over(Window.orderBy(*order)) - 1).select("position", key, *strata)
 
 
-def align_runs(runs: DataFrame, versions: list[str]) -> DataFrame:
+def align_runs(runs: DataFrame) -> DataFrame:
     """Queries that some version lacks, repeats, or has with another ground truth; none if the runs agree."""
     g = runs.groupBy("query").agg(F.count("*").alias("n"), F.count_distinct("version").alias("versions"), F.count_distinct("ground_truth").alias("truths"))
-    return g.where((F.col("n") != len(versions)) | (F.col("versions") != len(versions)) | (F.col("truths") != 1))
+    all_versions = runs.agg(F.count_distinct("version").alias("__v"))  # one row
+    return g.crossJoin(F.broadcast(all_versions)).where((F.col("n") != F.col("__v")) | (F.col("versions") != F.col("__v")) | (F.col("truths") != 1)).drop("__v")
 
 
 def padded_id(prefix: str, number, width: int = 3):
@@ -70,3 +73,28 @@ def blind_review(runs: DataFrame, seed: int) -> DataFrame:
     g = runs.groupBy("source_order", "query", F.trim("answer").alias("answer")).agg(F.array_join(F.array_sort(F.collect_set("version")), ",").alias("versions"))
     w = Window.partitionBy("source_order").orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("source_order").cast("string"), "answer")), "answer")
     return g.select(padded_id("Q", F.col("source_order") + 1).alias("query_id"), F.row_number().over(w).alias("class_rank"), "answer", "versions")
+
+
+def review_sheet(runs: DataFrame, seed: int) -> DataFrame:
+    """runs (source_order, query, ground_truth, version, answer) -> response_id (R001, in a seeded order of all classes
+    that tells no version), query_id, source_order, query, ground_truth, answer, and empty label, error_cause, rationale."""
+    g = runs.groupBy("source_order", "query", "ground_truth", F.trim("answer").alias("answer")).agg(F.count("*").alias("__n")).drop("__n")
+    out = seeded_shuffle(g, ["source_order", "answer"], seed)
+    blank = [F.lit("").alias(c) for c in ("label", "error_cause", "rationale")]
+    return out.select(padded_id("R", F.col("position") + 1).alias("response_id"), padded_id("Q", F.col("source_order") + 1).alias("query_id"), "source_order", "query", "ground_truth", "answer", *blank)
+
+
+def review_assignments(runs: DataFrame, sheet: DataFrame) -> DataFrame:
+    """response_id, query_id, version: which versions gave which reviewed response."""
+    own = runs.select("source_order", F.trim("answer").alias("answer"), "version")
+    return own.join(sheet.select("response_id", "query_id", "source_order", "answer"), ["source_order", "answer"]).select("response_id", "query_id", "version")
+
+
+def contract_scores(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (prediction, ground_truth) of contract suites -> counts and rates of each run; a refusal is missing, every
+    other answer that isn't the truth a hallucination."""
+    right, idk = F.col("prediction") == F.col("ground_truth"), F.col("prediction") == IDK
+    g = rows.groupBy(*keys).agg(F.count("*").alias("samples"), F.count_if(right).alias("correct"), F.count_if(idk).alias("missing"))
+    g = g.withColumn("hallucination", F.col("samples") - F.col("correct") - F.col("missing"))
+    n = F.col("samples")
+    return g.select("*", ratio(F.col("correct"), n).alias("accuracy"), ratio(F.col("missing"), n).alias("missing_rate"), ratio(F.col("hallucination"), n).alias("hallucination_rate"), ratio(F.col("correct") - F.col("hallucination"), n).alias("truthfulness"))

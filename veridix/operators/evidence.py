@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridix.functions.text import clamp, clean_markup, evidence_line, is_numeric_question, numbers, relevance, strip, terms, token_f1, tokens
+from veridix.functions.text import clamp, clean_markup, clean_markup_v1, evidence_line, is_numeric_question, numbers, relevance, strip, terms, token_f1, tokens
 
 VARIANTS = ["b0", "a1", "a2", "a3", "full", "a2_enrich_all"]
 
@@ -37,13 +37,52 @@ def web_evidence(hits: DataFrame, max_items: int = 3, threshold: float = 0.2) ->
     return c.select("turn_id", "rank", F.concat(F.lit("WEB"), "rank").alias("evidence_id"), F.concat_ws(": ", "title", "snippet").alias("text"), "score", F.col("rel").alias("query_relevance"), "url")
 
 
-def within_budget(evidence: DataFrame, most: int) -> DataFrame:
+def within_budget(evidence: DataFrame, most: int | Column) -> DataFrame:
     """Evidence lines in rank order up to the first that would pass `most` code points in all; line ends don't count."""
     line = evidence_line(F.col("evidence_id"), F.col("score"), F.col("text"))
     out = evidence.withColumn("line", line).withColumn("used", F.sum(F.length("line")).over(Window.partitionBy("turn_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
     return out.where(F.col("used") <= most)
 
 
+def lines_of(evidence: DataFrame, name: str) -> DataFrame:
+    """turn_id and its evidence lines in rank order, one a line."""
+    said = F.array_sort(F.collect_list(F.struct("rank", "line")))
+    return evidence.groupBy("turn_id").agg(F.array_join(F.transform(said, lambda x: x["line"]), "\n").alias(name))
+
+
+def shared_budget(kg: DataFrame, web: DataFrame, turns: DataFrame, most: int) -> DataFrame:
+    """turns (turn_id, ...) with kg_lines and web_lines under one budget: image evidence first, web evidence in what
+    the joined image lines (their line ends too) leave. No evidence: empty."""
+    out = turns.join(lines_of(within_budget(kg, most), "kg_lines"), "turn_id", "left").na.fill("", ["kg_lines"])
+    rest = out.select("turn_id", (F.lit(most) - F.length("kg_lines")).alias("left"))
+    held = within_budget(web.join(rest, "turn_id"), F.col("left"))
+    return out.join(lines_of(held, "web_lines"), "turn_id", "left").na.fill("", ["web_lines"])
+
+
+def leading_names(items: DataFrame, most: int = 2) -> DataFrame:
+    """items (turn_id, rank, text) -> turn_id, names: the first `most` entity names that differ in more than case, in
+    rank order; an item without a name has none."""
+    name = strip(F.split("text", " \\| ", 2)[0])
+    own = items.select("turn_id", "rank", name.alias("name")).where("name <> ''")
+    first = own.groupBy("turn_id", F.lower("name").alias("key")).agg(F.min(F.struct("rank", "name")).alias("x"))
+    ranked = first.withColumn("n", F.row_number().over(Window.partitionBy("turn_id").orderBy("x.rank"))).where(F.col("n") <= most)
+    return ranked.groupBy("turn_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["name"]).alias("names"))
+
+
+def items_by_entity(image: DataFrame, ranked: DataFrame) -> DataFrame:
+    """image items (turn_id, rank, text, score) in the order of their entities' rank (agreement's rows), then their own:
+    with entity_rank and position from 1."""
+    keyed = image.withColumn("key", entity_key(F.col("text"), F.col("rank")))
+    order = ranked.select("turn_id", "entity_rank", F.col("first_rank").alias("rank")).join(keyed.select("turn_id", "rank", "key"), ["turn_id", "rank"]).select("turn_id", "key", "entity_rank")
+    w = Window.partitionBy("turn_id").orderBy("entity_rank", "rank")
+    return keyed.join(order, ["turn_id", "key"]).withColumn("position", F.row_number().over(w)).drop("key")
+
+
+def entity_key(text: Column, rank: Column) -> Column:
+    name = strip(F.split(text, " \\| ", 2)[0])
+    return F.when(name == "", F.concat(F.lit("__unnamed_"), rank - 1)).otherwise(F.array_join(tokens(name), " "))
+
+
 def merge_web(first: DataFrame, second: DataFrame) -> DataFrame:
     """Both results in order, the first of equal url (of equal tokens where there is none), numbered anew."""
     both = first.withColumn("src", F.lit(0)).unionByName(second.withColumn("src", F.lit(1)))
@@ -60,8 +99,7 @@ def agreement(image: DataFrame, web: DataFrame, queries: DataFrame) -> DataFrame
     name = strip(F.split("text", " \\| ", 2)[0])
     attr = F.coalesce(F.get(F.split("text", " \\| ", 2), 1), F.lit(""))
     item = image.select("turn_id", "rank", F.coalesce("score", F.lit(0.0)).alias("score"), name.alias("name"), attr.alias("attr"))
-    key = F.when(F.col("name") == "", F.concat(F.lit("__unnamed_"), F.col("rank") - 1)).otherwise(F.array_join(tokens(F.col("name")), " "))
-    g = item.withColumn("key", key).groupBy("turn_id", "key").agg(F.min("rank").alias("first_rank"), F.max("score").alias("best"), F.min_by("name", "rank").alias("entity_name"), F.count("*").alias("n_items"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "attr"))), lambda x: x["attr"]), " ").alias("attrs"))
+    g = item.withColumn("key", entity_key(F.col("name"), F.col("rank"))).groupBy("turn_id", "key").agg(F.min("rank").alias("first_rank"), F.max("score").alias("best"), F.min_by("name", "rank").alias("entity_name"), F.count("*").alias("n_items"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "attr"))), lambda x: x["attr"]), " ").alias("attrs"))
     pages = web.groupBy("turn_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), " ").alias("web_text"))
     g = g.join(pages, "turn_id", "left").join(queries, "turn_id", "left")
     image_score, web_score, attr_score = clamp(F.col("best")), token_f1(tokens(F.col("entity_name")), tokens(F.col("web_text"))), token_f1(tokens(F.col("query")), tokens(F.col("attrs")))
@@ -104,6 +142,40 @@ def refusal_reason(is_idk: Column, generation_failed: Column, search_failed: Col
     return F.when(is_idk, reason)
 
 
+def score_text(score: Column, lead: str) -> Column:
+    """The lead and the score to three digits; nothing for no score."""
+    return F.coalesce(F.concat(F.lit(lead), F.replace(F.format_number(score, 3), F.lit(","), F.lit(""))), F.lit(""))
+
+
+def image_lines_v1(hits: DataFrame, max_items: int = 3, max_fields: int = 8) -> DataFrame:
+    """First generation: hits (turn_id, hit_pos from 1, score, entity_pos, entity_name, attr_pos, field, value) ->
+    turn_id, evidence: one line a hit of the first max_items, its entities' names and first max_fields attributes with a
+    value; hits without either have no line and keep their number."""
+    c = hits.where(F.col("hit_pos") <= max_items).select("turn_id", "hit_pos", "score", "entity_pos", "attr_pos", clean_markup_v1(F.coalesce("entity_name", F.lit(""))).alias("name"), clean_markup_v1(F.coalesce("field", F.lit(""))).alias("f"), clean_markup_v1(F.coalesce("value", F.lit(""))).alias("v"))
+    pair = F.when(F.col("v") != "", F.struct("attr_pos", F.concat_ws(": ", "f", "v").alias("t")))
+    e = c.groupBy("turn_id", "hit_pos", "score", "entity_pos").agg(F.first("name").alias("name"), F.slice(F.array_sort(F.collect_list(pair)), 1, max_fields).alias("a"))
+    line = F.array_join(F.concat(F.array(F.nullif("name", F.lit(""))), F.transform("a", lambda x: x["t"])), "; ")
+    e = e.withColumn("line", line).where("line <> ''")
+    h = e.groupBy("turn_id", "hit_pos", "score").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entity_pos", "line"))), lambda x: x["line"]), " | ").alias("lines"))
+    h = h.select("turn_id", F.col("hit_pos").alias("rank"), F.concat(F.lit("[Image KG "), "hit_pos", score_text(F.col("score"), ", score="), F.lit("] "), "lines").alias("line"))
+    return lines_of(h, "evidence")
+
+
+def web_lines_v1(hits: DataFrame, max_items: int = 3) -> DataFrame:
+    """First generation: hits (turn_id, pos from 1, score, page_name, page_snippet, page_url) -> turn_id, evidence: one
+    line a hit of the first max_items that has a snippet, with title and address; numbers are the hits'."""
+    clean = lambda c: clean_markup_v1(F.coalesce(c, F.lit("")))
+    c = hits.where(F.col("pos") <= max_items).select("turn_id", F.col("pos").alias("rank"), "score", F.coalesce(F.nullif(clean("page_name"), F.lit("")), F.lit("Untitled page")).alias("title"), clean("page_snippet").alias("snippet"), clean("page_url").alias("url")).where("snippet <> ''")
+    source = F.when(F.col("url") != "", F.concat("title", F.lit(" ("), "url", F.lit(")"))).otherwise(F.col("title"))
+    return lines_of(c.select("turn_id", "rank", F.concat(F.lit("[Web "), "rank", score_text(F.col("score"), ", score="), F.lit("] "), source, F.lit(": "), "snippet").alias("line")), "evidence")
+
+
+def info_lines(hits: DataFrame) -> DataFrame:
+    """The plain retrieval agent's context: turn_id, evidence: `[Info i] snippet` of the hits that have one."""
+    c = hits.where(F.coalesce("page_snippet", F.lit("")) != "")
+    return lines_of(c.select("turn_id", F.col("pos").alias("rank"), F.concat(F.lit("[Info "), "pos", F.lit("] "), "page_snippet").alias("line")), "evidence")
+
+
 def prompt(mode: Column, question: Column, kg_lines: Column, web_lines: Column) -> Column:
     """Instructions, the evidence that the mode may see, and the question."""
     rules = F.lit("Answer briefly from the picture and the evidence. If they don't settle it, answer exactly: I don't know")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridix.session import written
+
+MESSAGES = "array<struct<role:string,content:string>>"
 Backend = Callable[[list[str], list[list[dict]]], list[str]]
 
 
@@ -18,19 +21,16 @@ def echo_backend(queries: list[str], histories: list[list[dict]]) -> list[str]:
 
 def wave_generate(turns: DataFrame, backend: Backend = echo_backend, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """turns (session_id, turn_idx, query[, forced_answer]) -> with agent_response. Each wave is one pass whose rows
-    carry the messages of their session's earlier waves; forced answers skip the backend. `cut` ends the lineage
-    between waves (checkpoint() where none is given). A backend that returns another count of answers raises."""
-    spark = turns.sparkSession
-    if cut is None:
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            from veridix.session import shared_dir
-
-            spark.sparkContext.setCheckpointDir(shared_dir(spark))
-        cut = lambda df: df.checkpoint()
+    carry the messages of their session's earlier waves; a wave hands the messages on, so each is read once by the next.
+    Forced answers skip the backend. `cut` ends the lineage between waves (a table in the shared folder where none is
+    given). A backend that returns another count of answers raises."""
+    cut = cut or written
     if "forced_answer" not in turns.columns:
         turns = turns.withColumn("forced_answer", F.lit(None).cast("string"))
-    last = turns.agg(F.max("turn_idx")).first()[0]
-    done = None
+    # waves by place in the session, so a number that is left out loses no message
+    turns = turns.withColumn("wave", F.row_number().over(Window.partitionBy("session_id").orderBy("turn_idx")) - 1)
+    last = turns.agg(F.max("wave")).first()[0]
+    done, told = None, None
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -41,18 +41,17 @@ def wave_generate(turns: DataFrame, backend: Backend = echo_backend, cut: Callab
                 raise ValueError("the backend returned another number of answers")
             answers = pdf["forced_answer"].astype(object).copy()
             answers[active] = got
-            yield pd.DataFrame({"session_id": pdf["session_id"], "turn_idx": pdf["turn_idx"], "query": pdf["query"], "agent_response": answers})
+            now = [[*h, {"role": "user", "content": q}, {"role": "assistant", "content": a}] for h, q, a in zip(histories, pdf["query"], answers, strict=True)]
+            yield pd.DataFrame({"session_id": pdf["session_id"], "turn_idx": pdf["turn_idx"], "query": pdf["query"], "agent_response": answers, "history": now})
 
     for i in range((last if last is not None else -1) + 1):
-        wave = turns.where(F.col("turn_idx") == i).select("session_id", "turn_idx", "query", "forced_answer")
-        if done is None:
-            wave = wave.withColumn("history", F.array().cast("array<struct<role:string,content:string>>"))
+        wave = turns.where(F.col("wave") == i).select("session_id", "turn_idx", "query", "forced_answer")
+        if told is None:
+            wave = wave.withColumn("history", F.array().cast(MESSAGES))
         else:
-            said = F.array_sort(F.collect_list(F.struct("turn_idx", "query", "agent_response")))
-            m = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
-            past = done.groupBy("session_id").agg(F.flatten(F.transform(said, lambda t: F.array(m("user", t["query"]), m("assistant", t["agent_response"])))).alias("history"))
-            wave = wave.join(past, "session_id", "left")
+            wave = wave.join(told, "session_id", "left")
         kind = {f.name: f.dataType.simpleString() for f in turns.schema}
-        made = cut(wave.mapInPandas(run, f"session_id {kind['session_id']}, turn_idx {kind['turn_idx']}, query string, agent_response string"))
+        made = cut(wave.mapInPandas(run, f"session_id {kind['session_id']}, turn_idx {kind['turn_idx']}, query string, agent_response string, history {MESSAGES}"))
+        told, made = made.select("session_id", "history"), made.drop("history")
         done = made if done is None else done.unionAll(made)
     return done if done is not None else turns.select("session_id", "turn_idx", "query", F.lit(None).cast("string").alias("agent_response"))

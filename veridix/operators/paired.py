@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridix.functions.stats import mcnemar_p, percentile_linear, ratio
+from veridix.operators.order import group_positions, positions
 
 LABELS = ["correct", "partial", "incorrect", "missing"]
 LABEL_METRICS = ["accuracy", "missing", "hallucination", "truthfulness", "coverage"]
+BOOTSTRAP_METRICS = LABEL_METRICS[:4]
 
 
 def checked(reviews: DataFrame) -> DataFrame:
@@ -16,15 +18,31 @@ def checked(reviews: DataFrame) -> DataFrame:
     return reviews.withColumn("label", F.when(ok, F.col("label")).otherwise(F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce("label", F.lit("null")))).cast("string")))
 
 
-def scoped(reviews: DataFrame, primary_from: int = 10) -> DataFrame:
-    """Every row in scope `all`, those with source_order >= primary_from in `primary` too."""
+def unsupported(reviews: DataFrame, keys: list[str], allowed: list[str] = LABELS) -> DataFrame:
+    """keys, labels: the labels of each group that aren't allowed, sorted; groups without any have no row."""
+    g = reviews.groupBy(*keys).agg(F.array_sort(F.array_except(F.collect_set("label"), F.array(*[F.lit(x) for x in allowed]))).alias("labels"))
+    return g.where(F.size("labels") > 0)
+
+
+def scoped(reviews: DataFrame, primary_from: int = 10, strict: bool = False) -> DataFrame:
+    """Every row in scope `all`, those with source_order >= primary_from in `primary` too. Strict: an empty primary
+    scope raises."""
+    if strict and reviews.where(F.col("source_order") >= primary_from).isEmpty():
+        raise ValueError(f"no review has a source_order of {primary_from} or more")
     both = F.when(F.col("source_order") >= primary_from, F.array(F.lit("all"), F.lit("primary"))).otherwise(F.array(F.lit("all")))
     return reviews.withColumn("scope", F.explode(both))
 
 
+def primary_ids(reviews: DataFrame, primary_from: int = 10) -> DataFrame:
+    """query_id, source_order, position from 0: the primary scope's queries in source order."""
+    own = reviews.where(F.col("source_order") >= primary_from).groupBy("query_id").agg(F.min("source_order").alias("source_order"))
+    return positions(own, ["source_order", "query_id"])
+
+
 def label_metrics(reviews: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts and rates of the labels of each group; with keys [] over all rows, where none raises."""
     n = lambda x: F.count_if(F.col("label") == x)
-    g = reviews.groupBy(*keys).agg(F.count("*").alias("total"), n("correct").alias("n_correct"), n("partial").alias("n_partial"), n("incorrect").alias("n_incorrect"), n("missing").alias("n_missing"))
+    g = reviews.groupBy(*keys).agg(F.when(F.count("*") == 0, F.raise_error(F.lit("at least one label is required")).cast("long")).otherwise(F.count("*")).alias("total"), n("correct").alias("n_correct"), n("partial").alias("n_partial"), n("incorrect").alias("n_incorrect"), n("missing").alias("n_missing"))
     t, bad = F.col("total"), F.col("n_partial") + F.col("n_incorrect")
     return g.select(*keys, "total", "n_correct", "n_partial", "n_incorrect", "n_missing", ratio(F.col("n_correct"), t).alias("accuracy"), ratio(F.col("n_missing"), t).alias("missing"), ratio(bad, t).alias("hallucination"), (ratio(F.col("n_correct"), t) - ratio(bad, t)).alias("truthfulness"), (1 - ratio(F.col("n_missing"), t)).alias("coverage"))
 
@@ -60,22 +78,28 @@ def refusal_quality(paired: DataFrame) -> DataFrame:
     return paired.groupBy("scope", "version").agg(F.count_if(miss).alias("missing"), F.count_if(miss & (F.col("base_label") == "correct")).alias("harmful"), F.count_if(miss & (F.col("base_label") == "missing")).alias("also_missing"), F.count_if(miss & F.col("base_label").isin("partial", "incorrect")).alias("avoided"))
 
 
-def bootstrap_ci(paired: DataFrame, samples: int = 200, seed: int = 20260712) -> DataFrame:
-    """Percentile intervals of the truthfulness delta. Draw j of sample b of a scope takes the query at a hashed rank,
-    the same for both arms and for all versions; queries are ranked by id within their scope."""
-    value = lambda c: F.when(F.col(c) == "correct", 1).when(F.col(c).isin("partial", "incorrect"), -1).otherwise(0)
-    ids = paired.select("scope", "query_id").distinct()
-    ids = ids.join(ids.groupBy("scope").agg(F.count("*").alias("n")), "scope")
-    # ranks by counting: each scope's queries are one array, as many as a human review has
-    ranked = ids.groupBy("scope").agg(F.array_sort(F.collect_list("query_id")).alias("q"), F.first("n").alias("n"))
-    draws = ranked.select("scope", "n", "q", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b"))
-    draws = draws.select("scope", "n", "q", "b", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("j"))
+def bootstrap_ci(paired: DataFrame, samples: int = 10_000, seed: int = 20260712) -> DataFrame:
+    """pairs -> scope, version, metric, observed_delta, ci_low, ci_high, bootstrap_samples, seed: percentile intervals of
+    every metric's delta over resamples of the queries with replacement, drawn alike for both arms and all versions.
+
+    Draw j of sample b of a scope takes the query whose index (see group_positions) a hash of seed, scope, b and j
+    names. A draw is four narrow columns; what a sample draws is summed before it is shuffled.
+    """
+    one = lambda c, *x: F.col(c).isin(*x).cast("int")
+    sides = {"accuracy": ("correct",), "missing": ("missing",), "hallucination": ("partial", "incorrect")}
+    diff = paired.select("scope", "version", "query_id", *[(one("label", *x) - one("base_label", *x)).alias(m) for m, x in sides.items()])
+    diff = diff.withColumn("truthfulness", F.col("accuracy") - F.col("hallucination"))
+    ids = group_positions(paired.select("scope", "query_id").distinct(), "scope", "query_id", "i")
+    drawn = ids.groupBy("scope").agg(F.count("*").alias("n")).select("scope", "n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b"))
+    drawn = drawn.repartition("scope", "b").select("scope", "n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
     code = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), "scope", F.col("b").cast("string"), F.col("j").cast("string"))), 1, 8), 16, 10).cast("long")
-    draws = draws.select("scope", "b", F.get("q", F.pmod(code, F.col("n")).cast("int")).alias("query_id"))
-    weight = draws.groupBy("scope", "b", "query_id").agg(F.count("*").alias("w"))
-    diff = paired.select("scope", "version", "query_id", (value("label") - value("base_label")).alias("d"))
-    per = weight.join(diff, ["scope", "query_id"]).groupBy("scope", "version", "b").agg((F.sum(F.col("w") * F.col("d")).cast("double") / F.sum("w")).alias("delta"))
-    return per.groupBy("scope", "version").agg(F.count("*").alias("samples"), percentile_linear(F.col("delta"), 0.025).alias("low"), percentile_linear(F.col("delta"), 0.975).alias("high"))
+    drawn = drawn.select("scope", "b", F.pmod(code, F.col("n")).alias("i"))
+    rows = diff.join(ids, ["scope", "query_id"]).select("scope", "version", "i", *BOOTSTRAP_METRICS)
+    per = drawn.join(rows, ["scope", "i"]).groupBy("scope", "version", "b").agg(*[(F.sum(m).cast("double") / F.count("*")).alias(m) for m in BOOTSTRAP_METRICS])
+    long = lambda df, *keep: df.select("scope", "version", *keep, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("delta")) for m in BOOTSTRAP_METRICS])).alias("x")).select("scope", "version", *keep, "x.*")
+    ci = long(per).groupBy("scope", "version", "metric").agg(percentile_linear(F.col("delta"), 0.025).alias("ci_low"), percentile_linear(F.col("delta"), 0.975).alias("ci_high"), F.count("*").alias("bootstrap_samples"))  # as many values a group as samples
+    observed = long(diff.groupBy("scope", "version").agg(*[F.avg(m).alias(m) for m in BOOTSTRAP_METRICS])).withColumnRenamed("delta", "observed_delta")
+    return observed.join(ci, ["scope", "version", "metric"]).withColumn("seed", F.lit(seed).cast("long"))
 
 
 def expand_reviews(assignments: DataFrame, reviews: DataFrame, queries: DataFrame) -> DataFrame:

@@ -1,18 +1,44 @@
-"""Exact top-k retrieval: by cosine over embeddings, by shared tokens over pages."""
+"""Exact top-k retrieval: by cosine over embeddings, by shared tokens over pages, or by a search that is called."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridix.functions.text import tokens
 
-#: Vectors of a block of queries; a block is broadcast, so its size is what bounds memory.
-QUERY_BLOCK = 4096
+#: Bytes of the queries that are broadcast at once, and queries that meet a batch of the index at once.
+QUERY_BYTES, QUERY_BLOCK = 64 << 20, 4096
+#: Cells of a block of scores.
+CELLS = 1 << 22
+
+
+def rounded(x: np.ndarray) -> np.ndarray:
+    """To six digits, halves up."""
+    return np.floor(x * 1e6 + 0.5) / 1e6
+
+
+def best(ids: np.ndarray, items: np.ndarray, scores: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best items of each query (row of scores) over zero, ties to the smaller item."""
+    order = np.lexsort((np.broadcast_to(items, scores.shape), -scores), axis=1)[:, :k]
+    got = np.take_along_axis(scores, order, 1).ravel()
+    q, i = np.repeat(ids, order.shape[1]), items[order].ravel()
+    ok = ~np.isneginf(got)
+    return pa.RecordBatch.from_arrays([pa.array(q[ok]), pa.array(i[ok]), pa.array(got[ok])], names=["query_id", "item_id", "score"])
+
+
+def query_blocks(queries: DataFrame, size: Column) -> Iterator[DataFrame]:
+    """The queries in as many parts as their total size needs, QUERY_BYTES each on average."""
+    total = queries.agg(F.sum(size)).first()[0] or 0
+    parts = int(total // QUERY_BYTES) + 1
+    for i in range(parts):
+        yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
 
 
 def top_k(hits: DataFrame, k: int, query: str = "query_id", score: str = "score", item: str = "item_id") -> DataFrame:
@@ -23,16 +49,16 @@ def top_k(hits: DataFrame, k: int, query: str = "query_id", score: str = "score"
 def cosine_top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """index (item_id, embedding), queries (query_id, embedding) -> query_id, item_id, score, rank.
 
-    A block of queries goes to every task, which multiplies its part of the index with it and keeps k a query; the
-    parts' winners meet in one window over at most tasks * k rows a query. Scores round to six digits, ties go to
-    the smaller item_id. Null vectors and vectors of norm zero are left out.
+    Queries go to every task, QUERY_BYTES of them at once, so a pass over the index serves all queries unless they are
+    more. A task multiplies its part of the index with them and keeps k a query; the parts' winners meet in one window
+    over at most tasks * k rows a query. Scores round to six digits, ties go to the smaller item_id. Null vectors and
+    vectors of norm zero are left out.
     """
     spark = index.sparkSession
-    own = queries.where("query_id is not null and embedding is not null")
-    blocks = max(1, -(-own.count() // QUERY_BLOCK))
-    out = None
-    for i in range(blocks):
-        rows = own.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).orderBy("query_id").toPandas()
+    own = queries.where("query_id is not null and embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    found = None
+    for part in query_blocks(own, F.size("embedding") * 8):
+        rows = part.orderBy("query_id").toPandas()
         q = np.array(rows["embedding"].tolist(), np.float64).reshape(len(rows), -1)
         sent = spark.sparkContext.broadcast((rows["query_id"].to_numpy(np.int64), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)))
 
@@ -43,24 +69,142 @@ def cosine_top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 if not len(x) or not len(ids):
                     continue
                 norm = np.linalg.norm(x, axis=1)
-                items = np.asarray(b.column(0))[norm > 0]
-                s = np.round(q @ (x[norm > 0] / norm[norm > 0, None]).T, 6)
-                order = np.lexsort((np.broadcast_to(items, s.shape), -s), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(items[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["query_id", "item_id", "score"])
+                items, x = np.asarray(b.column(0))[norm > 0], x[norm > 0] / norm[norm > 0, None]
+                for i in range(0, len(ids), QUERY_BLOCK):
+                    yield best(ids[i : i + QUERY_BLOCK], items, np.round(q[i : i + QUERY_BLOCK] @ x.T, 6), k)
 
-        found = index.where("item_id is not null and embedding is not null").select(F.col("item_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "query_id long, item_id long, score double")
-        out = found if out is None else out.unionAll(found)
-    return top_k(out, k)
+        got = index.where("item_id is not null and embedding is not null").select(F.col("item_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "query_id long, item_id long, score double")
+        found = got if found is None else found.unionAll(got)
+    return top_k(found, k)
 
 
 def lexical_top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """index (item_id, text), queries (query_id, text) -> query_id, item_id, score (token-set F1), rank.
 
-    Only items that share a token with a query meet it, by an equi-join on tokens; tokens count once a text.
+    As cosine_top_k: the queries' postings go to every task, which counts shared tokens item by item and keeps k a query.
+    No row is made for a shared token, so common words cost a count, not a shuffle. Tokens are made and hashed in the
+    JVM; items that share none aren't found. Null ids are left out.
     """
-    split = lambda df, i: df.select(i, F.array_distinct(tokens(F.col("text"))).alias("t"))
-    a, b = split(index, "item_id"), split(queries, "query_id")
-    ta, tb = a.select("item_id", F.size("t").alias("na"), F.explode("t").alias("token")), b.select("query_id", F.size("t").alias("nb"), F.explode("t").alias("token"))
-    both = tb.join(ta, "token").groupBy("query_id", "item_id").agg(F.count("*").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    p, r = F.col("o") / F.col("na"), F.col("o") / F.col("nb")
-    return top_k(both.select("query_id", "item_id", F.round(2 * p * r / (p + r), 6).alias("score")), k)
+    spark = index.sparkSession
+    hashed = lambda df, i: df.where(F.col(i).isNotNull()).select(F.col(i).cast("long").alias(i), F.transform(F.array_distinct(tokens(F.col("text"))), lambda t: F.xxhash64(t)).alias("t"))
+    own, items_of = hashed(queries, "query_id"), hashed(index, "item_id")
+    found = None
+    for part in query_blocks(own, F.size("t") * 8):
+        rows = part.orderBy("query_id").toPandas()
+        size = rows["t"].map(len).to_numpy(np.int64)
+        flat = np.array([h for x in rows["t"] for h in x], np.int64)
+        order = np.argsort(flat, kind="stable")
+        words, first = np.unique(flat[order], return_index=True)
+        sent = spark.sparkContext.broadcast((rows["query_id"].to_numpy(np.int64), size, words, np.append(first, len(flat)), np.repeat(np.arange(len(rows)), size)[order]))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, size, words, first, who = sent.value
+            for b in batches:
+                if not len(words):
+                    continue
+                step = max(1, CELLS // len(ids))
+                for lo in range(0, b.num_rows, step):
+                    part = b.slice(lo, step)
+                    lists = part.column(1).to_pylist()
+                    n = np.array([len(x) for x in lists], np.int64)
+                    t = np.array([h for x in lists for h in x], np.int64)
+                    row = np.repeat(np.arange(len(lists)), n)
+                    at = np.minimum(np.searchsorted(words, t), len(words) - 1)
+                    known = words[at] == t
+                    at, row = at[known], row[known]
+                    shared = np.zeros((len(lists), len(ids)))
+                    held = first[at + 1] - first[at]
+                    ends = np.cumsum(held)
+                    cuts = np.searchsorted(ends, np.arange(0, (ends[-1] if len(ends) else 0) + CELLS, CELLS), side="right")
+                    for i, j in zip(cuts[:-1], cuts[1:], strict=True):  # the postings of so many tokens at once
+                        h = held[i:j]
+                        spot = np.arange(h.sum()) + np.repeat(first[at[i:j]] - np.append(0, np.cumsum(h)[:-1]), h)
+                        shared += np.bincount(np.repeat(row[i:j], h) * len(ids) + who[spot], minlength=shared.size).reshape(shared.shape)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        p, r = shared / n[:, None], shared / size[None, :]
+                        score = np.where(shared > 0, rounded(2 * p * r / (p + r)), -np.inf)
+                    yield best(ids, np.asarray(part.column(0)), score.T, k)
+
+        got = items_of.mapInArrow(run, "query_id long, item_id long, score double")
+        found = got if found is None else found.unionAll(got)
+    return top_k(found, k)
+
+
+# ---------------------------------------------------------------- searches that are called
+
+Search = Callable[[object, int], list[dict]]
+
+
+def with_retries(call: Callable[[], object], attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> object:
+    """What the call returns; after a failure it waits 1, 2, 4, ... seconds and tries again, `attempts` times in all."""
+    if attempts <= 0:
+        raise ValueError("attempts must be positive")
+    for n in range(attempts):
+        try:
+            return call()
+        except Exception:
+            if n + 1 == attempts:
+                raise
+            sleep(2**n)
+    raise AssertionError
+
+
+def unified_search(mode: str, image: Search | None = None, text: Search | None = None) -> Search:
+    """One search over both sources: texts go to the web index, everything else to the image index. Mode `vision` has no
+    source, `task1` the image index alone, `task2` both; asking a source that is off raises."""
+    sources = {"vision": (None, None), "task1": (image, None), "task2": (image, text)}
+    if mode not in sources:
+        raise ValueError(f"unknown mode: {mode}")
+
+    def search(value: object, k: int) -> list[dict]:
+        at = sources[mode][isinstance(value, str)]
+        if at is None:
+            raise RuntimeError("search pipeline is not configured")
+        return at(value, k)
+
+    return search
+
+
+def called_search(queries: DataFrame, search: Search, k: int, hit: str, source: str = "web") -> DataFrame:
+    """queries (turn_id, value) -> turn_id, hits (array of `hit`, a struct type in DDL), error, search_status: what the
+    injected search returns; a search that fails gives no hits, the error and the status search_error."""
+    kind = queries.schema["turn_id"].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for turn, value in zip(pdf["turn_id"], pdf["value"], strict=True):
+                try:
+                    rows.append((turn, list(search(value, k) or []), None, "ok"))
+                except Exception as e:  # noqa: BLE001  the record is the result
+                    rows.append((turn, [], f"{source} search failed: {type(e).__name__}: {e}", "search_error"))
+            yield pd.DataFrame(rows, columns=["turn_id", "hits", "error", "search_status"])
+
+    return queries.select("turn_id", "value").mapInPandas(run, f"turn_id {kind}, hits array<{hit}>, error string, search_status string")
+
+
+def fetched(urls: DataFrame, get: Callable[[str], bytes], attempts: int = 3) -> DataFrame:
+    """urls (url) -> url, content, error: bytes by the injected get, each address once; a failure after the retries is
+    an error row, as is content that is no picture (see is_image)."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for url in pdf["url"]:
+                try:
+                    body = with_retries(lambda url=url: get(url), attempts)
+                    rows.append((url, body, None) if is_image(body) else (url, None, "not an image"))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((url, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["url", "content", "error"])
+
+    return urls.where("url is not null").select("url").distinct().mapInPandas(run, "url string, content binary, error string")
+
+
+# The first bytes of picture formats.
+SIGNATURES = (b"\xff\xd8\xff", b"\x89PNG\r\n\x1a\n", b"GIF87a", b"GIF89a", b"BM", b"II*\x00", b"MM\x00*")
+
+
+def is_image(body: bytes | None) -> bool:
+    """Whether the bytes begin as a picture does."""
+    return bool(body) and (body.startswith(SIGNATURES) or (body[:4] == b"RIFF" and body[8:12] == b"WEBP"))

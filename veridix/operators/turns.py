@@ -15,6 +15,11 @@ def as_structs(df: DataFrame, column: str):
     return F.arrays_zip(*[F.col(f"{column}.{f.name}").alias(f.name) for f in kind.fields])
 
 
+def first_value(df: DataFrame, column: str, key: str):
+    """A field of the first entry of a column in either layout; null of none."""
+    return F.get(as_structs(df, column), 0)[key]
+
+
 def explode_turns(conversations: DataFrame, skipped_sessions: tuple[str, ...] = ()) -> DataFrame:
     """One row per turn: session_id, is_ego, turn_idx from 0, total_turn_count, the turn's fields and its answer.
 
@@ -33,6 +38,13 @@ def with_history(turns: DataFrame, fields: list[str], session: str = "session_id
     return turns.withColumn("history", F.collect_list(F.struct(*fields)).over(w))
 
 
+def checked_history(turns: DataFrame, answer: str = "agent_response") -> DataFrame:
+    """turns with history, or an error where an earlier turn has no answer or an empty one."""
+    bad = F.exists("history", lambda h: h[answer].isNull() | (h[answer] == ""))
+    kind = turns.schema["history"].dataType
+    return turns.withColumn("history", F.when(bad, F.raise_error(F.lit("an earlier turn has no response")).cast(kind)).otherwise(F.col("history")))
+
+
 def messages(history: str, question: str = "query", answer: str = "agent_response"):
     """A history array as interleaved user and assistant messages."""
     m = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veridix.functions.text import IDK
 from veridix.operators.evidence import kg_evidence, web_evidence
 from veridix.operators.retrieval import cosine_top_k, lexical_top_k
 
@@ -48,12 +49,17 @@ def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    action = F.when(F.col("event_type") == "error", "abstain").when(F.col("event_type") == "purchase", "expand").otherwise("answer")
-    return table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 2).alias("gpu"), "event_type", action.alias("gate_action"), F.col("value").alias("total_ms"), (F.lit(2) + F.when(F.col("event_type") == "purchase", 1).otherwise(0)).cast("long").alias("search_calls"))
+    """Events as traces; whole milliseconds divided by powers of two, so no rounding meets a tie."""
+    kind, n, ms = F.col("event_type"), F.col("event_id"), F.floor("value").cast("double")
+    action = F.when(kind == "error", "abstain").when(kind == "purchase", "expand").otherwise("answer")
+    some = lambda x, k: F.array_repeat(F.lit(x), (n % k).cast("int"))
+    e = table(spark, sf_dir, "events").withColumn("gate_action", action)
+    return e.select("event_id", F.concat(F.lit("t"), n).alias("trace_id"), (F.col("user_id") % 2).alias("gpu"), "event_type", "gate_action", F.when(kind == "error", "search_error").otherwise("ok").alias("status"), F.col("value").alias("total_ms"), (ms / 2).alias("generation_ms"), ms.alias("image_search_ms"), (ms / 4).alias("web_search_ms"), (F.lit(2) + F.when(kind == "purchase", 1).otherwise(0)).cast("long").alias("search_call_count"), F.when(kind == "purchase", n % 3).otherwise(0).cast("long").alias("additional_web_evidence"), some("i", 4).alias("image_evidence"), some("w", 3).alias("web_evidence"), (n % 60 + 40).alias("answer_token_count"), F.when(F.col("gate_action") == "abstain", IDK).otherwise("an answer").alias("answer"))
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select((F.col("user_id") % 2).alias("gpu"), F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").cast("double").alias("mem_mib"), F.least(F.col("value"), F.lit(100.0)).alias("util"))
+    n = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 2).alias("gpu"), F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").cast("double").alias("mem_mib"), F.least(F.col("value"), F.lit(100.0)).alias("util"), (n % 50 + 30).cast("double").alias("temp_c"), (n % 300 + 100).cast("double").alias("power_w"))
 
 
 def part_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,13 +46,16 @@ PAIRS = REVIEWS + """,
 p AS (SELECT v.scope, v.version, v.query_id, b.label AS base_label, v.label FROM s v JOIN s b ON v.scope = b.scope AND v.query_id = b.query_id AND b.version = 'b0' WHERE v.version <> 'b0')"""
 ORACLE["label_metrics"] = METRICS + " SELECT scope, version, total, n_correct, n_partial, n_incorrect, n_missing, " + ", ".join(R.format(c, c) for c in ("accuracy", "missing", "hallucination", "truthfulness", "coverage")) + " FROM m"
 ORACLE["paired_deltas"] = METRICS + " SELECT v.scope, v.version, " + ", ".join(R.format(f"v.{c} - b.{c}", f"delta_{c}") for c in ("accuracy", "missing", "hallucination", "truthfulness", "coverage")) + " FROM m v JOIN m b ON v.scope = b.scope AND b.version = 'b0' WHERE v.version <> 'b0'"
-ORACLE["bootstrap_ci"] = PAIRS + """,
-q AS (SELECT scope, query_id, row_number() OVER (PARTITION BY scope ORDER BY query_id) - 1 AS i, count(*) OVER (PARTITION BY scope) AS n FROM (SELECT DISTINCT scope, query_id FROM p)),
-dr AS (SELECT scope, b, (('0x' || substr(md5('20260712-' || scope || '-' || b || '-' || i), 1, 8))::BIGINT) % n AS i FROM q, range(200) t(b)),
-w AS (SELECT dr.scope, dr.b, q.query_id, count(*) AS w FROM dr JOIN q ON dr.scope = q.scope AND dr.i = q.i GROUP BY 1, 2, 3),
-v AS (SELECT scope, version, query_id, (CASE label WHEN 'correct' THEN 1 WHEN 'missing' THEN 0 ELSE -1 END) - (CASE base_label WHEN 'correct' THEN 1 WHEN 'missing' THEN 0 ELSE -1 END) AS d FROM p),
-x AS (SELECT w.scope, version, b, sum(w * d)::DOUBLE / sum(w) AS delta FROM w JOIN v ON w.scope = v.scope AND w.query_id = v.query_id GROUP BY 1, 2, 3)
-SELECT scope, version, count(*) AS samples, round(quantile_cont(delta, 0.025), 6) AS low, round(quantile_cont(delta, 0.975), 6) AS high FROM x GROUP BY 1, 2"""
+_D = {"accuracy": "{0} = 'correct'", "missing": "{0} = 'missing'", "hallucination": "{0} IN ('partial', 'incorrect')"}
+_ONE = {m: f"({x.format('label')})::INT - ({x.format('base_label')})::INT" for m, x in _D.items()}
+ORACLE["bootstrap_ci"] = PAIRS + f""",
+q AS (SELECT scope, query_id, row_number() OVER (PARTITION BY scope ORDER BY substr(md5(query_id::VARCHAR), 1, 3), query_id) - 1 AS i, count(*) OVER (PARTITION BY scope) AS n FROM (SELECT DISTINCT scope, query_id FROM p)),
+dr AS (SELECT scope, b, (('0x' || substr(md5('20260712-' || scope || '-' || b || '-' || i), 1, 8))::BIGINT) % n AS i FROM q, range(10000) t(b)),
+v AS (SELECT p.scope, version, i, {_ONE['accuracy']} AS accuracy, {_ONE['missing']} AS missing, {_ONE['hallucination']} AS hallucination FROM p JOIN q ON p.scope = q.scope AND p.query_id = q.query_id),
+x AS (SELECT dr.scope, version, b, sum(accuracy)::DOUBLE / count(*) AS accuracy, sum(missing)::DOUBLE / count(*) AS missing, sum(hallucination)::DOUBLE / count(*) AS hallucination, sum(accuracy - hallucination)::DOUBLE / count(*) AS truthfulness FROM dr JOIN v ON dr.scope = v.scope AND dr.i = v.i GROUP BY 1, 2, 3),
+o AS (SELECT scope, version, avg(accuracy) AS accuracy, avg(missing) AS missing, avg(hallucination) AS hallucination, avg(accuracy - hallucination) AS truthfulness FROM v GROUP BY 1, 2),
+xl AS (UNPIVOT x ON accuracy, missing, hallucination, truthfulness INTO NAME metric VALUE delta), ol AS (UNPIVOT o ON accuracy, missing, hallucination, truthfulness INTO NAME metric VALUE delta)
+SELECT xl.scope, xl.version, xl.metric, round(any_value(ol.delta), 6) AS observed_delta, round(quantile_cont(xl.delta, 0.025), 6) AS ci_low, round(quantile_cont(xl.delta, 0.975), 6) AS ci_high, count(*) AS bootstrap_samples, 20260712::BIGINT AS seed FROM xl JOIN ol ON xl.scope = ol.scope AND xl.version = ol.version AND xl.metric = ol.metric GROUP BY 1, 2, 3"""
 ORACLE["mcnemar"] = PAIRS + """,
 k AS (SELECT scope, version, count(*) FILTER (base_label = 'correct' AND label <> 'correct') AS b, count(*) FILTER (base_label <> 'correct' AND label = 'correct') AS c FROM p GROUP BY 1, 2)
 SELECT scope, version, b, c, round(CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2.0))))) END, 6) AS p_value FROM k"""
@@ -74,17 +77,22 @@ y AS (SELECT *, row_number() OVER (ORDER BY rn, hs, doc_id) - 1 AS position FROM
 ORACLE["blind_review_classes"] = REVIEWS + """,
 g AS (SELECT source_order, label || '-' || (n_chars % 3) AS answer, string_agg(DISTINCT version, ',' ORDER BY version) AS versions FROM r GROUP BY 1, 2)
 SELECT 'Q' || CASE WHEN length((source_order + 1)::VARCHAR) < 3 THEN lpad((source_order + 1)::VARCHAR, 3, '0') ELSE (source_order + 1)::VARCHAR END AS query_id, row_number() OVER (PARTITION BY source_order ORDER BY md5('11-' || source_order || '-' || answer), answer) AS class_rank, answer, versions FROM g"""
-ORACLE["run_alignment"] = REVIEWS + """,
-n AS (SELECT count(DISTINCT version) AS v FROM r), z AS (SELECT query_id::VARCHAR AS query, count(*) AS n, count(DISTINCT version) AS versions, 1::BIGINT AS truths FROM r WHERE source_order % 7 <> 0 OR version <> 'a1' GROUP BY 1)
+ORACLE["run_alignment"] = """WITH r AS (SELECT (doc_id // 20)::VARCHAR AS query, source AS version FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)), n AS (SELECT count(DISTINCT version) AS v FROM r),
+z AS (SELECT query, count(*) AS n, count(DISTINCT version) AS versions, 1::BIGINT AS truths FROM r GROUP BY 1)
 SELECT query, z.n, versions, truths FROM z, n WHERE z.n <> v OR versions <> v"""
 
-TRACES = """WITH t AS (SELECT event_id, user_id % 2 AS gpu, event_type, CASE event_type WHEN 'error' THEN 'abstain' WHEN 'purchase' THEN 'expand' ELSE 'answer' END AS gate_action, value AS total_ms, 2 + (event_type = 'purchase')::BIGINT AS search_calls FROM events)"""
-ORACLE["trace_summary"] = TRACES + """ SELECT gpu, count(*) AS n, round(quantile_cont(total_ms, 0.5), 6) AS p50_ms, round(quantile_cont(total_ms, 0.95), 6) AS p95_ms, round(avg(search_calls), 6) AS mean_search_calls, sum(search_calls)::BIGINT AS search_calls,
-  count(*) FILTER (gate_action = 'answer') AS n_answer, count(*) FILTER (gate_action = 'expand') AS n_expand, count(*) FILTER (gate_action = 'abstain') AS n_abstain FROM t GROUP BY 1"""
-ORACLE["nearest_rank_latency"] = TRACES + """ SELECT event_type, count(*) AS n, round(min(total_ms), 6) AS min_ms, round(list_sort(list(total_ms))[round_even(0.5 * (count(*) - 1), 0)::BIGINT + 1], 6) AS p50_nearest_ms,
+TRACES = """WITH t AS (SELECT event_id, 't' || event_id AS trace_id, user_id % 2 AS gpu, event_type, CASE event_type WHEN 'error' THEN 'abstain' WHEN 'purchase' THEN 'expand' ELSE 'answer' END AS gate_action, CASE event_type WHEN 'error' THEN 'search_error' ELSE 'ok' END AS status,
+  value AS total_ms, floor(value) / 2 AS generation_ms, floor(value) AS image_search_ms, floor(value) / 4 AS web_search_ms, 2 + (event_type = 'purchase')::BIGINT AS search_call_count, CASE WHEN event_type = 'purchase' THEN event_id % 3 ELSE 0 END AS additional_web_evidence,
+  event_id % 4 AS n_image, event_id % 3 AS n_web, event_id % 60 + 40 AS answer_token_count, event_type = 'error' AS refused FROM events)"""
+_SUMMARY = """round(quantile_cont(total_ms, 0.5), 6) AS p50_ms, round(quantile_cont(total_ms, 0.95), 6) AS p95_ms, round(quantile_cont(generation_ms, 0.5), 6) AS generation_p50_ms, round(quantile_cont(generation_ms, 0.95), 6) AS generation_p95_ms,
+  round(avg(search_call_count), 6) AS mean_search_calls, sum(search_call_count)::BIGINT AS search_calls, sum(additional_web_evidence)::BIGINT AS additional_evidence,
+  count(*) FILTER (gate_action = 'answer') AS n_answer, count(*) FILTER (gate_action = 'expand') AS n_expand, count(*) FILTER (gate_action = 'abstain') AS n_abstain"""
+ORACLE["trace_summary"] = TRACES + f" SELECT gpu, count(*) AS n, {_SUMMARY} FROM t GROUP BY 1"
+ORACLE["nearest_rank_latency"] = TRACES + """ SELECT event_type, count(*) AS n, round(min(total_ms), 6) AS min_ms, round(quantile_cont(total_ms, 0.5), 6) AS median_ms, round(list_sort(list(total_ms))[round_even(0.5 * (count(*) - 1), 0)::BIGINT + 1], 6) AS p50_nearest_ms,
   round(list_sort(list(total_ms))[round_even(0.95 * (count(*) - 1), 0)::BIGINT + 1], 6) AS p95_nearest_ms, round(max(total_ms), 6) AS max_ms, round(avg(total_ms), 6) AS mean_ms FROM t GROUP BY 1"""
-TELE = """WITH t AS (SELECT user_id % 2 AS gpu, ts, json_extract_string(props, '$.k')::DOUBLE AS mem_mib, least(value, 100.0) AS util FROM events)"""
-ORACLE["gpu_summary"] = TELE + " SELECT gpu, count(*) AS n, round(max(mem_mib), 6) AS peak_mem_mib, round(max(util), 6) AS peak_util, round(avg(util), 6) AS mean_util FROM t GROUP BY 1"
+TELE = """WITH t AS (SELECT event_type, user_id % 2 AS gpu, ts, json_extract_string(props, '$.k')::DOUBLE AS mem_mib, least(value, 100.0) AS util, (event_id % 50 + 30)::DOUBLE AS temp_c, (event_id % 300 + 100)::DOUBLE AS power_w FROM events)"""
+_GPU = "round(max(mem_mib), 6) AS peak_mem_mib, round(max(util), 6) AS peak_util, round(avg(util), 6) AS mean_util, max(temp_c) AS peak_temp_c, max(power_w) AS peak_power_w"
+ORACLE["gpu_summary"] = TELE + f" SELECT gpu, count(*) AS n, {_GPU} FROM t GROUP BY 1"
 ORACLE["telemetry_in_run"] = TELE + """, d AS (SELECT DISTINCT date_trunc('day', ts)::TIMESTAMP AS day FROM t)
 SELECT strftime(day, '%Y-%m-%d') AS day, gpu, count(*) AS n, round(avg(util), 9) AS mean_util, round(max(epoch_us(ts::TIMESTAMP) - epoch_us(day + INTERVAL 6 HOUR)) / 1e6, 6) AS last_second FROM t JOIN d ON ts::TIMESTAMP BETWEEN day + INTERVAL 6 HOUR AND day + INTERVAL 9 HOUR GROUP BY 1, 2"""
 ORACLE["prefetch_status"] = "SELECT CASE WHEN page_id % 5 = 0 THEN 'embedded' WHEN coalesce(url, '') = '' THEN 'missing' WHEN page_id % 3 = 0 THEN 'cached' ELSE 'failed' END AS status, count(*) AS n FROM pages GROUP BY 1"
@@ -198,6 +206,5 @@ ORACLE["refusal_reasons"] = TURNS + f""", n AS (SELECT *, {clean('agent_response
 SELECT session_id, turn_idx, is_idk, CASE WHEN NOT is_idk THEN NULL WHEN h = 0 THEN 'generation_error' WHEN h = 1 THEN 'search_error' WHEN h = 2 THEN 'conflicting_evidence' WHEN h = 3 THEN 'no_retrieval' WHEN a = '' THEN 'empty_generation' ELSE 'insufficient_evidence' END AS refusal_reason FROM m"""
 ORACLE["sequence_equality"] = """WITH a AS (SELECT row_number() OVER (ORDER BY event_id) AS position, event_type AS left_value FROM events), b AS (SELECT row_number() OVER (ORDER BY event_id) AS position, CASE WHEN event_id % 97 = 0 THEN 'x' ELSE event_type END AS right_value FROM events WHERE event_id <> 5)
 SELECT position, left_value, right_value FROM a FULL JOIN b USING (position) WHERE left_value IS DISTINCT FROM right_value"""
-ORACLE["set_equality"] = """WITH a AS (SELECT DISTINCT user_id AS value FROM events WHERE event_type = 'purchase'), b AS (SELECT DISTINCT user_id AS value FROM events WHERE event_type = 'error')
-SELECT value, 'left' AS side FROM a WHERE value NOT IN (SELECT value FROM b) UNION ALL SELECT value, 'right' FROM b WHERE value NOT IN (SELECT value FROM a)"""
+ORACLE["set_equality"] = """SELECT DISTINCT doc_id AS value, 'left' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT doc_id, 'right' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)"""
 ORACLE["wave_generation"] = TURNS + r" SELECT session_id, turn_idx, (2 * turn_idx) || ':' || regexp_extract(query, '\S+') AS agent_response FROM turns"

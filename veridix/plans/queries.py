@@ -17,6 +17,7 @@ from veridix.operators import turns as U
 from veridix.operators.generate import wave_generate
 from veridix.operators.retrieval import cosine_top_k, lexical_top_k
 from veridix.plans import adapters as A
+from veridix.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 GRID = [round(0.05 * i, 2) for i in range(1, 20)]
@@ -148,9 +149,10 @@ def blind_review_classes(spark, d):
 
 @query
 def run_alignment(spark, d):
-    r = _runs(spark, d)
-    names = [x["version"] for x in r.select("version").distinct().limit(1000).collect()]
-    return C.align_runs(r.where("source_order % 7 <> 0 or version <> 'a1'"), names)
+    """Runs of the labelled documents alone, so versions lack the queries whose document has no label."""
+    labelled = A.table(spark, d, "labels").select("doc_id").distinct()
+    docs = A.table(spark, d, "documents").join(labelled, "doc_id", "left_semi")
+    return C.align_runs(docs.select(F.floor(F.col("doc_id") / 20).cast("string").alias("query"), F.col("source").alias("version"), F.lit("t").alias("ground_truth")))
 
 
 @query
@@ -232,30 +234,37 @@ def evidence_budget(spark, d):
     return rounded(E.within_budget(A.kg(spark, d), 200).select("turn_id", "rank", "line", "used"))
 
 
-def _agreement(spark, d):
-    return E.agreement(A.kg(spark, d), A.web(spark, d), A.part_queries(spark, d))
+def _sources(spark, d):
+    """Image evidence, web evidence and questions; plans that use them twice build them once."""
+    return A.kg(spark, d), A.web(spark, d), A.part_queries(spark, d)
+
+
+def _agreement(kg, web, asked):
+    return E.agreement(kg, web, asked)
 
 
 @query
 def entity_agreement(spark, d):
-    return rounded(_agreement(spark, d))
+    return rounded(_agreement(*_sources(spark, d)))
 
 
-def _conflicts(spark, d):
+def _conflicts(kg, web, asked):
     joined = lambda df, n: df.groupBy("turn_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), " ").alias(n))
-    q = A.part_queries(spark, d).join(joined(A.kg(spark, d), "image_text"), "turn_id").join(joined(A.web(spark, d), "web_text"), "turn_id", "left")
+    q = asked.join(joined(kg, "image_text"), "turn_id").join(joined(web, "web_text"), "turn_id", "left")
     return q.select("turn_id", X.is_numeric_question(F.col("query")).alias("is_numeric"), F.size(X.numbers(F.col("image_text"))).alias("n_image"), F.size(X.numbers(F.col("web_text"))).alias("n_web"), E.numeric_conflict(F.col("query"), F.col("image_text"), F.coalesce("web_text", F.lit(""))).alias("conflict"))
 
 
 @query
 def numeric_conflict(spark, d):
-    return rounded(_conflicts(spark, d))
+    return rounded(_conflicts(*_sources(spark, d)))
 
 
 @query
 def gate_actions(spark, d):
-    top = rounded(_agreement(spark, d)).where("entity_rank = 1").select("turn_id", "top_score")
-    both = top.join(_conflicts(spark, d).select("turn_id", "conflict"), "turn_id").select("*", F.explode(F.array(*[F.lit(v) for v in E.VARIANTS])).alias("variant"))
+    kg, web, asked = _sources(spark, d)
+    kg, web = written(kg), written(web)
+    top = rounded(_agreement(kg, web, asked)).where("entity_rank = 1").select("turn_id", "top_score")
+    both = top.join(_conflicts(kg, web, asked).select("turn_id", "conflict"), "turn_id").select("*", F.explode(F.array(*[F.lit(v) for v in E.VARIANTS])).alias("variant"))
     return both.select("turn_id", "variant", "top_score", "conflict", E.should_expand(F.col("top_score"), 0.45, 0.6).alias("in_band"), E.gate_action(F.col("variant"), F.col("top_score"), F.col("conflict"), 0.45, 0.6).alias("action"))
 
 
@@ -281,8 +290,8 @@ def sequence_equality(spark, d):
 
 @query
 def set_equality(spark, d):
-    e = A.table(spark, d, "events")
-    return T.set_difference(e.where("event_type = 'purchase'").select("user_id"), e.where("event_type = 'error'").select("user_id"))
+    """Documents and labels have different ids: every document without a label is a row."""
+    return T.set_difference(A.table(spark, d, "documents").select("doc_id"), A.table(spark, d, "labels").select("doc_id"))
 
 
 @query

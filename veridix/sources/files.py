@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veridix.functions.text import number_with_unit
 
-TRACE_SCHEMA = "trace_id string, session_id string, turn_idx int, query string, status string, gate_action string, total_ms double, generation_ms double, image_search_ms double, web_search_ms double, search_call_count int, additional_web_evidence int, image_evidence array<struct<evidence_id:string,text:string,score:double>>, web_evidence array<struct<evidence_id:string,text:string,score:double>>, errors array<string>, answer string, refusal_reason string"
+TRACE_SCHEMA = "trace_id string, session_id string, turn_idx int, query string, status string, gate_action string, total_ms double, generation_ms double, image_search_ms double, web_search_ms double, search_call_count int, additional_web_evidence int, answer_token_count int, image_evidence array<struct<evidence_id:string,text:string,score:double>>, web_evidence array<struct<evidence_id:string,text:string,score:double>>, errors array<string>, answer string, refusal_reason string"
 
 
 def read_parquet(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
@@ -79,6 +79,10 @@ def hydrate_entities(info: Column) -> Column:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
+    """One CSV file with a header; of no rows a single empty line."""
+    if df.isEmpty():
+        df.sparkSession.createDataFrame([("",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -87,9 +91,9 @@ def append_traces(df: DataFrame, path: str) -> None:
 
 
 def write_results(turns: DataFrame, scores: DataFrame, path: str) -> None:
-    """All turns, the ego turns, and the score rows as JSON."""
-    turns.write.mode("overwrite").option("header", True).csv(f"{path}/turns_all")
-    turns.where("is_ego").write.mode("overwrite").option("header", True).csv(f"{path}/turns_ego")
+    """All turns and the ego turns by session and turn (part files hold ranges of that order), the score rows as JSON."""
+    for name, rows in (("turns_all", turns), ("turns_ego", turns.where("is_ego"))):
+        rows.orderBy("session_id", "turn_idx").write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/{name}")
     scores.coalesce(1).write.mode("overwrite").json(f"{path}/scores")
 
 
@@ -103,3 +107,51 @@ def atomic_json(path: str, payload: object) -> None:
 def with_page_content(hits: DataFrame, pages: DataFrame, url: str = "page_url") -> DataFrame:
     """Hits with their page's content, joined after the top k are known; null where no page has the address."""
     return hits.join(pages.select(F.col("url").alias("__u"), F.col("html").alias("page_content")), F.col(url) == F.col("__u"), "left").drop("__u")
+
+
+def read_results_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A results file of any number of parts, every column a string; quotes are doubled, texts may hold line ends."""
+    return spark.read.csv(path, header=True, multiLine=True, escape='"')
+
+
+def read_review_csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
+    """Filled review sheets; missing columns, empty labels and response ids that come twice raise."""
+    df = read_results_csv(spark, path)
+    missing = sorted(set(required) - set(df.columns))
+    if missing:
+        raise ValueError(f"{path} lacks {missing}")
+    n, distinct, blank = df.agg(F.count("*"), F.count_distinct("response_id"), F.count_if(F.coalesce(F.trim("label"), F.lit("")) == "")).first()
+    if n != distinct or blank:
+        raise ValueError(f"{path}: labels must not be empty, response ids unique")
+    return df
+
+
+def reviewed_results(results: DataFrame, review: DataFrame) -> DataFrame:
+    """results (query, ground_truth, agent_response) with their review (query, label, cause, note); a result without a
+    review raises."""
+    both = results.join(review.select("query", "label", "cause", "note"), "query", "left")
+    label = F.when(F.col("label").isNull(), F.raise_error(F.concat(F.lit("no review of: "), F.coalesce("query", F.lit("null")))).cast("string")).otherwise(F.col("label"))
+    return both.select("query", "ground_truth", F.col("agent_response").alias("answer"), label.alias("label"), "cause", "note")
+
+
+def copy_assets(spark: SparkSession, source: str, target: str, names: list[str]) -> list[str]:
+    """Copies the named files or folders; the first that is missing raises before anything is copied."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda folder, n: jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}")
+    for n in names:
+        if not at(source, n).getFileSystem(conf).exists(at(source, n)):
+            raise ValueError(f"missing asset: {n}")
+    for n in names:
+        jvm.org.apache.hadoop.fs.FileUtil.copy(at(source, n).getFileSystem(conf), at(source, n), at(target, n).getFileSystem(conf), at(target, n), False, True, conf)
+    return names
+
+
+def tokenizer_source(environment: dict[str, str], variables: list[str], default: str) -> tuple[str, str]:
+    """Where an evaluator's tokenizer comes from: ("file", path) if a variable names a file or a folder with
+    tokenizer.json, ("name", value) if it names anything else, ("name", default) if none is set."""
+    found = next((environment[v] for v in variables if environment.get(v)), None)
+    if found is None:
+        return "name", default
+    path = os.path.expanduser(found)
+    path = os.path.join(path, "tokenizer.json") if os.path.isdir(path) else path
+    return ("file", path) if os.path.isfile(path) else ("name", found)
