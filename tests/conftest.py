@@ -13,6 +13,6 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 def spark():
     from veridix.session import local_session
 
-    s = local_session(4, 4, "4g")
+    s = local_session(int(os.environ.get("TEST_CPUS", "4")), 4, "4g")
     s.sparkContext.setLogLevel("ERROR")
     return s
