@@ -3,7 +3,7 @@ import json
 import pytest
 
 from veridix.sources import files as S
-from veridix.streaming.live import early_stop_stream, gpu_windows
+from veridix.streaming.live import early_stop_stream, gpu_windows, read_trace_stream, session_activity
 
 
 def test_telemetry_csv(spark, tmp_path):
@@ -44,3 +44,29 @@ def test_streams(spark, tmp_path):
     assert {(r["session_id"], r["turn_idx"]): r["stopped"] for r in spark.sql("select * from stops").collect()} == {(1, 0): False, (1, 1): False, (1, 2): True, (2, 0): False}
     t = spark.sql("select timestamp'2026-01-01 00:00:10' ts, 1 gpu, 50.0D util, 10.0D mem_mib")
     assert gpu_windows(t).first()["n"] == 1
+
+
+def test_traces_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text('{"trace_id": "1", "gate_action": "answer"}\n{"trace_id": "2", "gate_action": "abstain"}\n')
+    q = read_trace_stream(spark, str(tmp_path / "in")).groupBy("gate_action").count().writeStream.format("memory").queryName("actions").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    (tmp_path / "in" / "b.jsonl").write_text('{"trace_id": "3", "gate_action": "answer"}\n')
+    q.processAllAvailable()
+    q.stop()
+    assert {r["gate_action"]: r["count"] for r in spark.sql("select * from actions").collect()} == {"answer": 2, "abstain": 1}
+
+
+def test_sessions_end_after_a_gap(spark):
+    e = spark.sql("select timestamp(concat('2026-01-01 00:', m, ':00')) ts, s session_id from values ('00', 1), ('05', 1), ('30', 1), ('01', 2) t(m, s)")
+    got = session_activity(e).collect()
+    assert sorted((r["session_id"], r["n"]) for r in got) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_split_falls_back_to_the_first(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "a"))
+    spark.range(5).write.parquet(str(tmp_path / "b"))
+    assert [S.read_parquet(spark, str(tmp_path), x).count() for x in ("b", "z")] == [5, 3]
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError, match="no splits"):
+        S.read_parquet(spark, str(tmp_path / "none"), "x")

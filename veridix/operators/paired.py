@@ -82,8 +82,8 @@ def bootstrap_ci(paired: DataFrame, samples: int = 10_000, seed: int = 20260712)
     """pairs -> scope, version, metric, observed_delta, ci_low, ci_high, bootstrap_samples, seed: percentile intervals of
     every metric's delta over resamples of the queries with replacement, drawn alike for both arms and all versions.
 
-    Draw j of sample b of a scope takes the query whose index (see group_positions) a hash of seed, scope, b and j
-    names. A draw is four narrow columns; what a sample draws is summed before it is shuffled.
+    Draw j of sample b of a scope takes the query whose index (see group_positions) a quarter of a hash of seed, scope, b
+    and j div 4 names. A draw is three narrow columns; what a sample draws is summed before it is shuffled.
     """
     one = lambda c, *x: F.col(c).isin(*x).cast("int")
     sides = {"accuracy": ("correct",), "missing": ("missing",), "hallucination": ("partial", "incorrect")}
@@ -91,9 +91,11 @@ def bootstrap_ci(paired: DataFrame, samples: int = 10_000, seed: int = 20260712)
     diff = diff.withColumn("truthfulness", F.col("accuracy") - F.col("hallucination"))
     ids = group_positions(paired.select("scope", "query_id").distinct(), "scope", "query_id", "i")
     drawn = ids.groupBy("scope").agg(F.count("*").alias("n")).select("scope", "n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b"))
-    drawn = drawn.repartition("scope", "b").select("scope", "n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
-    code = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), "scope", F.col("b").cast("string"), F.col("j").cast("string"))), 1, 8), 16, 10).cast("long")
-    drawn = drawn.select("scope", "b", F.pmod(code, F.col("n")).alias("i"))
+    drawn = drawn.repartition("scope", "b").select("scope", "n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 4))).alias("q"))
+    drawn = drawn.withColumn("h", F.md5(F.concat_ws("-", F.lit(str(seed)), "scope", F.col("b").cast("string"), F.col("q").cast("string"))))
+    code = lambda k: F.conv(F.substring("h", 1 + 8 * k, 8), 16, 10).cast("long")
+    drawn = drawn.select("scope", "n", "b", "q", F.posexplode(F.array(*[code(k) for k in range(4)])).alias("k", "code")).where(4 * F.col("q") + F.col("k") < F.col("n"))
+    drawn = drawn.select("scope", "b", F.pmod("code", "n").alias("i"))
     rows = diff.join(ids, ["scope", "query_id"]).select("scope", "version", "i", *BOOTSTRAP_METRICS)
     per = drawn.join(rows, ["scope", "i"]).groupBy("scope", "version", "b").agg(*[(F.sum(m).cast("double") / F.count("*")).alias(m) for m in BOOTSTRAP_METRICS])
     long = lambda df, *keep: df.select("scope", "version", *keep, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("delta")) for m in BOOTSTRAP_METRICS])).alias("x")).select("scope", "version", *keep, "x.*")
