@@ -6,10 +6,13 @@ import atexit
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: [\x20\x09-\x0D]
 WHITE = np.zeros(256, bool)
@@ -37,6 +40,21 @@ def small_batches(spark: SparkSession, rows: int = 200) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def bounded(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of about `most` bytes of strings, a longer row alone, so a function's memory doesn't depend on
+    how many rows the session puts in a batch (batches themselves are bounded by spark.sql.execution.arrow.maxBytesPerBatch)."""
+    for b in batches:
+        size = np.ones(b.num_rows, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type):
+                size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(size) // most
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if hi > lo:
+                yield b.slice(lo, hi - lo)
+
+
 def settle() -> None:
     """Give memory that a task has freed back to the system: Python workers outlive their tasks."""
     pa.default_memory_pool().release_unused()
@@ -58,11 +76,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of an Arrow batch in what cut() runs: less in flight between the JVM and Python than the session's setting.
+BATCH_ROWS = 200
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df once as Parquet to the shared folder and read it back: the lineage ends there."""
+    """Write df once as Parquet to the shared folder and read it back: the lineage ends there. While it is written Arrow
+    batches are small; the session's own setting is there again afterwards."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veridix-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    had = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(had), BATCH_ROWS) if int(had) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, had)
     if not _WRITTEN:
         atexit.register(remove_written)
     _WRITTEN.append((spark, path))
@@ -164,3 +193,23 @@ def hash_bytes(words: list[bytes]) -> np.ndarray:
 
 def group_sum(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(group, weights=values, minlength=n)
+
+
+#: Bits of the map of wanted keys: 2 MB, sent to all tasks whatever the input.
+MAP_BITS = 24
+
+
+def flagged(df: DataFrame, key: str, wanted: DataFrame, name: str = "__maybe") -> DataFrame:
+    """df with a flag: false where its key is surely none of wanted's (a column of the same name). A bitmap over key
+    hashes, built by aggregation and broadcast (its size is fixed). It only spares shuffles; an exact step follows."""
+    spot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - MAP_BITS)
+    bits = wanted.select((spot(key) + 1).alias("__s")).groupBy(F.bitmap_bucket_number("__s").alias("__k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__s")).alias("__m"))
+    byte = F.conv(F.hex(F.substring(F.col("__m"), F.shiftright(F.col("__at"), 3).bitwiseAND(4095).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    hit = F.expr("shiftrightunsigned(__b, cast(__at & 7 as int)) & 1") == 1
+    joined = df.withColumn("__at", spot(key)).join(F.broadcast(bits), F.floor(F.col("__at") / 32768) + 1 == F.col("__k"), "left")
+    return joined.withColumn("__b", byte).withColumn(name, F.coalesce(hit, F.lit(False))).drop("__at", "__k", "__m", "__b")
+
+
+def maybe(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of df whose key may be one of wanted's; see flagged."""
+    return flagged(df, key, wanted).where("__maybe").drop("__maybe")
