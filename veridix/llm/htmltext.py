@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridix.llm.common import read_table, small_batches
+from veridix.llm.common import bounded, read_table
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WHITE = re.compile(r"\s+")
+_UNCLOSED = re.compile(r"<[A-Za-z/!?][^>]*\Z")
 
 #: Element kinds by tag; what isn't named is inline and no node.
 _KINDS = {
@@ -34,15 +35,17 @@ _KINDS = {
     "blockquote": "quote", "pre": "quote", "figure": "quote", "figcaption": "quote", "nav": "nav", "menu": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "fieldset": "form",
     "dialog": "aside", "address": "footer", "details": "section", "center": "div", "caption": "cell", "tfoot": "table", "hr": "div",
 }
-_DROPPED = {"script", "style", "noscript", "template", "svg", "iframe", "object", "select", "button", "textarea", "head", "title", "canvas", "math", "audio", "video", "option", "label", "input"}
+#: Scripts, styles, form controls and what no reader sees as text, wherever it stands. Everything else is up to the model.
+_DROPPED = {"script", "style", "noscript", "template", "svg", "iframe", "select", "button", "textarea", "head", "title", "annotation", "annotation-xml", "audio", "video", "option", "input"}
 _RAW = {"script", "style", "textarea", "title", "iframe", "noscript"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 _CLOSES_P = set(_KINDS) - {"body", "html", "tr", "td", "th", "thead", "tbody", "tfoot", "caption"}
-KINDS = sorted(set(_KINDS.values()))
+#: `text` is a run of text straight in the body.
+KINDS = sorted({*_KINDS.values(), "text"})
 _KIND_AT = {k: i for i, k in enumerate(KINDS)}
 _GOOD = ("article", "content", "main", "post", "entry", "story", "text", "prose")
 _BAD = ("nav", "menu", "side", "foot", "head", "ad", "ads", "advert", "advertisement", "promo", "sponsor", "sponsored", "banner", "comment", "comments", "reply", "replies", "disqus", "cookie", "consent", "notice", "alert", "share", "social", "related", "widget", "form", "login", "subscribe", "newsletter", "breadcrumb", "breadcrumbs", "pagination", "pager", "popup", "modal", "sidebar", "footer", "header", "toolbar", "meta", "byline", "tags", "recommend", "recommended", "copyright", "legal", "search", "signup")
-FEATURES = 2 * len(KINDS) + 9
+FEATURES = 2 * len(KINDS) + 11
 
 
 @dataclass
@@ -71,17 +74,23 @@ def parse(source: str) -> Page:
     stack: list[tuple[str, int]] = [("html", 0)]  # open tags with their node
     parts: list[str] = []
     dropped: list[str] = []
-    links = 0
+    links = linked = 0
 
     def flush() -> None:
+        nonlocal linked
         if parts:
             text = _WHITE.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
                 at = stack[-1][1]
+                if at == 0:
+                    nodes.append(Node("text", 0, ""))
+                    at = len(nodes) - 1
                 page.blocks.append((at, text))
                 nodes[at].text += len(text)
+                nodes[at].link += linked
                 nodes[at].ends += text.count(". ") + text.count("? ") + (text[-1] in ".?!。")
+            linked = 0
 
     def close(depth: int) -> None:
         nonlocal links
@@ -91,16 +100,17 @@ def parse(source: str) -> Page:
         del stack[depth:]
 
     def words(s: str) -> None:
+        nonlocal linked
         if s and not dropped:
             parts.append(s)
             if links > 0:
-                nodes[stack[-1][1]].link += len(s.strip())
+                linked += len(s.strip())
 
     at, n = 0, len(source)
     while at < n:
         m = _TOKEN.search(source, at)
         if not m:
-            words(source[at:])
+            words(_UNCLOSED.sub("", source[at:]))
             break
         words(source[at : m.start()])
         at = m.end()
@@ -176,10 +186,13 @@ def node_features(page: Page, node: Node) -> list[tuple[int, float]]:
     out = [(_KIND_AT[node.kind], 1.0), (len(KINDS) + _KIND_AT[page.nodes[max(node.parent, 0)].kind], 1.0)]
     if node.names:
         names = set(re.split(r"[^a-z]+", node.names))
-        if names & set(_GOOD):
-            out.append((k, 1.0))
-        if names & set(_BAD):
-            out.append((k + 1, 1.0))
+        good, bad = bool(names & set(_GOOD)), bool(names & set(_BAD))
+        if good != bad:
+            out.append((k + bad, 1.0))
+        elif good:  # content-sidebar: either
+            out.append((k + 9, 1.0))
+        if bad and node.kind == "article":
+            out.append((k + 10, 1.0))
     if node.hidden:
         out.append((k + 2, 1.0))
     if node.text:
@@ -201,11 +214,11 @@ class Model:
 
 
 def marginals(page: Page, model: Model) -> list[float]:
-    """Exact P(label = main text) of each node by one upward and one downward pass; the root is no main text."""
+    """Exact P(label = main text) of each node by one upward and one downward pass. The root is a node like any other:
+    where it is main text, the article stands straight in the body."""
     nodes = page.nodes
     n = len(nodes)
     own = [sum(model.unary[i] * v for i, v in node_features(page, x)) for x in nodes]
-    own[0] = -30.0
     # a child's message about its parent, as log-odds: 2 atanh(tanh(edge) tanh(own / 2))
     up = [0.0] * n
     total = own[:]
@@ -213,9 +226,8 @@ def marginals(page: Page, model: Model) -> list[float]:
         t = math.tanh(model.edge[nodes[i].kind]) * math.tanh(max(-30.0, min(30.0, total[i])) / 2)
         up[i] = 2 * math.atanh(max(-1 + 1e-15, min(1 - 1e-15, t)))
         total[nodes[i].parent] += up[i]
-    total[0] = -30.0
     for i in range(1, n):
-        rest = total[nodes[i].parent] - up[i] if nodes[i].parent else -30.0
+        rest = total[nodes[i].parent] - up[i]
         t = math.tanh(model.edge[nodes[i].kind]) * math.tanh(max(-30.0, min(30.0, rest)) / 2)
         total[i] += 2 * math.atanh(max(-1 + 1e-15, min(1 - 1e-15, t)))
     return [1 / (1 + math.exp(-max(-60.0, min(60.0, x)))) for x in total]
@@ -240,31 +252,29 @@ def train(pages: list[tuple[Page, list[bool]]], ridge: float = 0.5, rounds: int
             kind.append(_KIND_AT[node.kind])
     x, y, parent, depth, kind = np.array(x), np.array(y, float), np.array(parent), np.array(depth), np.array(kind)
     levels = [np.flatnonzero(depth == d) for d in range(depth.max() + 1)]
-    root, inner = depth == 0, depth > 0
+    inner = depth > 0
     sign = 2 * y - 1
     k = len(KINDS)
     w = np.zeros(FEATURES + k)
     w[FEATURES:] = 0.5
-    shown = np.append(x[inner].T @ y[inner], np.bincount(kind[inner], weights=(sign * sign[parent])[inner], minlength=k))
+    shown = np.append(x.T @ y, np.bincount(kind[inner], weights=(sign * sign[parent])[inner], minlength=k))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
         e = w[FEATURES:][kind]
         below = x @ w[:FEATURES]
-        below[root] = -30.0
         up = np.zeros(len(y))
         for at in levels[:0:-1]:
             up[at] = _message(e[at], below[at])
             np.add.at(below, parent[at], up[at])
-        below[root] = -30.0
         total, rest = below.copy(), np.zeros(len(y))
         for at in levels[1:]:
-            rest[at] = np.where(root[parent[at]], -30.0, total[parent[at]] - up[at])
+            rest[at] = total[parent[at]] - up[at]
             total[at] = below[at] + _message(e[at], rest[at])
         p = 1 / (1 + np.exp(-np.clip(total, -60, 60)))
         s, d = np.clip(np.abs(rest + below) / 2, 0, 60), np.clip(np.abs(rest - below) / 2, 0, 60)
         same, apart = np.logaddexp(s, -s) + e, np.logaddexp(d, -d) - e
         both = np.tanh((same - apart) / 2)  # expected product of the two labels' signs
-        expected = np.append(x[inner].T @ p[inner], np.bincount(kind[inner], weights=both[inner], minlength=k))
+        expected = np.append(x.T @ p, np.bincount(kind[inner], weights=both[inner], minlength=k))
         g = (shown - expected - ridge * w) / len(pages)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w += rate * m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -275,8 +285,9 @@ def _message(edge: np.ndarray, odds: np.ndarray) -> np.ndarray:
     return 2 * np.arctanh(np.clip(np.tanh(edge) * np.tanh(np.clip(odds, -30, 30) / 2), -1 + 1e-15, 1 - 1e-15))
 
 
-def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[str, list[str]]]:
-    """Made-up pages and the blocks of their main text: articles amid menus, notices, adverts, comments and forms."""
+def labelled_pages(count: int = 800, seed: int = 7) -> list[tuple[str, list[str]]]:
+    """Made-up pages and the blocks of their main text: articles amid menus, notices, adverts, comments and forms; in
+    wrappers with all kinds of names, with headers of their own, or straight in the body, as elements or bare text."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice(("ta", "ri", "no", "sel", "um", "ka", "der", "lo", "mi", "ent")) for _ in range(rng.randint(1, 4)))
     say = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b))).capitalize() + rng.choice((".", ".", "!", "?"))
@@ -334,16 +345,32 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[str, list[str]
         ]
         s = "".join(rng.sample(before, rng.randint(0, 4)))
         text.append(say(1, 7))
-        inner = f"<h1>{text[-1]}</h1>" + body()
-        wrap = rng.choice(("<article>{}</article>", "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<div class='content'>{}</div>", "<div id='main'><div class='post'>{}</div></div>", "<article class='post'><section>{}</section></article>", "<div class='article-body'>{}</div>"))
+        shape = rng.random()
+        title = f"<h1>{text[-1]}</h1>"
+        if shape < 0.15:  # old pages: runs of text with line breaks between, in inline tags
+            runs = [par() for _ in range(rng.randint(1, 4))]
+            text += [" ".join(runs)]
+            inner = rng.choice(("<br><br>", "<br>")).join(rng.choice(("{}", "<font size=2>{}</font>", "<span>{}</span>")).format(r) for r in runs)
+            inner = title + inner + (f"<p>{text.append(par()) or text[-1]}</p>" if rng.random() < 0.5 else "")
+        elif shape < 0.35:  # paragraphs straight in the body
+            inner = title + body(2)
+        else:
+            if rng.random() < 0.3:
+                text[-1:] = [text[-1], *([say(2, 9)] if rng.random() < 0.5 else [])]
+                title = f"<header{rng.choice(('', ' class=entry-header', ' class=post-header'))}>{title}" + "".join(f"<p>{t}</p>" for t in text[1:]) + "</header>"
+            inner = title + body()
+            side = rng.choice(("sidebar", "side", "header", "ad", "social", "comments", "nav", "footer"))
+            own = rng.choice(("", "", f" class='article-{side}-{word()}'", f" class='post has-{side}'", f" class='{word()} no-{side}'", f" class='{side}-{word()} entry'", f" id='{word()}'"))
+            inner = rng.choice(("<article{0}>{1}</article>", "<main{0}>{1}</main>", "<article{0}><div>{1}</div></article>")).format(own, inner) if rng.random() < 0.5 else inner
+        wrap = "{}" if shape < 0.35 or inner.startswith(("<article", "<main")) else rng.choice(("<article>{}</article>", "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<div class='content'>{}</div>", "<div id='main'><div class='post'>{}</div></div>", "<article class='post'><section>{}</section></article>", "<div class='article-body'>{}</div>"))
         s += wrap.format(inner) + "".join(rng.sample(after, rng.randint(0, 5)))
         out.append((f"<html><head><title>x</title></head><body>{s}</body></html>", text))
     return out
 
 
 def node_labels(page: Page, text: list[str]) -> list[bool]:
-    """Labels from the main text's blocks: a node with a block of it, or with such a node below it but not the root
-    or a node that also holds most other text."""
+    """Labels from the main text's blocks: a node of which, all below it included, most text is main text and that, the
+    root aside, doesn't merely hold the page's one article; of the root, most of what stands straight in it."""
     left = {}
     for t in text:
         left[t] = left.get(t, 0) + 1
@@ -358,7 +385,9 @@ def node_labels(page: Page, text: list[str]) -> list[bool]:
         mine[page.nodes[i].parent] += mine[i]
         all_[page.nodes[i].parent] += all_[i]
     out = [2 * m > a for m, a in zip(mine, all_, strict=True)]
-    out[0] = False
+    # a body whose main text is all in one wrapper isn't main text itself
+    top = [i for i, x in enumerate(page.nodes) if x.parent == 0 and out[i]]
+    out[0] = len(top) > 1
     return out
 
 
@@ -389,11 +418,10 @@ def extract_main_text(pages: DataFrame, model: Model | None = None) -> DataFrame
     repeated rows are extracted each; an empty table gives no rows; other columns are ignored.
     """
     spark = pages.sparkSession
-    small_batches(spark)
     sent = spark.sparkContext.broadcast(model or default_model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             text = [main_text(s, sent.value) for s in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
