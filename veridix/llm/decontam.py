@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridix.llm.common import LOWER, TERM, bytes_of, hash_bytes, mix64, prefix_sums, read_table, runs, settle, small_batches, span_hash
+from veridix.llm.common import LOWER, TERM, bounded, bytes_of, hash_bytes, mix64, prefix_sums, read_table, runs, settle, span_hash
 
 #: Passage and step in terms; segments are at most the overlap, so each leak of a segment lies in a passage whole.
 PASSAGE, OVERLAP = 128, 64
@@ -247,7 +247,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, overlaps: float = OVERLAPS) ->
     columns are ignored. The items are read in runs of at most INDEX_BYTES; each run's index is broadcast.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     own = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -259,7 +258,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, overlaps: float = OVERLAPS) ->
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
-            for b in batches:
+            for b in bounded(batches):
                 a, off = bytes_of(b.column(1))
                 low = LOWER[a]
                 starts, ends, row = runs(TERM[low], off)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridix.llm.common import cut, read_table, small_batches
+from veridix.llm.common import bounded, cut, read_table
 
 #: Fixed values of the format: kbit/s by index for MPEG-1 and MPEG-2 Layer III, and Hz by index for MPEG-1, 2, 2.5.
 BITRATES = {1: (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320), 2: (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)}
@@ -221,11 +221,12 @@ def padded(text: str | None) -> tuple[int, bytes]:
 
 
 def encode_media(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_bytes, media (binary). Null is empty; every row has a stream."""
-    small_batches(docs.sparkSession)
+    """docs (doc_id, text) -> doc_id, n_bytes, media (binary). A null or empty text is 64 zero bytes of payload; every row
+    has a stream, repeated rows and null ids too, and equal texts equal ones. An empty table gives no rows; other
+    columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             both = [padded(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in both], pa.int64()), pa.array([write_stream(p) for _, p in both], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
@@ -237,10 +238,11 @@ SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 def probe_media(media: DataFrame) -> DataFrame:
     """media (doc_id, n_bytes, media) -> see SCHEMA: payload digests, the stream's own, what the frames tell, the exact
-    duration and the offset of every audio frame. Null or broken streams give what frames there are."""
+    duration and the offset of every audio frame. Null or broken streams give what frames there are, none at all an empty
+    payload; repeated rows are read each; an empty table gives no rows; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             rows = []
             for i, n, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 data = data or b""

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridix.llm.common import read_table, settle, small_batches
+from veridix.llm.common import bounded, read_table, settle
 
 #: Context sizes, powers of two; the last is the longest window.
 TIERS = (512, 1024, 2048, 4096)
@@ -220,7 +220,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...]
     packed as separate documents. An empty table gives no rows; other columns are ignored. cached_words bounds what a
     Python worker keeps of words' ids, about 200 bytes each.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path, cached_words)
@@ -253,7 +252,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...]
             held.clear()
 
         total = 0
-        for b in batches:
+        for b in bounded(batches):
             for i, x in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
                 ids.append(i)
                 held.append(x + end)

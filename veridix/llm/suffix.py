@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridix.llm.common import bytes_of, cut, prefix_sums, read_table, small_batches, span_hash
+from veridix.llm.common import bounded, bytes_of, cut, prefix_sums, read_table, span_hash
 
 LENGTH, GRAM = 400, 32
 #: An anchor with more different pieces than this isn't sorted in one task; its windows are grouped by hash.
@@ -242,7 +242,7 @@ def _sliding_min_fixed(h: np.ndarray, w: int) -> np.ndarray:
 def _find(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """(id, text) -> (id, anchor, lo, hi, piece, own); a text that the task has met is not searched again."""
     met: set[int] = set()
-    for b in batches:
+    for b in bounded(batches):
         a, off = bytes_of(b.column(1))
         out: list[tuple[np.ndarray, ...]] = []
         for k, i in enumerate(b.column(0).to_pylist()):
@@ -266,7 +266,7 @@ def _slices(length: int):
     schema = pa.schema([("anchor", pa.int64()), ("id", pa.int64()), ("lo", pa.int64()), ("single", pa.bool_()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             a, off = bytes_of(b.column(1))
             rows: list[tuple] = []
             for k, (i, spots) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
@@ -305,7 +305,7 @@ def _sort(length: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, last = 0, None
-        for b in batches:
+        for b in bounded(batches):
             for anchor, i, lo, single, piece in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 if size >= most and anchor != last:
                     yield flush(held)
@@ -323,7 +323,7 @@ def _window_hashes(length: int):
     """(anchor, id, lo, single, bytes) -> (h, id, s): every window of the piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             for i, lo, piece in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True):
                 x = np.frombuffer(piece, np.uint8)
                 at = np.arange(len(x) - length + 1)
@@ -337,7 +337,7 @@ def _cover(length: int):
     """(doc_id, text, spans) -> what is left of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             a, off = bytes_of(b.column(1))
             out: list[list] = [[], [], [], [], []]
             for k, (i, spans, whole) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
@@ -373,7 +373,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, dens
     that differ meet. An anchor with over `dense` different pieces is not gathered: its windows are grouped by hash.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     named = rows.withColumn("id", F.xxhash64(F.xxhash64("text"), F.md5("text")))
     long = named.where(F.octet_length("text") >= length).select("id", "text")
@@ -397,7 +396,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, dens
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
-        for b in batches:
+        for b in bounded(batches):
             ids = np.asarray(b.column(0))
             ok = _only(ids, sent.value)
             for k in np.flatnonzero(ok).tolist():
