@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from veridix.llm import simhash as S
@@ -107,3 +108,26 @@ def test_loose_copies_of_one_text_lose_no_link(spark):
     df = spark.createDataFrame(list(own.items()), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in S.near_duplicate_groups(df).collect()}
     assert got == components(own, alike)
+
+
+def test_one_id_with_unlike_texts_loses_no_row(spark):
+    text = lambda a: " ".join(f"{a}{i}" for i in range(60))
+    rows = [(1, text("x"), "k"), (1, text("y"), "l"), (1, text("y"), "l"), (2, text("z"), "m"), (3, text("x"), "n"), (None, text("x"), "o"), (4, None, "p"), (5, "", "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lo string")
+    got = sorted(((r["doc_id"], (r["text"] or "")[:2], r["lo"]) for r in S.keep_one_of_each_group(df).collect()), key=str)
+    assert got == sorted([(1, "x0", "k"), (1, "y0", "l"), (2, "z0", "m"), (4, "", "p"), (None, "x0", "o")], key=str)
+    groups = sorted((r["doc_id"], r["component_id"]) for r in S.near_duplicate_groups(df).collect())
+    assert groups == [(1, 1), (1, 1), (1, 1), (2, 2), (3, 1), (4, 4), (5, 4)]
+
+
+def test_shingle_rows_equal_the_sets():
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["a", "B", "c"]) for _ in range(n)) for n in (0, 1, 2, 3, 4, 5, 6, 30, 400)] + ["a  b\nc\td e f", "A B c D E f"]
+    for k in (1, 3, 5):
+        h, at = S.shingle_rows(pa.array(texts), k)
+        own = [set(h[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)]
+        want = [S.shingle_set(t, k) for t in texts]
+        assert [len(x) for x in own] == [len(x) for x in want]
+        for i, x in enumerate(own):
+            for j, y in enumerate(own):
+                assert len(x & y) == len(want[i] & want[j])

@@ -98,10 +98,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove_written() -> None:
-    """Delete what cut() wrote; runs when the driver ends."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
+def tables_written() -> int:
+    return len(_WRITTEN)
+
+
+def remove_written(first: int = 0, keep: int = 0) -> None:
+    """Delete what cut() wrote, from the first-th table on but for the last `keep`; all of it when the driver ends."""
+    for spark, path in [_WRITTEN.pop(first) for _ in range(len(_WRITTEN) - first - keep)]:
         try:
             jvm = spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)

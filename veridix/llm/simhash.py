@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridix.llm.common import LOWER, WHITE, bytes_of, cut, mix64, prefix_sums, read_table, runs, settle, small_batches, span_hash
+from veridix.llm.common import LOWER, WHITE, bounded, bytes_of, cut, flagged, maybe, mix64, prefix_sums, read_table, runs, settle, span_hash
 from veridix.llm.graph import connected_components
 
 #: Reference fingerprints of the pivot table: mixed counters, so about half the bits of each are set.
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
     """docs (doc_id, text) -> (doc_id, fp long); one row per input row, whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             known: dict[str | None, int] = {}
             out = []
             for t in b.column(1).to_pylist():
@@ -127,7 +127,6 @@ def simhash_components(docs: DataFrame, most: int = 2) -> DataFrame:
     Fingerprints at `most` or fewer differing bits are linked. Null and empty texts have fingerprint zero and are
     linked like any other; repeated rows stay repeated; an empty table gives no rows; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     fps = cut(fingerprints(docs))
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("id")))
     roots = connected_components(hamming_links(nodes, most))
@@ -141,16 +140,18 @@ def simhash_components(docs: DataFrame, most: int = 2) -> DataFrame:
 LANES, BAND_BITS, BANDS = 22, 22, 64
 #: Most bits in which the first 64 may differ; the mean at the similarity sought is below 6.
 FAR = 18
+#: Bytes of paired texts that are compared at once.
+PAIRED = 4 << 20
 
 
 def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) -> (id, fp, bands): SimHash of the distinct lower-cased words in LANES * 64 bits, cut into bands."""
-    for b in batches:
+    for b in bounded(batches):
         data, off = bytes_of(b.column(1))
         low = LOWER[data]
         starts, ends, row = runs(~WHITE[low], off)
         h = span_hash(prefix_sums(low), starts, ends)
-        fp, bands = np.zeros(len(off) - 1, np.uint64), np.zeros((len(off) - 1, BANDS), np.int64)
+        fp, bands = np.zeros(len(off) - 1, np.uint64), np.zeros((len(off) - 1, BANDS), np.int32)
         at = np.searchsorted(row, np.arange(len(off)))
         for i in range(len(off) - 1):
             u = np.unique(h[at[i] : at[i + 1]])
@@ -177,15 +178,60 @@ def jaccard(a: frozenset[int], b: frozenset[int]) -> float:
     return len(a & b) / len(a | b) if a or b else 1.0
 
 
+def shingle_rows(column: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of each text's distinct k-word shingles (see shingle_set), one text after another, and their n+1 bounds."""
+    a, off = bytes_of(column)
+    low = LOWER[a]
+    starts, ends, row = runs(~WHITE[low], off)
+    h = span_hash(prefix_sums(low), starts, ends)
+    n = len(off) - 1
+    first = np.searchsorted(row, np.arange(n + 1))
+    words = np.diff(first)
+    at, size = np.flatnonzero(row[k - 1 :] == row[: len(row) - k + 1]) if len(row) >= k else np.zeros(0, np.int64), k
+    rows, hashes = [], []
+    for size in range(k, 0, -1):
+        at = at if size == k else first[:-1][words == size]  # a text of fewer words is one shingle
+        with np.errstate(over="ignore"):
+            g = h[at]
+            for j in range(1, size):
+                g = mix64(g * np.uint64(31) + h[at + j])
+        rows.append(row[at])
+        hashes.append(g)
+    r, g = np.concatenate(rows), np.concatenate(hashes)
+    order = np.lexsort((g, r))
+    r, g = r[order], g[order]
+    new = np.ones(len(r), bool)
+    new[1:] = (r[1:] != r[:-1]) | (g[1:] != g[:-1])
+    return g[new], np.searchsorted(r[new], np.arange(n + 1))
+
+
+def _pairs(b: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Shingles of s and of t for each row of (a, b, s, t); each text is cut once a batch."""
+    sides = []
+    for ids, texts in ((b.column(0), b.column(2)), (b.column(1), b.column(3))):
+        _, first, which = np.unique(np.asarray(ids), return_index=True, return_inverse=True)
+        sides.append((*shingle_rows(texts.take(pa.array(first)), k), which))
+    for i in range(b.num_rows):
+        yield tuple(h[bounds[which[i]] : bounds[which[i] + 1]] for h, bounds, which in sides)
+
+
+def _in(x: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which values of the sorted x the sorted other holds."""
+    if not len(other):
+        return np.zeros(len(x), bool)
+    return other[np.minimum(np.searchsorted(other, x), len(other) - 1)] == x
+
+
+def _alike(common: int, x: int, y: int, least: float) -> bool:
+    return common / (x + y - common) >= least if x or y else True
+
+
 def _verify(k: int, least: float):
+    """(a, b, s, t) -> the (a, b) whose texts are at least that alike."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            last: tuple[int | None, frozenset[int]] = (None, frozenset())
-            keep = []
-            for x, s, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if last[0] != x:
-                    last = (x, shingle_set(s, k))
-                keep.append(jaccard(last[1], shingle_set(t, k)) >= least)
+        for b in bounded(batches, PAIRED):
+            keep = [_alike(int(_in(y, x).sum()), len(x), len(y), least) for x, y in _pairs(b, k)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
         settle()
 
@@ -204,24 +250,28 @@ def _stars(k: int, least: float):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hit", pa.bool_()), ("size", pa.int32()), ("common", pa.int32()), ("own", pa.list_(pa.int64())), *[(f"m{i}", pa.int64()) for i in range(MASKS)]])
-        for batch in batches:
-            last: tuple[int | None, frozenset[int]] = (None, frozenset())
-            out = []
-            for a, b, s, t in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if last[0] != a:
-                    last = (a, shingle_set(s, k))
-                x = shingle_set(t, k)
-                common = len(x & last[1])
-                hit = jaccard(last[1], x) >= least
-                if not hit and common < HELD * len(x):
+        for batch in bounded(batches, PAIRED):
+            at, hit, size, shared, own, masks = [], [], [], [], [], []
+            for i, (x, y) in enumerate(_pairs(batch, k)):
+                held = _in(y, x)
+                common = int(held.sum())
+                alike = _alike(common, len(x), len(y), least)
+                if not alike and common < HELD * len(y):
                     continue
-                own = np.sort(np.fromiter(x - last[1], np.uint64, len(x) - common).view(np.int64))
+                rest = y[~held]
                 marks = np.zeros(MASKS * 64, np.uint8)
-                marks[mix64(own.view(np.uint64)) % np.uint64(MASKS * 64)] = 1
-                out.append([a, b, hit, len(x), common, own.tolist(), *np.packbits(marks).view(np.int64).tolist()])
-            columns = list(zip(*out, strict=True)) if out else [[]] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                marks[mix64(rest) % np.uint64(MASKS * 64)] = 1
+                at.append(i)
+                hit.append(alike)
+                size.append(len(y))
+                shared.append(common)
+                own.append(np.sort(rest.view(np.int64)))
+                masks.append(np.packbits(marks).view(np.int64))
+            bounds = pa.array(np.append(0, np.cumsum([len(x) for x in own])).astype(np.int32))
+            flat = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([np.zeros(0, np.int64), *own])))
+            bits = np.array(masks, np.int64).reshape(len(at), MASKS)
+            columns = [*batch.select([0, 1]).take(pa.array(at, pa.int64())).columns, pa.array(hit, pa.bool_()), pa.array(size, pa.int32()), pa.array(shared, pa.int32()), flat, *(pa.array(bits[:, i]) for i in range(MASKS))]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in STAR.split(", ")])
         settle()
 
     return run
@@ -259,25 +309,31 @@ def star_candidates(stars: DataFrame, least: float) -> DataFrame:
     return plain.unionAll(shared).distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, component_id): groups of texts whose shingle sets are at least that similar.
+def _text_keys(docs: DataFrame) -> DataFrame:
+    """docs with two hashes of the text, hi and lo, 124 bits together; null as empty."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumn("hi", F.xxhash64(text)).withColumn("lo", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"))
 
-    Equal texts are one node (null as empty). A band of the long SimHash gives candidates: texts of a bucket, which the
-    pivot table and the first 64 bits thin out. Every text is first held against its buckets' smallest ids, the centres,
-    so a bucket of n near copies costs n comparisons. Texts that a centre describes but doesn't link are held against
-    its others only where `star_candidates` can't rule it out; those that the centre doesn't describe, against the whole
-    bucket. Whole shingle sets verify. A bucket of unrelated texts grows with the square of the input by 2**-BAND_BITS.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = keyed.withColumn("hi", F.xxhash64("text")).withColumn("lo", F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long"))
+
+def _nodes(keyed: DataFrame, names: DataFrame) -> DataFrame:
+    """keyed (doc_id, text, hi, lo), names (hi, lo of its rows) -> (id, hi, lo, text): every distinct text once. Only texts
+    that may have copies are shuffled."""
+    many = names.groupBy("hi", "lo").agg(F.count("*").alias("n")).where("n > 1").select("hi")
+    told = flagged(keyed.select("hi", "lo", "text"), "hi", many)
+    copies = told.where("__maybe").groupBy("hi", "lo").agg(F.first("text").alias("text"))
+    every = told.where("not __maybe").drop("__maybe").unionByName(copies)
+    return cut(every.withColumn("id", F.monotonically_increasing_id()))
+
+
+def _groups(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, hi, lo, root): one row per input row with an id, and the group of its text."""
+    keyed = _text_keys(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     names = cut(keyed.select("doc_id", "hi", "lo"))
-    firsts = names.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"))
-    reps = names.join(firsts, ["hi", "lo"]).select("doc_id", F.col("id").alias("rep"))
-    texts = cut(keyed.join(firsts.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text"))
-    wide = texts.mapInArrow(_wide, "id long, fp long, bands array<long>")
-    rows = cut(wide.select("id", "fp", F.explode("bands").alias("key"))).withColumn("d", pivot_table(F.col("fp")))
+    texts = _nodes(keyed, names)
+    wide = cut(texts.select("id", "text").mapInArrow(_wide, "id long, fp long, bands array<int>"))
+    rows = wide.select("id", "fp", F.explode("bands").alias("key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    rows = cut(maybe(rows, "key", shared).withColumn("d", pivot_table(F.col("fp"))))
     centres = rows.groupBy("key").agg(F.min(F.struct("id", "fp", "d")).alias("c"), F.count("*").alias("n")).where("n > 1")
     held = rows.join(centres.select("key", F.col("c.id").alias("a"), F.col("c.fp").alias("afp"), F.col("c.d").alias("ad")), "key").where(F.col("a") < F.col("id"))
 
@@ -285,8 +341,9 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
         return within(F.col(ad), F.col(d), FAR) & (F.bit_count(F.col(afp).bitwiseXOR(F.col(fp))) <= FAR)
 
     def compared(pairs: DataFrame, by, schema: str) -> DataFrame:
-        one = texts.select(F.col("id").alias("a"), F.col("text").alias("s"))
-        two = texts.select(F.col("id").alias("b"), F.col("text").alias("t"))
+        pairs = cut(pairs)
+        one = maybe(texts.select(F.col("id").alias("a"), F.col("text").alias("s")), "a", pairs)
+        two = maybe(texts.select(F.col("id").alias("b"), F.col("text").alias("t")), "b", pairs)
         return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(by(shingle, similarity), schema))
 
     stars = compared(held.where(close("afp", "fp", "ad", "d")).select("a", F.col("id").alias("b")).distinct(), _stars, STAR)
@@ -298,7 +355,41 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     second = compared(rest.unionAll(star_candidates(stars, similarity)).distinct().join(first, ["a", "b"], "left_anti"), _verify, "a long, b long")
     roots = connected_components(first.unionAll(second))
-    return reps.join(roots, reps["rep"] == roots["id"], "left").select("doc_id", F.coalesce("root", "rep").alias("component_id"))
+    found = texts.select("id", "hi", "lo").join(roots, "id", "left").select("hi", "lo", F.coalesce("root", "id").alias("root"))
+    return names.join(found, ["hi", "lo"])
+
+
+def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, component_id): groups of texts whose shingle sets are at least that similar, named
+    by their smallest doc_id.
+
+    Equal texts are one node (null as empty). A band of the long SimHash gives candidates: texts of a bucket, which the
+    pivot table and the first 64 bits thin out. Every text is first held against its buckets' smallest nodes, the centres,
+    so a bucket of n near copies costs n comparisons. Texts that a centre describes but doesn't link are held against
+    its others only where `star_candidates` can't rule it out; those that the centre doesn't describe, against the whole
+    bucket. Whole shingle sets verify. A bucket of unrelated texts grows with the square of the input by 2**-BAND_BITS.
+
+    One row per row with an id: rows without one are left out, repeated rows stay repeated, and an id with several
+    texts has a row for each. Empty table: no rows; other columns are ignored.
+    """
+    found = cut(_groups(docs, shingle, similarity))
+    return found.join(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+
+
+def keep_one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs (doc_id, text, ...) -> the same columns, one row for each group of near_duplicate_groups: that of the smallest
+    doc_id. Rows with one id and unlike texts are different texts and both stay; rows without an id aren't grouped and stay."""
+    keys = ["doc_id", "hi", "lo"]
+    found = cut(_groups(docs, shingle, similarity))
+    kept = found.groupBy("root").agg(F.min(F.struct(*keys)).alias("k")).select("k.*")
+    # rows that surely are the only one of their text and the first of their group aren't shuffled
+    again = found.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select("hi")
+    lost = found.join(kept, keys, "left_anti").select("hi")
+    told = flagged(_text_keys(docs.withColumnsRenamed({c: f"__{c}" for c in ("hi", "lo") if c in docs.columns}).where("doc_id is not null")), "hi", lost.unionAll(again))
+    doubtful = told.where("__maybe").drop("__maybe").join(kept, keys, "left_semi").dropDuplicates(keys)
+    held = told.where("not __maybe").drop("__maybe").unionByName(doubtful)
+    own = [F.col(f"__{c}").alias(c) if c in ("hi", "lo") else F.col(c) for c in docs.columns]
+    return held.select(*own).unionAll(docs.where("doc_id is null"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridix.llm.common import cut, read_table
+from veridix.llm.common import cut, maybe, read_table
 
 #: Leading tokens that route a line below its token count.
 DEPTH = 3
@@ -28,10 +28,6 @@ MIN_TOKENS = 3
 VARIABLE = 0.3
 
 
-#: Bits of the map of forms that are looked at again: 2 MB, sent to all tasks whatever the input.
-MAP_BITS = 24
-
-
 def _has(t: Column, *parts: str) -> Column:
     return reduce(or_, [F.contains(t, F.lit(c)) for c in parts])
 
@@ -66,18 +62,6 @@ def _lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     return masked.withColumn("n", n).where((F.col("n") >= min_tokens) & (F.col("masked") != "")).withColumn("form", F.xxhash64("masked"))
 
 
-def _maybe(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Rows of df whose key may be one of wanted's: a bitmap over key hashes of MAP_BITS bits, built by aggregation and
-    broadcast (its size is fixed). It only spares a shuffle; an exact join follows."""
-    spot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - MAP_BITS)
-    bits = wanted.select((spot(key) + 1).alias("__s")).groupBy(F.bitmap_bucket_number("__s").alias("__k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__s")).alias("__m"))
-    at = spot(key)
-    byte = F.conv(F.hex(F.substring(F.col("__m"), F.shiftright(F.col("__at"), 3).bitwiseAND(4095).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    hit = F.expr("shiftrightunsigned(__b, cast(__at & 7 as int)) & 1") == 1
-    joined = df.withColumn("__at", at).join(F.broadcast(bits), F.floor(F.col("__at") / 32768) + 1 == F.col("__k"))
-    return joined.withColumn("__b", byte).where(hit).drop("__at", "__k", "__m", "__b")
-
-
 def _agreeing(tokens: DataFrame) -> DataFrame:
     """(leaf, form, all, texts, n, at, token) -> (leaf, form): the forms that agree with their leaf at all its fixed
     positions, of leaves with few enough variable ones."""
@@ -121,8 +105,8 @@ def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, depth: int = DE
     rest = forms.where(F.col("texts") < min_texts)
     crowded = rest.groupBy("leaf").agg(F.sum("texts").alias("all"), F.count("*").alias("kinds")).where((F.col("kinds") > 1) & (F.col("all") >= min_texts)).select("leaf", "all")
     wanted = cut(rest.join(crowded, "leaf").select("leaf", "form", "all", "texts", "first"))
-    holders = _maybe(docs, "text_id", wanted.select(F.col("first.text_id").alias("text_id")))
-    some = _maybe(_lines(holders, min_tokens).select("form", "n", "masked"), "form", wanted)
+    holders = maybe(docs, "text_id", wanted.select(F.col("first.text_id").alias("text_id")))
+    some = maybe(_lines(holders, min_tokens).select("form", "n", "masked"), "form", wanted)
     words = some.join(wanted, "form").select("leaf", "form", "all", "texts", "n", "masked").dropDuplicates(["leaf", "form"])
     tokens = cut(words.select("leaf", "form", "all", "texts", "n", F.posexplode(F.transform(F.split("masked", " "), lambda t: F.xxhash64(t))).alias("at", "token")))
     firsts = wanted.select("form", "texts", "first")
@@ -165,4 +149,50 @@ def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_line_templates": op6_line_templates}
-ORACLE: dict[str, str] = {}
+
+
+def _judged(tokens: str, name: str) -> str:
+    """CTEs that judge a tokens table as recurring_lines does: {name} (form, kept) are its recurring templates' forms."""
+    return f"""{name}w AS (SELECT leaf, pos, token, sum(texts) AS c, max(whole) AS whole, max(n) AS n FROM {tokens} GROUP BY 1, 2, 3),
+{name}f AS (SELECT leaf, pos, token, n FROM {name}w WHERE c > whole * {DOMINANT}),
+{name}s AS (SELECT leaf, count(*) AS held FROM {name}f GROUP BY 1 HAVING count(*) >= max(n) * {1 - VARIABLE}::DOUBLE),
+{name}a AS (SELECT t.leaf, t.form, max(s.held) AS held, count(*) AS same FROM {tokens} t JOIN {name}f f ON t.leaf = f.leaf AND t.pos = f.pos AND t.token = f.token JOIN {name}s s ON t.leaf = s.leaf GROUP BY 1, 2),
+{name}h AS (SELECT a.leaf, a.form, m.texts, m.first FROM {name}a a JOIN forms m ON a.form = m.form WHERE a.same = a.held),
+{name}i AS (SELECT leaf, min(first) AS kept FROM {name}h GROUP BY 1 HAVING sum(texts) >= {MIN_TEXTS}),
+{name} AS (SELECT h.form, i.kept FROM {name}h h JOIN {name}i i ON h.leaf = i.leaf)"""
+
+
+def _dealt(tokens: str, name: str, pick: str) -> str:
+    """CTEs that deal the forms of a tokens table to smaller leaves: the tokens table {name}."""
+    return f"""{name}w AS (SELECT leaf, pos, token, sum(texts) AS c FROM {tokens} WHERE pos >= {DEPTH} GROUP BY 1, 2, 3 HAVING sum(texts) >= {MIN_TEXTS}),
+{name}g AS (SELECT t.form, any_value(t.leaf) AS leaf, {pick}([w.c, t.pos]) AS g, max(t.texts) AS texts FROM {tokens} t JOIN {name}w w ON t.leaf = w.leaf AND t.pos = w.pos AND t.token = w.token GROUP BY 1),
+{name}n AS (SELECT g.form, g.texts, g.leaf || chr(1) || t.pos || chr(1) || t.token AS leaf FROM {name}g g JOIN {tokens} t ON g.form = t.form AND g.g[2] = t.pos),
+{name}a AS (SELECT leaf, sum(texts) AS whole FROM {name}n GROUP BY 1 HAVING sum(texts) >= {MIN_TEXTS}),
+{name} AS (SELECT t.form, t.texts, t.n, t.pos, t.token, n.leaf, a.whole FROM {tokens} t JOIN {name}n n ON t.form = n.form JOIN {name}a a ON n.leaf = a.leaf)"""
+
+
+#: The same over the strings themselves: no hashes, no bitmaps.
+SQL = rf"""
+WITH texts AS (SELECT text, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY 1),
+raw AS (SELECT text, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place FROM texts),
+spaced AS (SELECT text, doc_id, place, trim(regexp_replace(lower(line), '[ 	
+]+', ' ', 'g')) AS line FROM raw),
+words AS (SELECT text, doc_id, place, list_transform(string_split(line, ' '), lambda z: CASE WHEN regexp_matches(z, '[0-9]') OR regexp_full_match(z, '[a-f]{{16,}}') THEN '<*>' ELSE z END) AS w FROM spaced WHERE line <> ''),
+lines AS (SELECT text, doc_id, place, len(w) AS n, array_to_string(w, ' ') AS form, len(w) || chr(1) || array_to_string(w[1:{DEPTH}], ' ') AS leaf FROM words WHERE len(w) >= {MIN_TOKENS}),
+forms AS (SELECT form, any_value(leaf) AS leaf, any_value(n) AS n, count(DISTINCT text) AS texts, min([doc_id, place]) AS first FROM lines GROUP BY 1),
+crowded AS (SELECT leaf, sum(texts) AS whole FROM forms WHERE texts < {MIN_TEXTS} GROUP BY 1 HAVING count(*) > 1 AND sum(texts) >= {MIN_TEXTS}),
+t0 AS (SELECT form, texts, n, unnest(string_split(form, ' ')) AS token, generate_subscripts(string_split(form, ' '), 1) - 1 AS pos, leaf, whole FROM forms JOIN crowded USING (leaf) WHERE texts < {MIN_TEXTS}),
+{_judged('t0', 'r0')},
+l1 AS (SELECT * FROM t0 WHERE form NOT IN (SELECT form FROM r0)),
+{_dealt('l1', 't1', 'min')},
+{_judged('t1', 'r1')},
+l2 AS (SELECT * FROM l1 WHERE form NOT IN (SELECT form FROM r1)),
+{_dealt('l2', 't2', 'max')},
+{_judged('t2', 'r2')},
+gone AS (SELECT form, first AS kept FROM forms WHERE texts >= {MIN_TEXTS} UNION ALL SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2),
+hits AS (SELECT DISTINCT text, place FROM lines JOIN gone USING (form) WHERE [doc_id, place] <> kept),
+marks AS (SELECT text, list(place) AS places FROM hits GROUP BY 1),
+cleaned AS (SELECT doc_id, coalesce(len(places), 0) AS n_dropped, CASE WHEN places IS NULL THEN text ELSE coalesce((SELECT string_agg(r.line, chr(10) ORDER BY r.place) FROM raw r WHERE r.text = documents.text AND NOT list_contains(places, r.place)), '') END AS text FROM documents LEFT JOIN marks USING (text))
+SELECT doc_id, n_dropped, strlen(text)::BIGINT AS n_bytes, md5(text) AS text_md5 FROM cleaned"""
+
+ORACLE: dict[str, str] = {"op6_line_templates": SQL}
