@@ -212,13 +212,13 @@ def encoder(path: str, cached_words: int) -> WordEncoder:
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window_tokens long, step_id long"
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, with_ids: bool = False, cached_words: int = 1_200_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, with_ids: bool = False, cached_words: int = 1_200_000, forget: bool = False) -> DataFrame:
     """docs (doc_id, text) -> one row per piece (see SCHEMA), with the ids themselves if asked for.
 
     Each task packs what it reads, HELD tokens at a time, without a shuffle; sequence_id and step_id start at the
     task's number times 2**33. Null and empty texts are one token, the end id. Rows with equal or null ids are
     packed as separate documents. An empty table gives no rows; other columns are ignored. cached_words bounds what a
-    Python worker keeps of words' ids, about 200 bytes each.
+    Python worker keeps of words' ids, about 200 bytes each; forget: nor does it keep its tokenizer beyond the task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,6 +262,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...]
                     total = 0
         if held:
             yield from flush()
+        if forget:
+            _ENCODERS.clear()
+            del enc
         settle()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
