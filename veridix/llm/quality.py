@@ -4,7 +4,8 @@
 2. a logistic regression on the lexicon's hits and on text statistics, both fitted on a bounded sample of labelled rows (SAMPLE);
 3. over all labels, per host and per path the labelled rate of bad documents, each shrunk toward the level above by a beta prior
    whose strength comes from the spread between sites. The site's log-odds against the global rate shift the
-   document's own log-odds by a fixed small weight.
+   document's own log-odds by a weight that is estimated too: on the half of the sample whose labels the rates
+   that it is fitted with haven't seen.
 """
 
 from __future__ import annotations
@@ -13,21 +14,24 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridix.llm.common import LOWER, TERM, WHITE, bytes_of, cut, prefix_sums, read_table, runs, settle, small_batches, span_hash
+from veridix.llm.common import LOWER, TERM, WHITE, bounded, bytes_of, cut, prefix_sums, read_table, runs, settle, span_hash
 
 #: Entries of the lexicon at most, documents an entry needs at least, and how much more often it must be toxic.
 LEXICON, SUPPORT, LIFT = 4096, 4, 8.0
 #: Labelled rows, about, that the lexicon and the regression are fitted on at most.
 SAMPLE = 40_000
-#: Weight of the site's log-odds in the document's.
-SITE_WEIGHT = 0.25
+#: An entry's toxic documents must be over this many times its others.
+PURITY = 3
 #: Word beginnings of these many bytes are looked at besides whole words.
 BEGINNINGS = (4, 5, 6)
 STATISTICS = 12
+#: Host and path: `source`, and `lang` below it.
+LEVELS = ["source", "lang"]
 FEATURES = STATISTICS + 4
 
 
@@ -92,6 +96,11 @@ class Model:
     mean: np.ndarray
     scale: np.ndarray
 
+    def log_odds(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of bad and of toxic documents, by their features."""
+        z = (x - self.mean) / self.scale
+        return tuple(np.clip(z @ w[:-1] + w[-1], -30, 30) for w in (self.bad, self.toxic))
+
 
 def features(lexicon: np.ndarray, weight: np.ndarray, a: np.ndarray, off: np.ndarray) -> np.ndarray:
     stats, r, h = text_features(a, off)
@@ -129,21 +138,22 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """docs (text) with labels (toxic, quality) of about `most` labelled ids at most, the same ids each time. A bounded
-    number of labels is broadcast to the texts; the texts aren't moved."""
+    """docs (doc_id, text, source, lang) with labels (toxic, quality) of about `most` labelled ids at most, the same ids
+    each time. A bounded number of labels is broadcast to the texts; the texts aren't moved."""
     own = labels.where("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "quality")
     part = min(1.0, most / max(1, own.count()))
     own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000))
     own = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"), F.min("quality").cast("int").alias("quality")).limit(2 * most)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), "doc_id")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *LEVELS).join(F.broadcast(own), "doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """docs (doc_id, text), labels (doc_id, quality, toxic). A document with several labels counts by its worst."""
+def train(docs: DataFrame, labels: DataFrame) -> tuple[Model, pd.DataFrame]:
+    """docs (doc_id, text, source, lang), labels (doc_id, quality, toxic) -> the model, and of the sample's rows that
+    _fold(1) holds source, lang, both log-odds and both labels. A document with several labels counts by its worst."""
     known = _labelled(docs, labels, SAMPLE)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             a, off = bytes_of(b.column(0))
             _, r, h = text_features(a, off)
             toxic = np.asarray(b.column(1)).astype(np.int64)[r] > 0
@@ -156,17 +166,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     spread = known.select("text", "toxic").mapInArrow(count, "h long, t long, n long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     odds = F.log((F.col("t") + 0.5) / (t_all + 1.0)) - F.log((F.col("n") - F.col("t") + 0.5) / (c_all + 1.0))
     top = spread.where(F.col("t") >= SUPPORT).withColumn("w", odds).where(F.col("w") > float(np.log(LIFT)))
-    top = top.where((F.col("n") - F.col("t")) * 3 < F.col("t")).orderBy(F.desc("t"), "h").limit(LEXICON).collect()  # at most LEXICON rows
+    top = top.where((F.col("n") - F.col("t")) * PURITY < F.col("t")).orderBy(F.desc("t"), "h").limit(LEXICON).collect()  # at most LEXICON rows
     pairs = sorted((np.int64(r["h"]).view(np.uint64).item(), r["w"]) for r in top)
     lexicon, weight = np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             x = features(lexicon, weight, *bytes_of(b.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x)), b.column(1), b.column(2)], names=["x", "toxic", "quality"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x)), *b.columns[1:]], names=["x", *b.schema.names[1:]])
         settle()
 
-    got = known.select("text", "toxic", "quality").mapInArrow(rows, "x array<double>, toxic int, quality int").toPandas()  # about SAMPLE rows
+    places = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known.select(*LEVELS).schema)
+    got = known.select("text", "toxic", "quality", _fold("doc_id").alias("fold"), *LEVELS).mapInArrow(rows, f"x array<double>, toxic int, quality int, fold int, {places}").toPandas()  # about SAMPLE rows
     order = np.lexsort([got["toxic"].to_numpy(), *np.array(got["x"].tolist()).reshape(len(got), FEATURES).T])  # whatever order the tasks end in
     got = got.iloc[order]
     x = np.array(got["x"].tolist()).reshape(len(got), FEATURES)
@@ -174,7 +185,26 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     z = (x - mean) / scale
     toxic = (got["toxic"].to_numpy(float) > 0).astype(float)
     junk = (got["quality"].to_numpy(float) < 1).astype(float)
-    return Model(lexicon, weight, fit_logistic(z, junk), fit_logistic(z, toxic), mean, scale)
+    model = Model(lexicon, weight, fit_logistic(z, junk), fit_logistic(z, toxic), mean, scale)
+    bad_odds, toxic_odds = model.log_odds(x)
+    unseen = got[LEVELS].assign(bad_odds=bad_odds, toxic_odds=toxic_odds, junk=junk, toxic=toxic)[got["fold"].to_numpy() == 1]
+    return model, unseen
+
+
+def _fold(column: str) -> Column:
+    """Half of the ids each: 0 or 1."""
+    return F.pmod(F.shiftright(F.xxhash64(column), 32), F.lit(2)).cast("int")
+
+
+def site_weight(odds: np.ndarray, shift: np.ndarray, y: np.ndarray, rounds: int = 30) -> float:
+    """The weight in [0, 1] by which the site's shift, added to the log-odds, makes the labels likeliest; a unit normal
+    prior about zero, so without evidence the site doesn't count."""
+    w = 0.0
+    for _ in range(rounds if len(y) else 0):
+        p = 1 / (1 + np.exp(-np.clip(odds + w * shift, -30, 30)))
+        w += float(((y - p) * shift).sum() - w) / float((p * (1 - p) * shift * shift).sum() + 1)
+        w = min(1.0, max(0.0, w))
+    return w
 
 
 def site_rates(sites: DataFrame, levels: list[str]) -> DataFrame:
@@ -207,6 +237,25 @@ def site_rates(sites: DataFrame, levels: list[str]) -> DataFrame:
     return out.select(*levels, parent.alias("site_rate"), F.lit(rate).alias("global_rate"))
 
 
+def site_shift() -> Column:
+    """The site's log-odds against those of all labels."""
+    log_odds = lambda c: F.log(F.col(c) / (1 - F.col(c)))
+    return log_odds("site_rate") - log_odds("global_rate")
+
+
+def _weights(unseen: pd.DataFrame, rates: DataFrame) -> list[float]:
+    """Weights of the site for bad and for toxic documents, from rows that the rates haven't seen (about SAMPLE / 2)."""
+    if unseen.empty:
+        return [0.0, 0.0]
+    spark = rates.sparkSession
+    kind = {f.name: f.dataType.simpleString() for f in rates.schema}
+    places = [tuple(None if pd.isna(v) else v for v in row) for row in unseen[LEVELS].itertuples(index=False)]
+    numbers = unseen.drop(columns=LEVELS).astype(float).itertuples(index=False)
+    rows = spark.createDataFrame([(*a, *b) for a, b in zip(places, numbers, strict=True)], ", ".join(f"__{c} {kind[c]}" for c in LEVELS) + ", bad_odds double, toxic_odds double, junk double, toxic double")
+    got = F.broadcast(rows).join(rates, [rates[c].eqNullSafe(rows[f"__{c}"]) for c in LEVELS]).select("bad_odds", "toxic_odds", "junk", "toxic", site_shift().alias("s")).orderBy("bad_odds", "toxic_odds", "junk", "toxic", "s").toPandas()
+    return [site_weight(got[o].to_numpy(), got["s"].to_numpy(), got[y].to_numpy()) for o, y in (("bad_odds", "junk"), ("toxic_odds", "toxic"))]
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs (doc_id, text, source, lang), labels (doc_id, quality, toxic) -> docs' columns with p_bad, p_toxic,
     site_rate and rejected.
@@ -216,20 +265,22 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Repeated rows are classified alike; an empty table gives no rows; input columns named like the added ones go.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.drop("p_bad", "p_toxic", "site_rate", "rejected")
-    model = train(docs, labels)
+    model, unseen = train(docs, labels)
     sent = spark.sparkContext.broadcast(model)
     own = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.max(((F.col("toxic") > 0) | (F.col("quality") < 1)).cast("int")).alias("bad"))
-    levels = ["source", "lang"]
-    rates = cut(site_rates(docs.select("doc_id", *levels).join(own, "doc_id", "left").select(*levels, "bad"), levels))
+    levels = LEVELS
+    sites = docs.select("doc_id", *levels).join(own, "doc_id", "left")
+    rates = cut(site_rates(sites.select(*levels, "bad"), levels))
+    weights = _weights(unseen, site_rates(sites.select(*levels, F.when(_fold("doc_id") == 0, F.col("bad")).alias("bad")), levels))
+    del unseen
+    settle()  # what the driver has read of the sample
     known = bool(len(model.mean)) and not rates.where("site_rate is not null").isEmpty()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in batches:
-            z = (features(m.lexicon, m.weight, *bytes_of(b.column(b.schema.get_field_index("text")))) - m.mean) / m.scale
-            cols = [pa.array(np.clip(z @ w[:-1] + w[-1], -30, 30)) for w in (m.bad, m.toxic)]
+        for b in bounded(batches):
+            cols = map(pa.array, m.log_odds(features(m.lexicon, m.weight, *bytes_of(b.column(b.schema.get_field_index("text"))))))
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, "__bad", "__toxic"])
         settle()
 
@@ -237,10 +288,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = docs.mapInArrow(run, fields + ", __bad double, __toxic double")
     r = rates.select(*[F.col(c).alias(f"__{c}") for c in levels], "site_rate", "global_rate")
     scored = scored.join(r, [scored[c].eqNullSafe(r[f"__{c}"]) for c in levels], "left").drop(*[f"__{c}" for c in levels])
-    log_odds = lambda c: F.log(F.col(c) / (1 - F.col(c)))
-    shift = F.lit(SITE_WEIGHT) * (log_odds("site_rate") - log_odds("global_rate"))
-    for name, raw in (("p_bad", "__bad"), ("p_toxic", "__toxic")):
-        scored = scored.withColumn(name, 1 / (1 + F.exp(-(F.col(raw) + shift))))
+    for name, raw, w in (("p_bad", "__bad", weights[0]), ("p_toxic", "__toxic", weights[1])):
+        scored = scored.withColumn(name, 1 / (1 + F.exp(-(F.col(raw) + F.lit(w) * site_shift()))))
     reject = (F.col("p_bad") > 0.5) | (F.col("p_toxic") > 0.5) if known else F.lit(False)
     return scored.withColumn("rejected", reject).drop("__bad", "__toxic", "global_rate")
 
