@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
 from veridix.llm import simhash as S
 
@@ -25,3 +27,20 @@ def test_stages_on_nulls_copies_and_leaks(spark, tmp_path):
         if name != "packing":
             assert got.columns == C.COLUMNS
             empty = got
+
+
+def test_the_sessions_batch_size_stays(spark, docs):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    S.simhash_components(docs).count()
+    assert spark.conf.get(key) == before
+
+
+def test_an_id_with_two_texts_is_judged_by_text(spark, tmp_path):
+    leak = "Seven grey owls sat on the wall. They saw the red fox run home."
+    other = " ".join(f"wort{i}" for i in range(50))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    df = spark.createDataFrame([(1, leak, "en", "s", 9), (1, other, "en", "s", 9), (None, leak, "en", "s", 9), (2, None, "en", "s", 0)], schema)
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = C.decontaminate(spark, df.withColumn("text_id", F.lit("clash")), str(tmp_path))
+    assert got.columns == C.COLUMNS and sorted((r["doc_id"], r["text"]) for r in got.collect()) == [(1, other), (2, None)]

@@ -35,11 +35,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 200) -> None:
-    """Bound what one Arrow batch of whole texts holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def bounded(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The rows in slices of about `most` bytes of strings, a longer row alone, so a function's memory doesn't depend on
     how many rows the session puts in a batch (batches themselves are bounded by spark.sql.execution.arrow.maxBytesPerBatch)."""
