@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridix.llm import decontam, edits, htmltext, lexical, mixing, mpeg, packing, periodic, quality, simhash, suffix, templates
+from veridix.llm import ann, decontam, edits, htmltext, lexical, mixing, mpeg, packing, periodic, quality, simhash, suffix, templates
 
-MODULES = [packing, simhash, suffix, quality, decontam, templates, mixing, mpeg, edits, htmltext, periodic, lexical]
+MODULES = [packing, simhash, suffix, quality, decontam, templates, mixing, mpeg, edits, htmltext, periodic, lexical, ann]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
