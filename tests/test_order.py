@@ -87,9 +87,9 @@ def test_bootstrap_equals_the_loop(spark):
     r = spark.createDataFrame(rows, "scope string, version string, query_id long, label string, source_order long")
     pairs = P.pairs(r)
     got = {(x["version"], x["metric"]): x for x in P.bootstrap_ci(pairs, 200, 5).collect()}
-    index = {x["query_id"]: x["i"] for x in O.group_positions(r.select("scope", "query_id").distinct(), "scope", "query_id", "i").collect()}
-    by = {i: q for q, i in index.items()}
     label = {(v, q): lab for _, v, q, lab, _ in rows}
+    pattern = lambda q: ",".join(f"{v}:{label['b0', q]}:{label[v, q]}" for v in ("a1", "a2"))
+    by = sorted(range(12), key=lambda q: (pattern(q), q))  # queries of one outcome lie together
     import hashlib
 
     def score(version, qs, metric):
@@ -106,6 +106,20 @@ def test_bootstrap_equals_the_loop(spark):
         assert (x["bootstrap_samples"], x["seed"]) == (200, 5)
 
 
+def test_bootstrap_in_pieces_and_without_some_rows(spark, monkeypatch):
+    """A sample that many rows draw together gives what one row gives; a version may lack queries; no pairs, no rows."""
+    rng = random.Random(8)
+    rows = [(s, v, q, "correct", rng.choice(P.LABELS)) for s in ("all", "primary") for v in ("a1", "a2") for q in range(30) if v == "a1" or q % 3]
+    pairs = spark.createDataFrame(rows, "scope string, version string, query_id long, base_label string, label string")
+    whole = sorted(map(tuple, P.bootstrap_ci(pairs, 50).collect()))
+    monkeypatch.setattr(P, "QUARTERS", 3)
+    assert sorted(map(tuple, P.bootstrap_ci(pairs, 50).collect())) == whole and len(whole) == 16
+    assert P.bootstrap_ci(pairs.where("false")).count() == 0
+    plan = P.bootstrap_ci(pairs, 50)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInPandas") :]
+    assert "Exchange" not in below[: below.index("Range")]
+
+
 def test_empty_scopes_and_labels_raise(spark):
     r = spark.createDataFrame([("b0", 1, "correct", 3)], "version string, query_id long, label string, source_order long")
     assert P.scoped(r).count() == 1

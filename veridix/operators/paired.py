@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridix.functions.stats import mcnemar_p, percentile_linear, ratio
-from veridix.operators.order import group_positions, positions
+from veridix.operators.order import positions
 
 LABELS = ["correct", "partial", "incorrect", "missing"]
 LABEL_METRICS = ["accuracy", "missing", "hallucination", "truthfulness", "coverage"]
@@ -78,29 +83,72 @@ def refusal_quality(paired: DataFrame) -> DataFrame:
     return paired.groupBy("scope", "version").agg(F.count_if(miss).alias("missing"), F.count_if(miss & (F.col("base_label") == "correct")).alias("harmful"), F.count_if(miss & (F.col("base_label") == "missing")).alias("also_missing"), F.count_if(miss & F.col("base_label").isin("partial", "incorrect")).alias("avoided"))
 
 
+#: Quarters of draws (an MD5 gives four) that one row makes and sums.
+QUARTERS = 1 << 16
+_SIDES = {"accuracy": ("correct",), "missing": ("missing",), "hallucination": ("partial", "incorrect")}
+
+
+def outcome_cells(paired: DataFrame) -> DataFrame:
+    """pairs -> scope, pattern, n, outcomes: queries counted by what all versions answered (the pattern, its versions in
+    order). With v versions beside the baseline there are at most 4 (4 + 1)^v cells, and never more than queries."""
+    said = F.sort_array(F.collect_list(F.struct("version", "base_label", "label")))  # a row a version
+    own = paired.groupBy("scope", "query_id").agg(said.alias("outcomes"))
+    pattern = F.array_join(F.transform("outcomes", lambda x: F.concat_ws(":", x["version"], x["base_label"], x["label"])), ",")
+    return own.groupBy("scope", pattern.alias("pattern")).agg(F.count("*").alias("n"), F.any_value("outcomes").alias("outcomes"))
+
+
 def bootstrap_ci(paired: DataFrame, samples: int = 10_000, seed: int = 20260712) -> DataFrame:
     """pairs -> scope, version, metric, observed_delta, ci_low, ci_high, bootstrap_samples, seed: percentile intervals of
     every metric's delta over resamples of the queries with replacement, drawn alike for both arms and all versions.
 
-    Draw j of sample b of a scope takes the query whose index (see group_positions) a quarter of a hash of seed, scope, b
-    and j div 4 names. A draw is three narrow columns; what a sample draws is summed before it is shuffled.
+    Queries are numbered by (pattern of outcomes, query), so queries of one outcome lie together: draw j of sample b of a
+    scope names a number by a quarter of a hash of seed, scope, b and j div 4, and the number its cell by a search in the
+    cells' ends. A row stands for up to 4 QUARTERS draws of one sample; it draws, counts cells and sends the sums on, so
+    neither draws nor queries are shuffled or joined. The cells (see outcome_cells for their number) go to all tasks.
+    One job, which counts the cells, runs while the plan is built.
     """
-    one = lambda c, *x: F.col(c).isin(*x).cast("int")
-    sides = {"accuracy": ("correct",), "missing": ("missing",), "hallucination": ("partial", "incorrect")}
-    diff = paired.select("scope", "version", "query_id", *[(one("label", *x) - one("base_label", *x)).alias(m) for m, x in sides.items()])
-    diff = diff.withColumn("truthfulness", F.col("accuracy") - F.col("hallucination"))
-    ids = group_positions(paired.select("scope", "query_id").distinct(), "scope", "query_id", "i")
-    drawn = ids.groupBy("scope").agg(F.count("*").alias("n")).select("scope", "n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b"))
-    drawn = drawn.repartition("scope", "b").select("scope", "n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 4))).alias("q"))
-    drawn = drawn.withColumn("h", F.md5(F.concat_ws("-", F.lit(str(seed)), "scope", F.col("b").cast("string"), F.col("q").cast("string"))))
-    code = lambda k: F.conv(F.substring("h", 1 + 8 * k, 8), 16, 10).cast("long")
-    drawn = drawn.select("scope", "n", "b", "q", F.posexplode(F.array(*[code(k) for k in range(4)])).alias("k", "code")).where(4 * F.col("q") + F.col("k") < F.col("n"))
-    drawn = drawn.select("scope", "b", F.pmod("code", "n").alias("i"))
-    rows = diff.join(ids, ["scope", "query_id"]).select("scope", "version", "i", *BOOTSTRAP_METRICS)
-    per = drawn.join(rows, ["scope", "i"]).groupBy("scope", "version", "b").agg(*[(F.sum(m).cast("double") / F.count("*")).alias(m) for m in BOOTSTRAP_METRICS])
+    spark = paired.sparkSession
+    cells: dict[str, list] = {}
+    for r in outcome_cells(paired).orderBy("scope", "pattern").collect():
+        cells.setdefault(r["scope"], []).append((r["n"], {o["version"]: (o["base_label"], o["label"]) for o in r["outcomes"]}))
+    ends, values, versions = {}, {}, {}
+    for scope, rows in cells.items():
+        versions[scope] = sorted({v for _, o in rows for v in o})
+        ends[scope] = np.cumsum([n for n, _ in rows])
+        # by cell, version: whether the version has the query, and its deltas
+        delta = lambda o: [1, *[(o[1] in x) - (o[0] in x) for x in _SIDES.values()]] if o else [0] * 4
+        values[scope] = np.array([[delta(o.get(v)) for v in versions[scope]] for _, o in rows], np.int64)
+    if not cells:
+        return spark.createDataFrame([], "scope string, version string, metric string, observed_delta double, ci_low double, ci_high double, bootstrap_samples bigint, seed bigint")
+    sent = spark.sparkContext.broadcast((ends, values, versions))
+    kinds = "scope string, version string, b long, present long, accuracy long, missing long, hallucination long"
+
+    def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ends, values, versions = sent.value
+        for pdf in parts:
+            out = []
+            for scope, b, lo in zip(pdf["scope"], pdf["b"].tolist(), pdf["lo"].tolist(), strict=True):
+                n = int(ends[scope][-1])
+                hi = min(lo + QUARTERS, -(-n // 4))
+                said = f"{seed}-{scope}-{b}-"
+                code = np.frombuffer(b"".join([hashlib.md5(f"{said}{q}".encode(), usedforsecurity=False).digest() for q in range(lo, hi)]), ">u4")[: n - 4 * lo]
+                count = np.bincount(np.searchsorted(ends[scope], code.astype(np.int64) % n, side="right"), minlength=len(ends[scope]))
+                out += [(scope, v, b, *x) for v, x in zip(versions[scope], np.tensordot(count, values[scope], 1).tolist(), strict=True)]
+            yield pd.DataFrame(out, columns=[k.split()[0] for k in kinds.split(", ")])
+
+    sizes = F.array(*[F.struct(F.lit(s).alias("scope"), F.lit(int(e[-1])).alias("n")) for s, e in ends.items()])
+    todo = spark.range(samples).select(F.col("id").alias("b"), F.explode(sizes).alias("s"))
+    todo = todo.select("b", "s.scope", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("s.n") - 1) / 4), F.lit(QUARTERS).cast("long"))).alias("lo"))
+    sums = todo.select("scope", "b", "lo").mapInPandas(draw, kinds)
+    per = sums.groupBy("scope", "version", "b").agg(*[(F.sum(m).cast("double") / F.nullif(F.sum("present"), F.lit(0))).alias(m) for m in _SIDES])
+    per = per.withColumn("truthfulness", F.col("accuracy") - F.col("hallucination"))
     long = lambda df, *keep: df.select("scope", "version", *keep, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("delta")) for m in BOOTSTRAP_METRICS])).alias("x")).select("scope", "version", *keep, "x.*")
     ci = long(per).groupBy("scope", "version", "metric").agg(percentile_linear(F.col("delta"), 0.025).alias("ci_low"), percentile_linear(F.col("delta"), 0.975).alias("ci_high"), F.count("*").alias("bootstrap_samples"))  # as many values a group as samples
-    observed = long(diff.groupBy("scope", "version").agg(*[F.avg(m).alias(m) for m in BOOTSTRAP_METRICS])).withColumnRenamed("delta", "observed_delta")
+    seen = []
+    for scope, v in values.items():
+        total = np.tensordot(np.diff(ends[scope], prepend=0), v, 1).tolist()
+        seen += [(scope, name, a / n, m / n, h / n, (a - h) / n) for name, (n, a, m, h) in zip(versions[scope], total, strict=True)]
+    observed = long(spark.createDataFrame(seen, "scope string, version string, accuracy double, missing double, hallucination double, truthfulness double")).withColumnRenamed("delta", "observed_delta")
     return observed.join(ci, ["scope", "version", "metric"]).withColumn("seed", F.lit(seed).cast("long"))
 
 

@@ -49,7 +49,8 @@ ORACLE["paired_deltas"] = METRICS + " SELECT v.scope, v.version, " + ", ".join(R
 _D = {"accuracy": "{0} = 'correct'", "missing": "{0} = 'missing'", "hallucination": "{0} IN ('partial', 'incorrect')"}
 _ONE = {m: f"({x.format('label')})::INT - ({x.format('base_label')})::INT" for m, x in _D.items()}
 ORACLE["bootstrap_ci"] = PAIRS + f""",
-q AS (SELECT scope, query_id, row_number() OVER (PARTITION BY scope ORDER BY substr(md5(query_id::VARCHAR), 1, 3), query_id) - 1 AS i, count(*) OVER (PARTITION BY scope) AS n FROM (SELECT DISTINCT scope, query_id FROM p)),
+qp AS (SELECT scope, query_id, string_agg(version || ':' || base_label || ':' || label, ',' ORDER BY version) AS pattern FROM p GROUP BY 1, 2),
+q AS (SELECT scope, query_id, row_number() OVER (PARTITION BY scope ORDER BY pattern, query_id) - 1 AS i, count(*) OVER (PARTITION BY scope) AS n FROM qp),
 dr AS (SELECT scope, b, (('0x' || substr(md5('20260712-' || scope || '-' || b || '-' || (i // 4)), 1 + 8 * (i % 4), 8))::BIGINT) % n AS i FROM q, range(10000) t(b)),
 v AS (SELECT p.scope, version, i, {_ONE['accuracy']} AS accuracy, {_ONE['missing']} AS missing, {_ONE['hallucination']} AS hallucination FROM p JOIN q ON p.scope = q.scope AND p.query_id = q.query_id),
 x AS (SELECT dr.scope, version, b, sum(accuracy)::DOUBLE / count(*) AS accuracy, sum(missing)::DOUBLE / count(*) AS missing, sum(hallucination)::DOUBLE / count(*) AS hallucination, sum(accuracy - hallucination)::DOUBLE / count(*) AS truthfulness FROM dr JOIN v ON dr.scope = v.scope AND dr.i = v.i GROUP BY 1, 2, 3),
