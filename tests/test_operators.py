@@ -9,7 +9,7 @@ from veridix.operators import paired as P
 from veridix.operators import scoring as S
 from veridix.operators import telemetry as T
 from veridix.operators import turns as U
-from veridix.operators.generate import wave_generate
+from veridix.operators.generate import Waves, wave_generate
 from veridix.operators.retrieval import cosine_top_k
 
 TURN = "struct<interaction_id:array<string>,query:array<string>>"
@@ -137,6 +137,52 @@ def test_waves_see_earlier_answers(spark):
         wave_generate(t, lambda q, h: []).collect()
 
 
+def test_waves_fill_batches_from_open_sessions():
+    """Batches are full while sessions allow, hold one turn of a session, and every history is the session's so far."""
+    rng = random.Random(5)
+    rows = [(s, t, f"q{s}-{t}", "forced" if rng.random() < 0.2 else None) for s in range(60) for t in range(rng.choice([1, 1, 2, 3, 30]))]
+    batches = []
+
+    def backend(queries, histories):
+        batches.append(queries)
+        sessions = [q[1:].split("-")[0] for q in queries]
+        assert len(set(sessions)) == len(sessions)
+        for q, h in zip(queries, histories, strict=True):
+            s, t = q[1:].split("-")
+            assert [m["content"] for m in h if m["role"] == "user"] == [f"q{s}-{i}" for i in range(int(t))]
+            assert all(m["content"] in ("forced", f"a q{s}-{i // 2}") for i, m in enumerate(h) if m["role"] == "assistant")
+        return [f"a {q}" for q in queries]
+
+    waves = Waves(iter(rows), backend, 8)
+    got = list(waves.answers())
+    assert sorted(got) == sorted((s, t, q, a or f"a {q}") for s, t, q, a in rows) and not waves.open and waves.waiting == 0
+    assert max(map(len, batches)) == 8 and len(batches) < len(rows) / 4
+
+
+def test_waves_of_a_long_session_hold_few_turns(monkeypatch):
+    monkeypatch.setattr("veridix.operators.generate.WAITING", 10)
+    rows = [(0, t, "q", None) for t in range(500)] + [(s, 0, "q", None) for s in range(1, 5)]
+    waves, most = Waves(iter(rows), lambda q, h: [str(len(x)) for x in h], 4), 0
+    for n, row in enumerate(waves.answers()):
+        most = max(most, waves.waiting)
+        assert row[3] == str(2 * row[1])
+    assert n == 503 and most <= 10
+
+
+def test_waves_are_one_scan_and_one_shuffle(spark):
+    rows = [(s, t, f"{s} {t}", None) for s in range(40) for t in range(s % 7 + 1)] + [(None, 0, "x", None)]
+    t = spark.createDataFrame(rows, "session_id long, turn_idx long, query string, forced_answer string").repartition(5)
+    plans = []
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df
+
+    got = {(r["session_id"], r["turn_idx"]): r["agent_response"] for r in wave_generate(t, cut=cut, batch=3).collect()}
+    assert got == {(s, i): f"{2 * i}:{s}" for s, i, _, _ in rows if s is not None}
+    assert len(plans) == 1 and plans[0].count("RepartitionByExpression [session_id") == 1 and "Window" not in plans[0]
+
+
 def test_stratified_sample_takes_every_stratum_first(spark):
     df = spark.createDataFrame([(i, "a" if i < 50 else "b") for i in range(53)], "id int, s string")
     got = C.stratified_sample(df, ["s"], "id", 6, 1).collect()

@@ -2,6 +2,8 @@ import random
 from collections import Counter
 from statistics import median
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,6 +155,36 @@ def test_lexical_top_k_equals_all_pairs(spark, monkeypatch):
         assert got == want
 
 
+def test_lexical_search_reads_few_postings(spark, monkeypatch):
+    """Far fewer entries than queries times items, in one range or many; a stop word in all texts adds none."""
+    rng = random.Random(7)
+    say = lambda n: " ".join(f"w{int(rng.paretovariate(0.25))}" for _ in range(n))
+    items, queries = [(i, say(rng.randint(3, 60))) for i in range(1500)], [(i, say(12)) for i in range(30)]
+    q = {i: set(t.split()) for i, t in queries}
+
+    def entries(extra, most):
+        a = spark.createDataFrame([(i, f"{extra} {t}") for i, t in items], "item_id long, text string").coalesce(1)
+        asked = R.hashed_tokens(spark.createDataFrame([(i, f"{extra} {t}") for i, t in queries], "query_id long, text string"), "query_id").collect()
+        ranges = pa.Table.from_batches(R.lexical_index(a, most).toArrow().to_batches()).combine_chunks().to_batches()[0]
+        read, out = [0], {}
+        for r in asked:
+            best = (np.zeros(0, np.int64), np.zeros(0))
+            for i in range(ranges.num_rows):
+                best = R.Postings(ranges, i).search(np.array(r["t"], np.int64), best, 5, read)
+            out[r["query_id"]] = best[0].tolist()
+        return ranges.num_rows, read[0], out
+
+    one, read, found = entries("", 5000)
+    assert one == 1 and read < 0.5 * len(items) * len(queries)
+    for i, ids in found.items():
+        f1 = lambda t: 2 * len(q[i] & set(t.split())) / (len(q[i]) + len(set(t.split())))
+        assert ids == [j for _, j in sorted((-round(f1(t), 6), j) for j, t in items)[:5]]
+    many, read_many, same = entries("", 100)
+    assert many == 15 and same == found and read_many < len(items) * len(queries)
+    _, with_stop, _ = entries("the", 5000)
+    assert with_stop < 1.2 * read
+
+
 def test_retries_wait_longer_each_time():
     waits, calls = [], []
 

@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridix.functions.text import tokens
+from veridix.session import written
 
 #: Bytes of the queries that are broadcast at once, and queries that meet a batch of the index at once.
 QUERY_BYTES, QUERY_BLOCK = 64 << 20, 4096
-#: Cells of a block of scores.
-CELLS = 1 << 22
+#: Cells of a block of items and words, items of a range of the lexical index, and lists of it that are read at once.
+CELLS, RANGE_ITEMS, LISTS = 1 << 22, 8192, 1
 
 
 def rounded(x: np.ndarray) -> np.ndarray:
@@ -78,58 +79,137 @@ def cosine_top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top_k(found, k)
 
 
-def lexical_top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """index (item_id, text), queries (query_id, text) -> query_id, item_id, score (token-set F1), rank.
+RANGE = "items array<long>, sizes array<int>, words array<long>, first array<int>, posts array<int>, own array<int>"
 
-    As cosine_top_k: the queries' postings go to every task, which counts shared tokens item by item and keeps k a query.
-    No row is made for a shared token, so common words cost a count, not a shuffle. Tokens are made and hashed in the
-    JVM; items that share none aren't found. Null ids are left out.
-    """
+
+def hashed_tokens(df: DataFrame, key: str) -> DataFrame:
+    """key, t: the text's distinct tokens, hashed in the JVM; rows without a key are left out."""
+    t = F.transform(F.array_distinct(tokens(F.col("text"))), lambda x: F.xxhash64(x))
+    return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), t.alias("t"))
+
+
+def lexical_index(items: DataFrame, most: int = RANGE_ITEMS) -> DataFrame:
+    """items (item_id, text) -> an inverted index, one row per range of at most `most` items that a task has read (see
+    RANGE): the items by rising size (number of distinct tokens), the words, each word's items from first[w] to
+    first[w + 1], by rising size too, and each item's words. Items without tokens are left out; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, most):
+                b = batch.slice(lo, most)
+                size = b.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                o = np.argsort(size, kind="stable")
+                o = o[size[o] > 0]
+                if not len(o):
+                    continue
+                place = np.full(len(size), -1)
+                place[o] = np.arange(len(o))
+                words, number = np.unique(b.column(1).flatten().to_numpy(), return_inverse=True)
+                key = np.sort(np.repeat(place, size) * len(words) + number)
+                item, word = key // len(words), key % len(words)
+                by_word = np.argsort(word, kind="stable")
+                first = np.searchsorted(word[by_word], np.arange(len(words) + 1))
+                columns = (np.asarray(b.column(0))[o], size[o].astype(np.int32), words, first.astype(np.int32), item[by_word].astype(np.int32), word.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c)) for c in columns], names=[x.split()[0] for x in RANGE.split(", ")])
+
+    return hashed_tokens(items, "item_id").mapInArrow(run, RANGE)
+
+
+class Postings:
+    """One range of the index, ready to be searched."""
+
+    def __init__(self, b: pa.RecordBatch, i: int) -> None:
+        self.items, self.sizes, self.words, self.first, self.posts, own = (np.asarray(b.column(c)[i].values).astype(np.int64) for c in range(6))
+        self.key = np.repeat(np.arange(len(self.items)), self.sizes) * len(self.words) + own
+
+    def search(self, words: np.ndarray, best: tuple[np.ndarray, np.ndarray], k: int, read: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """best (items, scores, best first) of a query of distinct words with what this range has that is better.
+
+        Lists are read by rising length, LISTS at once. An item that none of them has named shares at most the words that
+        are left, so its size bounds its score: once a k-th score stands, only the sizes that can still reach it are
+        read of a list, and nothing more when there is none. Where more entries are read than half of the items of those
+        sizes that no list has named, these are taken themselves. An item that is met is scored in full by its own
+        words. read[0] counts the entries read."""
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        mine = np.sort(at[self.words[at] == words])
+        held = self.first[mine + 1] - self.first[mine]
+        order = mine[np.argsort(held, kind="stable")]
+        seen, here = np.zeros(len(self.items), bool), 0
+        for j in range(0, len(order), LISTS):
+            lo, hi = 0, len(self.items)
+            if len(best[0]) == k:
+                least = max(float(best[1][-1]) - 1e-6, 1e-9)  # scores are rounded to six digits
+                lo = int(np.searchsorted(self.sizes, least * len(words) / (2 - least) - 1e-6))
+                hi = int(np.searchsorted(self.sizes, 2 * (len(order) - j) / least - len(words) + 1e-6, side="right"))
+                if lo >= hi:
+                    break
+            entries = []
+            for w in order[j : j + LISTS].tolist():
+                own = self.posts[self.first[w] : self.first[w + 1]]
+                entries.append(own[np.searchsorted(own, lo) : np.searchsorted(own, hi)])
+            new, unseen = np.concatenate(entries), lo + np.flatnonzero(~seen[lo:hi])
+            here += len(new)
+            last = here >= len(unseen) // 2
+            if last:
+                new = unseen
+            if read is not None:
+                read[0] += len(new)
+            new = np.unique(new)
+            new = new[~seen[new]]
+            seen[new] = True
+            step = max(1, CELLS // len(mine))
+            for some in (new[i : i + step] for i in range(0, len(new), step)):
+                key = some[:, None] * len(self.words) + mine
+                shared = (self.key[np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)] == key).sum(1)
+                p, r = shared / self.sizes[some], shared / len(words)
+                f1 = np.where(shared > 0, 2 * p * r / np.where(shared > 0, p + r, 1), 0)
+                items, score = np.append(best[0], self.items[some]), np.append(best[1], rounded(f1))
+                over = score > 0
+                items, score = items[over], score[over]
+                o = np.lexsort((items, -score))[:k]
+                best = items[o], score[o]
+            if last:
+                break
+        return best
+
+
+def lexical_search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """index (lexical_index's, best as a table that is read again), queries (query_id, text) -> query_id, item_id, score
+    (token-set F1), rank. QUERY_BYTES of queries at once go to every task, which searches its ranges one after another
+    and hands each query's k best, so its k-th score, from range to range; the tasks' winners meet in one window over at
+    most tasks * k rows a query. Items that share no token aren't found; equal scores by item_id."""
     spark = index.sparkSession
-    hashed = lambda df, i: df.where(F.col(i).isNotNull()).select(F.col(i).cast("long").alias(i), F.transform(F.array_distinct(tokens(F.col("text"))), lambda t: F.xxhash64(t)).alias("t"))
-    own, items_of = hashed(queries, "query_id"), hashed(index, "item_id")
+    own = hashed_tokens(queries, "query_id")
     found = None
     for part in query_blocks(own, F.size("t") * 8):
         rows = part.orderBy("query_id").toPandas()
         size = rows["t"].map(len).to_numpy(np.int64)
         flat = np.array([h for x in rows["t"] for h in x], np.int64)
-        order = np.argsort(flat, kind="stable")
-        words, first = np.unique(flat[order], return_index=True)
-        sent = spark.sparkContext.broadcast((rows["query_id"].to_numpy(np.int64), size, words, np.append(first, len(flat)), np.repeat(np.arange(len(rows)), size)[order]))
+        sent = spark.sparkContext.broadcast((rows["query_id"].to_numpy(np.int64), np.append(0, np.cumsum(size)).astype(np.int64), flat))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, size, words, first, who = sent.value
+            ids, first, flat = sent.value
+            top = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
             for b in batches:
-                if not len(words):
-                    continue
-                step = max(1, CELLS // len(ids))
-                for lo in range(0, b.num_rows, step):
-                    part = b.slice(lo, step)
-                    lists = part.column(1).to_pylist()
-                    n = np.array([len(x) for x in lists], np.int64)
-                    t = np.array([h for x in lists for h in x], np.int64)
-                    row = np.repeat(np.arange(len(lists)), n)
-                    at = np.minimum(np.searchsorted(words, t), len(words) - 1)
-                    known = words[at] == t
-                    at, row = at[known], row[known]
-                    shared = np.zeros((len(lists), len(ids)))
-                    held = first[at + 1] - first[at]
-                    ends = np.cumsum(held)
-                    cuts = np.searchsorted(ends, np.arange(0, (ends[-1] if len(ends) else 0) + CELLS, CELLS), side="right")
-                    for i, j in zip(cuts[:-1], cuts[1:], strict=True):  # the postings of so many tokens at once
-                        h = held[i:j]
-                        spot = np.arange(h.sum()) + np.repeat(first[at[i:j]] - np.append(0, np.cumsum(h)[:-1]), h)
-                        shared += np.bincount(np.repeat(row[i:j], h) * len(ids) + who[spot], minlength=shared.size).reshape(shared.shape)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        p, r = shared / n[:, None], shared / size[None, :]
-                        score = np.where(shared > 0, rounded(2 * p * r / (p + r)), -np.inf)
-                    yield best(ids, np.asarray(part.column(0)), score.T, k)
-
-        got = items_of.mapInArrow(run, "query_id long, item_id long, score double")
+                for i in range(b.num_rows):
+                    postings = Postings(b, i)
+                    for q in range(len(ids)):
+                        top[q] = postings.search(flat[first[q] : first[q + 1]], top[q], k)
+            for lo in range(0, len(ids), QUERY_BLOCK):
+                some = top[lo : lo + QUERY_BLOCK]
+                query = np.repeat(ids[lo : lo + QUERY_BLOCK], [len(x[0]) for x in some])
+                yield pa.RecordBatch.from_arrays([pa.array(query), *[pa.array(np.concatenate([x[c] for x in some])) for c in (0, 1)]], names=["query_id", "item_id", "score"])
+
+        got = index.mapInArrow(run, "query_id long, item_id long, score double")
         found = got if found is None else found.unionAll(got)
     return top_k(found, k)
 
 
+def lexical_top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """index (item_id, text), queries (query_id, text) -> as lexical_search, through an index that is written once."""
+    return lexical_search(written(lexical_index(index)), queries, k)
+
+
 # ---------------------------------------------------------------- searches that are called
 
 Search = Callable[[object, int], list[dict]]
