@@ -246,21 +246,23 @@ def unified_search(mode: str, image: Search | None = None, text: Search | None =
 
 
 def called_search(queries: DataFrame, search: Search, k: int, hit: str, source: str = "web") -> DataFrame:
-    """queries (turn_id, value) -> turn_id, hits (array of `hit`, a struct type in DDL), error, search_status: what the
-    injected search returns; a search that fails gives no hits, the error and the status search_error."""
+    """queries (turn_id, value) -> turn_id, hits (array of `hit`, a struct type in DDL), error, search_status, search_ms: what
+    the injected search returns; a search that fails gives no hits, the error and the status search_error."""
     kind = queries.schema["turn_id"].dataType.simpleString()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             rows = []
             for turn, value in zip(pdf["turn_id"], pdf["value"], strict=True):
+                began = time.perf_counter()
                 try:
-                    rows.append((turn, list(search(value, k) or []), None, "ok"))
+                    got = (list(search(value, k) or []), None, "ok")
                 except Exception as e:  # noqa: BLE001  the record is the result
-                    rows.append((turn, [], f"{source} search failed: {type(e).__name__}: {e}", "search_error"))
-            yield pd.DataFrame(rows, columns=["turn_id", "hits", "error", "search_status"])
+                    got = ([], f"{source} search failed: {type(e).__name__}: {e}", "search_error")
+                rows.append((turn, *got, (time.perf_counter() - began) * 1000))
+            yield pd.DataFrame(rows, columns=["turn_id", "hits", "error", "search_status", "search_ms"])
 
-    return queries.select("turn_id", "value").mapInPandas(run, f"turn_id {kind}, hits array<{hit}>, error string, search_status string")
+    return queries.select("turn_id", "value").mapInPandas(run, f"turn_id {kind}, hits array<{hit}>, error string, search_status string, search_ms double")
 
 
 def fetched(urls: DataFrame, get: Callable[[str], bytes], attempts: int = 3) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from veridix.functions.text import IDK
 from veridix.operators.evidence import kg_evidence, web_evidence
-from veridix.operators.retrieval import cosine_top_k, lexical_top_k
+from veridix.operators.answering import Search, indexed
+from veridix.operators.retrieval import cosine_top_k, lexical_index, lexical_search, lexical_top_k
+from veridix.session import written
 
 VERSIONS = {"src0": "b0", "src1": "a1", "src2": "a2", "src3": "a3", "src4": "full"}
 
@@ -62,6 +64,32 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 2).alias("gpu"), F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").cast("double").alias("mem_mib"), F.least(F.col("value"), F.lit(100.0)).alias("util"), (n % 50 + 30).cast("double").alias("temp_c"), (n % 300 + 100).cast("double").alias("power_w"))
 
 
+def image_search(spark: SparkSession, sf_dir: str) -> Search:
+    """Parts by the cosine of their embeddings: a hit is a part with four attributes; vectors without a part are no hits."""
+    e, p = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding"), table(spark, sf_dir, "part")
+    attrs = F.array(*[F.struct(F.lit(f).alias("key"), F.col(c).cast("string").alias("value")) for f, c in (("brand", "p_brand"), ("type", "p_type"), ("size", "p_size"), ("retail price", "p_retailprice"))])
+    hit = F.struct("score", F.array(F.struct(F.col("p_name").alias("entity_name"), attrs.alias("entity_attributes"))).alias("entities"))
+
+    def search(requests: DataFrame, k: int, source: str) -> DataFrame:
+        near = cosine_top_k(e, requests.select(F.col("turn_id").alias("query_id"), F.col("value").alias("embedding")), k)
+        return indexed(requests, near.join(p, F.col("item_id") == F.col("p_partkey")).select(F.col("query_id").alias("turn_id"), "rank", hit.alias("hit")))
+
+    return search
+
+
+def page_search(spark: SparkSession, sf_dir: str) -> Search:
+    """Pages by shared tokens, through one stored index for all searches."""
+    p = page_fields(spark, sf_dir)
+    index = written(lexical_index(p.select(F.col("page_id").alias("item_id"), F.concat_ws(" ", "title", "snippet").alias("text"))))
+    hit = F.struct("score", F.col("title").alias("page_name"), F.col("snippet").alias("page_snippet"), F.col("url").alias("page_url"))
+
+    def search(requests: DataFrame, k: int, source: str) -> DataFrame:
+        near = lexical_search(index, requests.select(F.col("turn_id").alias("query_id"), F.col("value").alias("text")), k)
+        return indexed(requests, near.join(p, F.col("item_id") == F.col("page_id")).select(F.col("query_id").alias("turn_id"), "rank", hit.alias("hit")))
+
+    return search
+
+
 def part_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").where("p_partkey % 100 = 0")
     return p.select(F.col("p_partkey").alias("turn_id"), F.concat(F.lit("what is the size of "), "p_name").alias("query"))
