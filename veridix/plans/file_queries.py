@@ -3,6 +3,10 @@ as a user would run them."""
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from veridix.operators import calibrate as C
@@ -11,8 +15,11 @@ from veridix.operators import scoring as S
 from veridix.operators import telemetry as T
 from veridix.plans import adapters as A
 from veridix.plans.queries import adjusted, query, rounded
-from veridix.session import scratch
+from veridix.session import scratch, written
 from veridix.sources import files as X
+from veridix.sources.cache import ContentCache, file_hashes, pinned
+from veridix.sources.paged import looked_up, read_paged
+from veridix.sources.sinks import append_once, file_system, read_committed
 
 
 @query
@@ -113,3 +120,75 @@ def hydrated_entities(spark, d):
 def page_content(spark, d):
     got = X.with_page_content(A.web_hits(spark, d).select("turn_id", "pos", "page_url"), A.table(spark, d, "pages"))
     return rounded(got.select("turn_id", "pos", "page_url", F.length("page_content").alias("n_chars"), F.md5("page_content").alias("content_md5")))
+
+
+@query
+def cached_pages(spark, d):
+    """Every page's address fetched into an empty cache, where some fail, and once more with nothing left that answers: what
+    was fetched comes from the cache."""
+
+    def get(url):
+        if hashlib.md5(url.encode()).hexdigest()[0] == "0":
+            raise OSError("not found")
+        return f"page of {url}".encode()
+
+    def down(url):
+        raise OSError("down")
+
+    pages = A.table(spark, d, "pages").select("page_id", "url")
+    cache = ContentCache(spark, scratch(spark))
+    status = lambda c, name: F.when(F.col("error").isNotNull(), "failed").when(c, "cached").otherwise("fetched").alias(name)
+    first = cache.fetch(pages, get, attempts=1).select("url", status(F.col("cached"), "first_status"))
+    second = cache.fetch(pages, down, attempts=1).select("url", "key", status(F.col("cached"), "second_status"), F.md5("content").alias("content_md5"))
+    return pages.join(first, "url").join(second, "url").select("page_id", "key", "first_status", "second_status", "content_md5")
+
+
+@query
+def committed_traces(spark, d):
+    """Two batches of a trace, each written twice under its name, read back and counted."""
+    path = scratch(spark)
+    t = written(A.traces(spark, d).select("trace_id", "gpu", "status", "gate_action", "total_ms", "generation_ms", "search_call_count", "answer_token_count", "answer"))
+    for gpu in (0, 1, 0, 1):
+        append_once(t.where(F.col("gpu") == gpu).drop("gpu"), path, f"gpu-{gpu}")
+    got = read_committed(spark, path, X.TRACE_SCHEMA)
+    return rounded(got.groupBy("gate_action", "status").agg(F.count("*").alias("n"), F.count_distinct("trace_id").alias("n_traces"), F.sum("search_call_count").alias("search_calls"), F.max("answer_token_count").alias("most_tokens"), F.max("total_ms").alias("max_ms")))
+
+
+def _collection(spark, d, size):
+    """Documents as a collection outside: a folder of page files, and what gives its number of rows and its pages."""
+    path = scratch(spark)
+    O.pages(A.table(spark, d, "documents").select("doc_id", "n_chars"), ["doc_id"], size).repartition("page").write.partitionBy("page").json(path)
+
+    def page(limit, offset):
+        at, root = file_system(path)
+        files = at.get_file_info(fs.FileSelector(f"{root}/page={offset // size}"))
+        rows = [json.loads(x) for f in files if f.base_name.startswith("part-") for x in at.open_input_stream(f.path).read().decode().splitlines()]
+        return [(r["doc_id"], r["n_chars"]) for r in sorted(rows, key=lambda r: r["place"])][:limit]
+
+    return spark.read.json(path).count, page
+
+
+@query
+def paged_collection(spark, d):
+    """All documents through a client that gives them 128 at a time."""
+    count, page = _collection(spark, d, 128)
+    return read_paged(spark, count, page, "doc_id bigint, n_chars bigint", 128, tasks=8)
+
+
+@query
+def looked_up_pages(spark, d):
+    """The titles of the pages that searches have found, by id from a collection that lacks every seventh."""
+    ids = A.web_hits(spark, d).select(F.col("page_url").alias("id"))
+    return looked_up(ids, lambda own: {i: f"title of {i}" for i in own if int(hashlib.md5(i.encode()).hexdigest()[:4], 16) % 7}, size=10)
+
+
+@query
+def file_checksums(spark, d):
+    """Files of document ids, a hundred a file, by their bytes and by the hash of their pieces; they are what a manifest of
+    the same files says."""
+    path = scratch(spark)
+    docs = A.table(spark, d, "documents").select(F.floor(F.col("doc_id") / 100).alias("bucket"), "doc_id").repartition("bucket").sortWithinPartitions("bucket", "doc_id")
+    docs.select("bucket", F.col("doc_id").cast("string").alias("value")).write.partitionBy("bucket").text(path)
+    manifest = written(file_hashes(spark, path, "*.txt").select("name", "sha256"))
+    found = pinned(file_hashes(spark, path, "*.txt", piece=64), manifest)
+    return found.select(F.regexp_extract("name", r"bucket=(\d+)/", 1).cast("bigint").alias("bucket"), "length", "sha256", "tree_sha256")

@@ -117,3 +117,10 @@ ORACLE["concatenated_runs"] = REVIEWS + " SELECT 'base' AS run, query_id, label,
 ORACLE["token_limits"] = r"WITH t AS (SELECT item_id, list_filter(string_split_regex(text, '\s+'), lambda z: z <> '') AS w FROM benchmark) SELECT item_id, len(w) AS n_tokens, array_to_string(w[1:5], ' ') AS cut FROM t"
 ORACLE["row_hashes"] = REVIEWS + """ SELECT query_id, version, sha256('{"label":"' || label || '","query_id":' || query_id || ',"version":"' || version || '"}') AS sha FROM r"""
 ORACLE["unescaped_pages"] = f"WITH t AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) || ' &amp; &quot;x&quot;' AS t FROM pages) SELECT page_id, {clean('t')} AS title FROM t"
+ORACLE["cached_pages"] = """WITH p AS (SELECT page_id, url, substr(md5(url), 1, 1) = '0' AS bad FROM pages)
+SELECT page_id, sha256(url) || '.jpg' AS key, CASE WHEN bad THEN 'failed' ELSE 'fetched' END AS first_status, CASE WHEN bad THEN 'failed' ELSE 'cached' END AS second_status, CASE WHEN NOT bad THEN md5('page of ' || url) END AS content_md5 FROM p"""
+ORACLE["committed_traces"] = ORACLE["trace_files"]
+ORACLE["paged_collection"] = "SELECT doc_id, n_chars FROM documents"
+ORACLE["looked_up_pages"] = f"WITH {WEB}, u AS (SELECT DISTINCT url AS id FROM lx JOIN pf ON item_id = page_id) SELECT id, CASE WHEN ('0x' || substr(md5(id), 1, 4))::INT % 7 <> 0 THEN 'title of ' || id END AS value FROM u"
+ORACLE["file_checksums"] = """WITH f AS (SELECT doc_id // 100 AS bucket, string_agg(doc_id::VARCHAR || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY 1)
+SELECT bucket, length(t) AS length, sha256(t) AS sha256, sha256(array_to_string(list_transform(range((length(t) + 63) // 64), lambda i: sha256(substr(t, i * 64 + 1, 64))), chr(10))) AS tree_sha256 FROM f"""

@@ -50,3 +50,21 @@ def remove_written() -> None:
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
         except Exception:  # noqa: BLE001  the JVM may be gone
             return
+
+
+def cluster_path(spark: SparkSession, path: str):
+    """(file system, path) of the cluster's own file systems, for names and renames; rows go through Spark."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def replace_file(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a file or folder over whatever has the name: readers see the old or the new, whole."""
+    jvm = spark.sparkContext._jvm
+    _, a = cluster_path(spark, source)
+    _, b = cluster_path(spark, target)
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(a.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(a, b, over)
