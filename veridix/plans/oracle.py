@@ -155,6 +155,8 @@ def knn(k: int) -> str:
 kn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM ks) WHERE rank <= {k})"""
 
 
+ORACLE["knn_by_cells"] = f"WITH {knn(5)} SELECT query_id, item_id, score, rank, label FROM kn"
+ORACLE["repeated_answers"] = TURNS + " SELECT md5(agent_response) AS answer_md5, count(*) AS n FROM turns GROUP BY 1 HAVING count(*) > 1"
 ORACLE["knn_topk"] = f"WITH {knn(5)} SELECT query_id, item_id, score, rank, label FROM kn"
 KG = f"""pq AS (SELECT p_partkey AS turn_id, 'what is the size of ' || p_name AS query FROM part WHERE p_partkey % 100 = 0), {knn(3)},
 kh AS (SELECT query_id AS turn_id, rank AS hit_pos, score, p_name AS entity_name, unnest([0, 1, 2, 3]) AS attr_pos, unnest(['brand', 'type', 'size', 'retail price']) AS field, unnest([p_brand, p_type, p_size::VARCHAR, p_retailprice::VARCHAR]) AS value FROM kn JOIN part ON item_id = p_partkey),

@@ -16,6 +16,7 @@ from veridix.operators import telemetry as T
 from veridix.operators import turns as U
 from veridix.operators.generate import wave_generate
 from veridix.operators.retrieval import cosine_top_k, lexical_top_k
+from veridix.operators.vectors import cosine_search, vector_index
 from veridix.plans import adapters as A
 from veridix.session import written
 
@@ -219,6 +220,15 @@ def knn_topk(spark, d):
     return rounded(near.join(e.select("item_id", "label"), "item_id").select("query_id", "item_id", "score", "rank", "label"))
 
 
+@query
+def knn_by_cells(spark, d):
+    """knn_topk's rows through cells that are left out where they can't reach the k-th score."""
+    e = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding", "label")
+    index = vector_index(e, 256)
+    near = cosine_search(index, e.where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "embedding"), 5)
+    return rounded(near.join(e.select("item_id", "label"), "item_id").select("query_id", "item_id", "score", "rank", "label"))
+
+
 @query
 def kg_evidence(spark, d):
     return rounded(A.kg(spark, d))
@@ -281,6 +291,12 @@ def refusal_reasons(spark, d):
     return rounded(t.select("session_id", "turn_idx", idk.alias("is_idk"), reason.alias("refusal_reason")))
 
 
+@query
+def repeated_answers(spark, d):
+    """Responses that come more than once."""
+    return T.duplicates(A.turns(spark, d).withColumn("answer_md5", F.md5("agent_response")), ["answer_md5"])
+
+
 @query
 def sequence_equality(spark, d):
     e = A.table(spark, d, "events").select("event_id", "event_type")
