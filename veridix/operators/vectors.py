@@ -54,7 +54,8 @@ def vector_index(items: DataFrame, block_items: int = BLOCK_ITEMS, sample: int =
 
     Centres are fitted on the driver on at most `sample` items of smallest hash (32 MB at most), one for every
     block_items, up to MOST_CELLS; a cell of more items has several blocks, dealt by hash. Items without an id, and
-    vectors, vectors of norm zero or with null or NaN in them are left out; all others have one length, else it raises."""
+    vectors that are null, of norm zero or hold null or non-finite components are left out; all others have one length,
+    else it raises. Jobs that count, fit and write run at once."""
     own = written(_own(items, "item_id"))
     n, least, dim = own.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
     if not n:
