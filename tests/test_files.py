@@ -1,9 +1,12 @@
 import json
+import random
+import time
 
 import pytest
 
+from veridix.operators.scoring import early_stop
 from veridix.sources import files as S
-from veridix.streaming.live import early_stop_stream, gpu_windows, read_trace_stream, session_activity
+from veridix.streaming.live import early_stop_ordered, early_stop_stream, gpu_windows, read_trace_stream, session_activity
 
 
 def test_telemetry_csv(spark, tmp_path):
@@ -46,6 +49,54 @@ def test_streams(spark, tmp_path):
     assert gpu_windows(t).first()["n"] == 1
 
 
+@pytest.fixture()
+def rocksdb(spark):
+    settings = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    for k, v in settings.items():  # without batches of no data a run ends; timers wait for the next file then
+        spark.conf.set(k, v)
+    yield
+    for k in settings:
+        spark.conf.unset(k)
+
+
+def fed(spark, tmp_path, keep_ms, batches, pause=0.0):
+    """The rows that a query over files gives, a file a run, and how many rows its state holds in the end."""
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema("session_id long, turn_idx int, is_correct boolean").json(str(tmp_path / "in"))
+    out, held = [], 0
+    for n, rows in enumerate(batches):
+        (tmp_path / f"{n}.json").write_text("".join(json.dumps(dict(zip(("session_id", "turn_idx", "is_correct"), r, strict=True))) + "\n" for r in rows))
+        (tmp_path / f"{n}.json").rename(tmp_path / "in" / f"{n}.json")
+        q = early_stop_ordered(source, keep_ms).writeStream.foreachBatch(lambda df, i: out.extend(df.collect())).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        try:
+            assert q.awaitTermination(60)
+            held = sum(s["numRowsTotal"] for s in q.lastProgress["stateOperators"])
+        finally:
+            q.stop()
+        time.sleep(pause)
+    return {(r["session_id"], r["turn_idx"]): r["stopped"] for r in out}, held
+
+
+def test_early_stop_takes_turns_in_any_order(spark, tmp_path, rocksdb):
+    rng = random.Random(3)
+    rows = [(s, i, rng.random() < 0.5) for s in range(12) for i in range(rng.randint(1, 6))]
+    batch = spark.createDataFrame([(*r, False, False) for r in rows], "session_id long, turn_idx int, is_correct boolean, is_exact_match boolean, is_miss boolean")
+    want = {(r["session_id"], r["turn_idx"]): r["stopped"] for r in early_stop(batch).collect()}
+    rng.shuffle(rows)
+    got, held = fed(spark, tmp_path, 3_600_000, [rows[:15], rows[15:20] + rows[:4], rows[20:]])
+    assert got == want and any(want.values()) and held > 0
+
+
+def test_early_stop_forgets_sessions(spark, tmp_path, rocksdb):
+    """What waits is judged when the time is over, and the session's state is gone; another's is there."""
+    one, two = [(1, 0, False), (1, 2, False), (1, 3, True)], [(2, 0, True)]
+    got, before = fed(spark, tmp_path, 1000, [one])
+    assert got == {(1, 0): False} and before > 0
+    (tmp_path / "x").mkdir()
+    got, held = fed(spark, tmp_path / "x", 1000, [one, two], pause=3)
+    assert got == {(1, 0): False, (1, 2): False, (1, 3): True, (2, 0): False} and held < before
+
+
 def test_traces_as_a_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.jsonl").write_text('{"trace_id": "1", "gate_action": "answer"}\n{"trace_id": "2", "gate_action": "abstain"}\n')

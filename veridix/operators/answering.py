@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from veridix.functions import text as X
 from veridix.operators import evidence as E
+from veridix.operators.retrieval import GENERATION_FAILED, NOT_CONFIGURED, SEARCH_FAILED
 from veridix.session import written
 
 IMAGE_HIT = "struct<score:double,entities:array<struct<entity_name:string,entity_attributes:array<struct<key:string,value:string>>>>>"
@@ -98,7 +99,7 @@ def generated(prompts: DataFrame, backend: Backend, batch: int) -> DataFrame:
                 try:
                     answers = backend(own["prompt"].tolist(), own["image"].tolist())
                 except Exception as e:  # noqa: BLE001  the record is the result
-                    answers, error = [None] * len(own), f"generation failed: {type(e).__name__}: {e}"
+                    answers, error = [None] * len(own), GENERATION_FAILED.format(kind=type(e).__name__, error=e)
                 if len(answers) != len(own):
                     raise RuntimeError(f"the backend returned {len(answers)} answers for {len(own)} questions")
                 took = (time.perf_counter() - began) * 1000 / len(own)
@@ -116,6 +117,7 @@ DEFAULTS = {
     "image_search_ms": ("double", 0.0), "web_search_ms": ("double", 0.0), "additional_web_search_ms": ("double", 0.0), "generation_ms": ("double", 0.0),
     "entity_agreement_before": ("double", 0.0), "entity_agreement": ("double", 0.0), "entity_margin": ("double", 0.0),
 }
+# The fields of a trace.
 TRACE = ["agent_version", "task_mode", "query", "search_query", "image_evidence", "web_evidence", "selected_evidence_ids", "answer", "refusal_reason", "image_search_ms", "web_search_ms", "generation_ms", "total_ms", "answer_token_count", "status", "errors", "trace_schema", "experiment_variant", "entity_candidates", "entity_agreement_before", "entity_agreement", "entity_margin", "evidence_conflict", "gate_action", "additional_search_query", "additional_web_evidence", "additional_web_search_ms", "search_call_count"]
 
 
@@ -139,7 +141,7 @@ def answer_turns(turns: DataFrame, backend: Backend, image_search: Search | None
 
     def searched(search: Search | None, requests: DataFrame, k: int, source: str, hit: str) -> DataFrame:
         if search is None:
-            told = f"{source} search failed: RuntimeError: search pipeline is not configured"
+            told = SEARCH_FAILED.format(source=source, kind="RuntimeError", error=NOT_CONFIGURED)
             return requests.select("turn_id", F.array().cast(f"array<{hit}>").alias("hits"), F.lit(told).alias("error"), F.lit(0.0).alias("search_ms"))
         return written(search(requests, k, source).select(*FOUND))
 

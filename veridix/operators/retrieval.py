@@ -213,6 +213,10 @@ def lexical_top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 # ---------------------------------------------------------------- searches that are called
 
 Search = Callable[[object, int], list[dict]]
+# Error texts that traces hold.
+NOT_CONFIGURED = "search pipeline is not configured"
+SEARCH_FAILED = "{source} search failed: {kind}: {error}"
+GENERATION_FAILED = "generation failed: {kind}: {error}"
 
 
 def with_retries(call: Callable[[], object], attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> object:
@@ -239,7 +243,7 @@ def unified_search(mode: str, image: Search | None = None, text: Search | None =
     def search(value: object, k: int) -> list[dict]:
         at = sources[mode][isinstance(value, str)]
         if at is None:
-            raise RuntimeError("search pipeline is not configured")
+            raise RuntimeError(NOT_CONFIGURED)
         return at(value, k)
 
     return search
@@ -258,7 +262,7 @@ def called_search(queries: DataFrame, search: Search, k: int, hit: str, source:
                 try:
                     got = (list(search(value, k) or []), None, "ok")
                 except Exception as e:  # noqa: BLE001  the record is the result
-                    got = ([], f"{source} search failed: {type(e).__name__}: {e}", "search_error")
+                    got = ([], SEARCH_FAILED.format(source=source, kind=type(e).__name__, error=e), "search_error")
                 rows.append((turn, *got, (time.perf_counter() - began) * 1000))
             yield pd.DataFrame(rows, columns=["turn_id", "hits", "error", "search_status", "search_ms"])
 

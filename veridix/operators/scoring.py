@@ -96,6 +96,7 @@ def display_metrics(scores: DataFrame, turns: DataFrame) -> DataFrame:
     fixed = lambda c, d: F.replace(F.format_number(F.col(c), d), F.lit(","), F.lit(""))
     percent = lambda c: F.concat(F.replace(F.format_number(F.col(c) * 100, 2), F.lit(","), F.lit("")), F.lit("%"))
     whole = lambda c: F.col(c).cast("string")
+    # The labels of the printed panel.
     shown = [("Total conversations", whole("sessions")), ("Total turns", whole("turns")), ("Avg MT conversation score", fixed("mean_multi_turn_conversation_score", 2)), ("Exact matches", whole("correct_exact")), ("Refusals", whole("miss")), ("Hallucinated responses", whole("hallucination")), ("Exact accuracy", percent("exact_accuracy")), ("Accuracy", percent("accuracy")), ("Missing rate", percent("missing")), ("Hallucination rate", percent("hallucination_rate")), ("Truthfulness score", fixed("truthfulness_score", 4))]
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(m).alias("metric"), v.alias("value")) for i, (m, v) in enumerate(shown)]))
     return scores.join(n, "scope").select("scope", cells.alias("x")).select("scope", "x.*")

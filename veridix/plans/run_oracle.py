@@ -64,6 +64,7 @@ SELECT session_id, turn_idx, substr(array_to_string(list_filter(list_transform(p
 ORACLE["repeated_queries"] = TURNS + " SELECT md5(query) AS query_md5, count(*) AS n FROM turns GROUP BY 1 HAVING count(*) > 1"
 ORACLE["displayed_turns"] = FLAGS + " SELECT session_id, turn_idx, query, CASE WHEN is_exact_match THEN 'exact' WHEN is_correct THEN 'semantic' WHEN is_miss THEN 'miss' ELSE 'incorrect' END AS status FROM f WHERE session_id IN (SELECT DISTINCT session_id FROM f ORDER BY 1 LIMIT 3)"
 _PERCENT, _FIXED = "format('{{:.2f}}', {0} * 100) || '%'", "format('{{:.{1}f}}', {0})"
+# The labels of the printed panel.
 _SHOWN = [("Total conversations", "sessions::VARCHAR"), ("Total turns", "turns::VARCHAR"), ("Avg MT conversation score", _FIXED.format("mean", 2)), ("Exact matches", "correct_exact::VARCHAR"), ("Refusals", "miss::VARCHAR"), ("Hallucinated responses", "(total - correct - miss)::VARCHAR"), ("Exact accuracy", _PERCENT.format("(correct_exact / total)")), ("Accuracy", _PERCENT.format("(correct / total)")), ("Missing rate", _PERCENT.format("(miss / total)")), ("Hallucination rate", _PERCENT.format("((total - correct - miss) / total)")), ("Truthfulness score", _FIXED.format("(CASE WHEN total > 1 THEN (2 * correct + miss) / total - 1 ELSE 0.0 END)", 4))]
 ORACLE["displayed_metrics"] = STOP + """,
 x AS (SELECT 'all' AS scope, * FROM a UNION ALL SELECT 'ego', * FROM a WHERE is_ego),
