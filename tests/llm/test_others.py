@@ -105,10 +105,11 @@ def test_html(spark):
 
 def test_html_on_held_out_pages():
     model = htmltext.default_model()
-    right = sum(htmltext.main_text(s, model) == "\n\n".join(t) for s, t in htmltext.labelled_pages(200, 99))
-    assert right >= 186
+    right = sum(htmltext.main_text(s, model) == "\n\n".join(t) for seed in (99, 100, 101) for s, t in htmltext.labelled_pages(200, seed))
+    assert right >= 570
 
 
+HILLS, RAIN = "It stands on seven hills. Nobody counts them.", "Rain falls all year, as they say."
 SHAPES = [
     ("<article><header><h1>The old town</h1></header><p>It stands on seven hills. Nobody counts them.</p></article>", ["The old town", "It stands on seven hills. Nobody counts them."]),
     ("<html><body><h1>The old town</h1><p>It stands on seven hills. Nobody counts them.</p><p>Rain falls all year.</p></body></html>", ["The old town", "It stands on seven hills. Nobody counts them.", "Rain falls all year."]),
@@ -116,6 +117,21 @@ SHAPES = [
     ("<article><h1>Sums</h1><p>We know that <math><mi>a</mi><mo>+</mo><mi>b</mi></math> is <label>the sum</label> of both.</p></article>", ["Sums", "We know that a+b is the sum of both."]),
     ("<body>It stands on seven hills. Nobody counts them.<br><br>Rain falls all year, as they say.</body>", ["It stands on seven hills. Nobody counts them. Rain falls all year, as they say."]),
     ("<body><h2>The old town</h2><font size=2>It stands on seven hills. Nobody counts them.</font><script>x()</script><p>Rain falls all year, as they say.</p><div class=ads>Buy now.</div></body>", ["The old town", "It stands on seven hills. Nobody counts them.", "Rain falls all year, as they say."]),
+    # end tags left out: options, head and body
+    (f"<article><p>{HILLS}</p><datalist><option value=a><option value=b></datalist><p>{RAIN}</p></article>", [HILLS, RAIN]),
+    (f"<article><p>{HILLS}</p><select><option>a<option>b</select><p>{RAIN}</p></article>", [HILLS, RAIN]),
+    (f"<article><p>{HILLS}</p><option>a<p>{RAIN}</p></article>", [HILLS, RAIN]),
+    (f"<html><head><title>t</title><p>{HILLS}</p><p>{RAIN}</p>", [HILLS, RAIN]),
+    (f"<head><script>var s='</head><p>';</script><template><p>no</p></template></head><body><article><p>{HILLS}</p></article>", [HILLS]),
+    # what is dropped ends with the element it stands in, or hides nothing if it never ends
+    (f"<article><p>{HILLS}</p><div><button>x</div><p>{RAIN}</p></article><footer><button>y</button></footer>", [HILLS, RAIN]),
+    (f"<article><p>{HILLS}</p><video src=x><p>{RAIN}</p></article>", [HILLS, RAIN]),
+    # no names at all
+    (f"<div><div><div>{HILLS}</div><div>{RAIN}</div></div></div>", [HILLS, RAIN]),
+    (f"<body><div><div><a href=/>Home</a> <a href=/b>Blog</a></div><div><div>{HILLS}</div><div>{RAIN}</div></div></div></body>", [HILLS, RAIN]),
+    # the footer and address of an article, and the page's
+    (f"<body><nav><a href=/>Home</a></nav><article><p>{HILLS}</p><footer><p>Note 1: a source.</p></footer></article><footer><p>Us. All rights reserved.</p></footer>", [HILLS, "Note 1: a source."]),
+    (f"<article><p>{HILLS}</p><address>Ada Byron, London.</address></article>", [HILLS, "Ada Byron, London."]),
 ]
 
 

@@ -36,16 +36,18 @@ _KINDS = {
     "dialog": "aside", "address": "footer", "details": "section", "center": "div", "caption": "cell", "tfoot": "table", "hr": "div",
 }
 #: Scripts, styles, form controls and what no reader sees as text, wherever it stands. Everything else is up to the model.
-_DROPPED = {"script", "style", "noscript", "template", "svg", "iframe", "select", "button", "textarea", "head", "title", "annotation", "annotation-xml", "audio", "video", "option", "input"}
+_DROPPED = {"script", "style", "noscript", "template", "svg", "iframe", "select", "datalist", "button", "textarea", "title", "annotation", "annotation-xml", "audio", "video", "option", "optgroup", "input"}
+_OPTIONS = ("option", "optgroup")  # their end tags may be left out
 _RAW = {"script", "style", "textarea", "title", "iframe", "noscript"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
+_ENDS = re.compile(rf"</({'|'.join(sorted(_DROPPED - _RAW - _VOID - set(_OPTIONS)))})(?=[\s/>])", re.I)
 _CLOSES_P = set(_KINDS) - {"body", "html", "tr", "td", "th", "thead", "tbody", "tfoot", "caption"}
 #: `text` is a run of text straight in the body.
 KINDS = sorted({*_KINDS.values(), "text"})
 _KIND_AT = {k: i for i, k in enumerate(KINDS)}
 _GOOD = ("article", "content", "main", "post", "entry", "story", "text", "prose")
 _BAD = ("nav", "menu", "side", "foot", "head", "ad", "ads", "advert", "advertisement", "promo", "sponsor", "sponsored", "banner", "comment", "comments", "reply", "replies", "disqus", "cookie", "consent", "notice", "alert", "share", "social", "related", "widget", "form", "login", "subscribe", "newsletter", "breadcrumb", "breadcrumbs", "pagination", "pager", "popup", "modal", "sidebar", "footer", "header", "toolbar", "meta", "byline", "tags", "recommend", "recommended", "copyright", "legal", "search", "signup")
-FEATURES = 2 * len(KINDS) + 11
+FEATURES = 2 * len(KINDS) + 16
 
 
 @dataclass
@@ -54,6 +56,7 @@ class Node:
     parent: int
     names: str
     hidden: bool = False
+    within: bool = False  # an article or an element whose name speaks of one
     text: int = 0  # code points of its own text
     link: int = 0  # of those in links
     ends: int = 0  # sentence ends
@@ -64,16 +67,21 @@ class Node:
 class Page:
     nodes: list[Node] = field(default_factory=list)
     blocks: list[tuple[int, str]] = field(default_factory=list)  # node, text; in page order
+    marked: bool = False  # has an article, or an element whose name speaks of one
 
 
 def parse(source: str) -> Page:
     """Elements and blocks of a page. Unclosed elements end with the parent or, for paragraphs, items and cells, at the
-    next one; stray end tags are ignored."""
+    next one; stray end tags are ignored. What is dropped ends with the element it stands in at the latest, and a dropped
+    element that no end tag follows hides nothing; a head needs no end tag, as all that belongs there is dropped."""
     page = Page([Node("body", -1, "")])
     nodes = page.nodes
     stack: list[tuple[str, int]] = [("html", 0)]  # open tags with their node
     parts: list[str] = []
-    dropped: list[str] = []
+    dropped: list[str] = []  # a dropped element and what is open in it
+    ended: dict[str, int] = {}  # where the last end tag of each dropped element is
+    for m in _ENDS.finditer(source):
+        ended[m[1].lower()] = m.start()
     links = linked = 0
 
     def flush() -> None:
@@ -118,40 +126,39 @@ def parse(source: str) -> Page:
         if not tag:
             continue
         if m[1]:
-            if dropped:
-                if tag in dropped:
-                    del dropped[len(dropped) - 1 - dropped[::-1].index(tag) :]
+            if tag in dropped:
+                del dropped[len(dropped) - 1 - dropped[::-1].index(tag) :]
                 continue
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if not depth:
+            if not depth or "template" in dropped:
                 continue
+            dropped.clear()
             if tag in _KINDS:
                 close(depth)
             elif not any(t in _KINDS for t, _ in stack[depth + 1 :]):
                 links -= sum(t == "a" for t, _ in stack[depth:])
                 del stack[depth:]
             continue
-        if dropped:
-            if tag in _DROPPED and tag not in _VOID and not m[3].endswith("/"):
-                dropped.append(tag)
-            continue
-        if tag in _DROPPED:
-            if tag not in _VOID and not m[3].endswith("/"):
-                if tag in _RAW:
-                    end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-                    at = end.end() if end else n
-                else:
-                    dropped.append(tag)
+        alone = tag in _VOID or m[3].endswith("/")
+        if tag in _RAW and not alone:
+            end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+            at = end.end() if end else n
             continue
-        if tag == "body" and dropped:
+        if dropped and dropped[0] in _OPTIONS and tag in _CLOSES_P:
             dropped.clear()
+        if dropped or tag in _DROPPED:
+            if tag in _OPTIONS and tag in dropped:
+                del dropped[len(dropped) - 1 - dropped[::-1].index(tag) :]
+            if not alone and (dropped or tag in _OPTIONS or ended.get(tag, -1) >= at):
+                dropped.append(tag)
+            continue
         if tag in _VOID:
             if tag == "hr":
                 flush()
             else:
                 words(" ")
             continue
-        if tag in ("html", "body"):
+        if tag in ("html", "head", "body"):
             continue
         if tag not in _KINDS:
             if not m[3].endswith("/"):
@@ -173,20 +180,27 @@ def parse(source: str) -> Page:
                     close(i)
                     break
         names = " ".join(x for g in _NAMES.findall(m[3]) for x in g).lower() if m[3] else ""
-        nodes.append(Node(_KINDS[tag], stack[-1][1], names, bool(m[3] and _HIDDEN.search(m[3]))))
+        over = nodes[stack[-1][1]]
+        nodes.append(Node(_KINDS[tag], stack[-1][1], names, bool(m[3] and _HIDDEN.search(m[3])), over.within or over.kind == "article" or _named(over) == (True, False)))
         if not m[3].endswith("/"):
             stack.append((tag, len(nodes) - 1))
     flush()
+    page.marked = any(x.kind == "article" or _named(x) == (True, False) for x in nodes)
     return page
 
 
+def _named(node: Node) -> tuple[bool, bool]:
+    """Whether its names speak of an article, and of something else."""
+    names = set(re.split(r"[^a-z]+", node.names)) if node.names else set()
+    return bool(names & set(_GOOD)), bool(names & set(_BAD))
+
+
 def node_features(page: Page, node: Node) -> list[tuple[int, float]]:
     """The node's active features and their values."""
     k = 2 * len(KINDS)
     out = [(_KIND_AT[node.kind], 1.0), (len(KINDS) + _KIND_AT[page.nodes[max(node.parent, 0)].kind], 1.0)]
     if node.names:
-        names = set(re.split(r"[^a-z]+", node.names))
-        good, bad = bool(names & set(_GOOD)), bool(names & set(_BAD))
+        good, bad = _named(node)
         if good != bad:
             out.append((k + bad, 1.0))
         elif good:  # content-sidebar: either
@@ -203,6 +217,16 @@ def node_features(page: Page, node: Node) -> list[tuple[int, float]]:
             out.append((k + 6, 1.0))
     if node.parent == 0:
         out.append((k + 7, 1.0))
+    if node.within and node.kind == "footer":
+        out.append((k + 11, 1.0))
+    if node.kind == "header" and node.parent > 0:
+        out.append((k + 14, 1.0))
+    if node.parent > 0 and page.nodes[node.parent].kind == "header" and page.nodes[node.parent].parent > 0:
+        out.append((k + 15, 1.0))
+    if not page.marked:
+        out.append((k + 12, 1.0))
+        if node.kind == "div":
+            out.append((k + 13, 1.0))
     out.append((k + 8, 1.0))  # bias
     return out
 
@@ -295,18 +319,22 @@ def labelled_pages(count: int = 800, seed: int = 7) -> list[tuple[str, list[str]
     out = []
     for _ in range(count):
         text: list[str] = []
+        shape = rng.random()
+        wrapper = rng.choice(("<article>{}</article>", "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<div class='content'>{}</div>", "<div id='main'><div class='post'>{}</div></div>", "<article class='post'><section>{}</section></article>", "<div class='article-body'>{}</div>", "<div>{}</div>", "<div><div>{}</div></div>"))
+        enclosed = shape >= 0.35 and rng.random() < 0.5
+        inside = shape >= 0.35 and (enclosed or "<article" in wrapper or "<main" in wrapper)
 
         def body(depth: int = 0, text: list[str] = text) -> str:
             s = ""
             for _ in range(rng.randint(1, 9)):
-                kind = rng.choice(("p", "p", "p", "p", "h2", "ul", "quote", "table", "div", "aside", "ad", "share", "nav"))
+                kind = rng.choice(("p", "p", "p", "p", "h2", "ul", "quote", "table", "div", "aside", "ad", "share", "nav", "note"))
                 if kind == "p":
                     t = par()
                     text.append(t)
                     a = t.split()
                     if len(a) > 4 and rng.random() < 0.3:
                         a[1], a[2] = f"<a href='/x'>{a[1]}", f"{a[2]}</a>"
-                    s += rng.choice(("<p>{}</p>", "<p>{}", "<p><b>{}<br>", "<p class=x>{}</p>")).format(" ".join(a))
+                    s += rng.choice(("<p>{}</p>", "<p>{}", "<p><b>{}<br>", "<p class=x>{}</p>", "<div>{}</div>")).format(" ".join(a))
                 elif kind == "h2":
                     text.append(word())
                     s += f"<h2>{text[-1]}</h2>"
@@ -321,6 +349,9 @@ def labelled_pages(count: int = 800, seed: int = 7) -> list[tuple[str, list[str]
                     cells = [word() for _ in range(4)]
                     text += cells
                     s += "<table><tr><td>{}</td><td>{}</td></tr><tr><td>{}</td><td>{}</td></tr></table>".format(*cells)
+                elif kind == "note":  # what an article's own footer or address says
+                    text.append(par())
+                    s += rng.choice(("<footer><p>{}</p></footer>", "<footer>{}</footer>", "<address>{}</address>")).format(text[-1]) if inside else f"<div>{text[-1]}</div>"
                 elif kind == "div" and depth < 2:
                     s += f"<div>{body(depth + 1)}</div>"
                 elif kind == "aside":
@@ -328,7 +359,8 @@ def labelled_pages(count: int = 800, seed: int = 7) -> list[tuple[str, list[str]
                 elif kind == "ad":
                     s += f"<div class='{rng.choice(('ad', 'ad-box', 'promo', 'sponsor', 'banner ads'))}'>{rng.choice((par(), '<p>' + par() + '</p>', '<a href=/y>' + say(2, 6) + '</a>'))}</div>"
                 elif kind == "share":
-                    s += f"<div class='{rng.choice(('share', 'social-links', 'related', 'newsletter', 'tags'))}'><ul>" + "".join(f"<li><a href=/s>{word()}</a></li>" for _ in range(3)) + "</ul></div>"
+                    tag = rng.choice(("div", "div", "footer"))
+                    s += f"<{tag} class='{rng.choice(('share', 'social-links', 'related', 'newsletter', 'tags'))}'><ul>" + "".join(f"<li><a href=/s>{word()}</a></li>" for _ in range(3)) + f"</ul></{tag}>"
                 elif kind == "nav":
                     s += "<nav>" + "".join(f"<a href=/t>{word()}</a> " for _ in range(3)) + "</nav>"
             return s
@@ -336,7 +368,7 @@ def labelled_pages(count: int = 800, seed: int = 7) -> list[tuple[str, list[str]
         links = lambda: "<ul>" + "".join(f"<li><a href=/z>{word()}</a></li>" for _ in range(rng.randint(1, 7))) + "</ul>"
         before = [
             f"<nav>{links()}</nav>", f"<header><h1>{say(1, 4)}</h1>{links()}</header>", f"<div class='{rng.choice(('menu', 'top-nav', 'header', 'breadcrumb'))}'>{links()}</div>",
-            f"<div class='{rng.choice(('cookie', 'notice', 'consent-banner', 'alert'))}'><p>{par()}</p></div>", f"<form action=/q><p>{say(1, 4)}</p><div>{word()}</div></form>", f"<div class='{rng.choice(('ad', 'advert', 'promo'))}'>{par()}</div>",
+            f"<div class='{rng.choice(('cookie', 'notice', 'consent-banner', 'alert'))}'><p>{par()}</p></div>", f"<form action=/q><p>{say(1, 4)}</p><div>{word()}</div></form>", f"<div>{links()}</div>", f"<div class='{rng.choice(('ad', 'advert', 'promo'))}'>{par()}</div>",
         ]
         after = [
             f"<aside><h2>{word()}</h2>{links()}<p>{par()}</p></aside>", f"<div id='{rng.choice(('sidebar', 'side', 'widget'))}'><p>{par()}</p>{links()}</div>",
@@ -345,7 +377,6 @@ def labelled_pages(count: int = 800, seed: int = 7) -> list[tuple[str, list[str]
         ]
         s = "".join(rng.sample(before, rng.randint(0, 4)))
         text.append(say(1, 7))
-        shape = rng.random()
         title = f"<h1>{text[-1]}</h1>"
         if shape < 0.15:  # old pages: runs of text with line breaks between, in inline tags
             runs = [par() for _ in range(rng.randint(1, 4))]
@@ -361,8 +392,9 @@ def labelled_pages(count: int = 800, seed: int = 7) -> list[tuple[str, list[str]
             inner = title + body()
             side = rng.choice(("sidebar", "side", "header", "ad", "social", "comments", "nav", "footer"))
             own = rng.choice(("", "", f" class='article-{side}-{word()}'", f" class='post has-{side}'", f" class='{word()} no-{side}'", f" class='{side}-{word()} entry'", f" id='{word()}'"))
-            inner = rng.choice(("<article{0}>{1}</article>", "<main{0}>{1}</main>", "<article{0}><div>{1}</div></article>")).format(own, inner) if rng.random() < 0.5 else inner
-        wrap = "{}" if shape < 0.35 or inner.startswith(("<article", "<main")) else rng.choice(("<article>{}</article>", "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<div class='content'>{}</div>", "<div id='main'><div class='post'>{}</div></div>", "<article class='post'><section>{}</section></article>", "<div class='article-body'>{}</div>"))
+            if enclosed:
+                inner = rng.choice(("<article{0}>{1}</article>", "<main{0}>{1}</main>", "<article{0}><div>{1}</div></article>")).format(own, inner)
+        wrap = "{}" if shape < 0.35 or enclosed else wrapper
         s += wrap.format(inner) + "".join(rng.sample(after, rng.randint(0, 5)))
         out.append((f"<html><head><title>x</title></head><body>{s}</body></html>", text))
     return out
