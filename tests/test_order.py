@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veridix.functions import text as X
-from veridix.functions.stats import percentiles
+from veridix.functions.stats import percentiles, percentiles_by_rounds
 from veridix.operators import calibrate as C
 from veridix.operators import evidence as E
 from veridix.operators import order as O
@@ -52,6 +52,27 @@ def test_percentiles_equal_sorting(spark, monkeypatch, accuracy):
     assert tuple(percentiles(fixture, [], "v", {"a": ("linear", 0.5), "b": ("linear", 0.95)}).first()) == pytest.approx((2.5, 3.85))
 
 
+@pytest.mark.parametrize("accuracy", [10_000, 100])
+def test_percentiles_by_rounds_equal_sorting(spark, monkeypatch, accuracy):
+    """Brackets narrowed to 20 rows: ties, values of all sizes, a group of one value, small groups and null keys; a coarse
+    sketch costs rounds only."""
+    monkeypatch.setattr("veridix.functions.stats.ACCURACY", accuracy)
+    rng = random.Random(4)
+    rows = [(g, float(rng.choice([rng.randint(0, 9), rng.random() * 1000, 10.0 ** rng.randint(-200, 200)]))) for g in ("a", None) for _ in range(1000)]
+    rows += [("one", 5.0)] * 100 + [("few", float(i)) for i in range(7)] + [("none", None)] * 30 + [("two", float(i % 2)) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    points = {"p50": ("linear", 0.5), "n95": ("nearest", 0.95), "top": ("nearest", 1.0)}
+    got = {r["g"]: r for r in percentiles_by_rounds(df, ["g"], "v", points, held=50, cells=10).collect()}
+    assert set(got) == {"a", None, "one", "few", "two"}
+    for g, r in got.items():
+        own = [v for k, v in rows if k == g]
+        for name, (kind, p) in points.items():
+            assert r[name] == pytest.approx((linear if kind == "linear" else nearest)(own, p)), (g, name)
+    (whole,) = percentiles_by_rounds(df, [], "v", {"m": ("linear", 0.5)}, held=50, cells=10).collect()
+    assert whole["m"] == pytest.approx(median([v for _, v in rows if v is not None]))
+    assert percentiles_by_rounds(df.limit(0), ["g"], "v", points).count() == 0
+
+
 def test_positions_pages_and_shuffles(spark):
     ids = list(range(500))
     random.Random(1).shuffle(ids)
