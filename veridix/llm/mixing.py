@@ -29,7 +29,7 @@ from veridix.llm.common import LOWER, WHITE, bounded, bytes_of, cut, mix64, pref
 
 #: Tokens with a path of their own at most, and bits of the slots of each hashed context: the table is broadcast, so it
 #: grows with the training tokens, TOKENS_A_SLOT of them a slot, between these bounds.
-VOCABULARY, LEAST_BITS, MOST_BITS, TOKENS_A_SLOT = 1 << 17, 16, 22, 3
+VOCABULARY, LEAST_BITS, MOST_BITS, TOKENS_A_SLOT = 1 << 17, 16, 20, 3
 #: Context of order one is the text's latest token among so many most frequent ones.
 RANKS = 64
 #: Decisions after which the weights and the map are corrected; all decisions do.
