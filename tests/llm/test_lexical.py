@@ -2,13 +2,16 @@ import math
 import os
 import random
 import re
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from veridix.llm import lexical
+from veridix.llm import common, lexical
 
 TERM = re.compile(lexical.PATTERN)
 SF = "/root/testdata/sf0.001"
@@ -113,3 +116,13 @@ def test_query_equals_sql(spark):
     df = lexical.op12_lexical(spark, SF)
     assert df.columns == names
     assert sorted(map(tuple, df.collect())) == sorted(want.fetchall())
+
+
+def test_written_index_is_read_a_few_shards_at_a_time(spark):
+    """A reader decodes a whole row group at once: the index's groups must not grow with what a task indexes."""
+    d = spark.range(3000).coalesce(1).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    n = common.tables_written()
+    lexical.ranked_search(d, spark.createDataFrame([(1, "t5")], "item_id long, text string"))
+    files = sorted(Path(common._WRITTEN[n][1].removeprefix("file://")).glob("*.parquet"))
+    groups = [m.row_group(i).num_rows for m in map(pq.read_metadata, files) for i in range(m.num_row_groups)]
+    assert sum(groups) >= 3000 // common.BATCH_ROWS and max(groups) <= lexical.GROUP_ROWS

@@ -22,8 +22,8 @@ from veridix.llm.common import LOWER, TERM, bounded, bytes_of, cut, read_table,
 
 #: Bytes of text of one shard (a longer text is one alone), and of the items' terms that are searched at once.
 SHARD_BYTES, ITEM_BYTES = 8 << 20, 32 << 20
-#: Entries of each list that a round reads.
-ROUND = 8
+#: Entries of each list that a round reads, and shards of a row group of the written index: what a reader decodes at once.
+ROUND, GROUP_ROWS = 8, 4
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -191,7 +191,7 @@ def search_index(index: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
 
 def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     """index_documents, written to the shared folder, and search_index."""
-    return search_index(cut(index_documents(docs)), items, k)
+    return search_index(cut(index_documents(docs), GROUP_ROWS), items, k)
 
 
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
