@@ -121,3 +121,11 @@ def test_split_falls_back_to_the_first(spark, tmp_path):
     (tmp_path / "none").mkdir()
     with pytest.raises(ValueError, match="no splits"):
         S.read_parquet(spark, str(tmp_path / "none"), "x")
+
+
+def test_page_content_where_pages_share_an_address(spark):
+    pages = spark.createDataFrame([(1, "u", "one"), (2, "u", "two"), (3, "v", "three")], "page_id long, url string, html string")
+    hits = spark.createDataFrame([(7, 2, "u"), (8, 1, "u"), (9, 4, "w")], "turn_id int, page_id long, page_url string")
+    by_id = S.with_page_content(hits, pages, "page_id", "page_id").orderBy("turn_id").collect()
+    assert [(r["turn_id"], r["page_id"], r["page_content"]) for r in by_id] == [(7, 2, "two"), (8, 1, "one"), (9, 4, None)]
+    assert [r["page_content"] for r in S.with_page_content(hits, pages).orderBy("turn_id").collect()] == ["one", "one", None]

@@ -118,7 +118,7 @@ def hydrated_entities(spark, d):
 
 @query
 def page_content(spark, d):
-    got = X.with_page_content(A.web_hits(spark, d).select("turn_id", "pos", "page_url"), A.table(spark, d, "pages"))
+    got = X.with_page_content(A.web_hits(spark, d).select("turn_id", "pos", "page_id", "page_url"), A.table(spark, d, "pages"), "page_id", "page_id")
     return rounded(got.select("turn_id", "pos", "page_url", F.length("page_content").alias("n_chars"), F.md5("page_content").alias("content_md5")))
 
 

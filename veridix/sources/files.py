@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridix.functions.text import number_with_unit
+from veridix.session import written
 
 TRACE_SCHEMA = "trace_id string, session_id string, turn_idx int, query string, status string, gate_action string, total_ms double, generation_ms double, image_search_ms double, web_search_ms double, search_call_count int, additional_web_evidence int, answer_token_count int, image_evidence array<struct<evidence_id:string,text:string,score:double>>, web_evidence array<struct<evidence_id:string,text:string,score:double>>, errors array<string>, answer string, refusal_reason string"
 
@@ -104,9 +105,13 @@ def atomic_json(path: str, payload: object) -> None:
     os.replace(f"{path}.tmp", path)
 
 
-def with_page_content(hits: DataFrame, pages: DataFrame, url: str = "page_url") -> DataFrame:
-    """Hits with their page's content, joined after the top k are known; null where no page has the address."""
-    return hits.join(pages.select(F.col("url").alias("__u"), F.col("html").alias("page_content")), F.col(url) == F.col("__u"), "left").drop("__u")
+def with_page_content(hits: DataFrame, pages: DataFrame, hit_key: str = "page_url", page_key: str = "url") -> DataFrame:
+    """Hits with their page's content, joined after the top k are known; null where no page has the key. A hit stays one
+    row: addresses may repeat, and of pages with one key it has the least content in order. Hits are written once."""
+    hits = written(hits)
+    asked = hits.select(F.col(hit_key).alias("__u")).distinct()
+    own = pages.select(F.col(page_key).alias("__u"), "html").join(asked, "__u", "left_semi").groupBy("__u").agg(F.min("html").alias("page_content"))
+    return hits.join(own, F.col(hit_key) == F.col("__u"), "left").drop("__u")
 
 
 def read_results_csv(spark: SparkSession, path: str) -> DataFrame:
