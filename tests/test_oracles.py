@@ -38,3 +38,11 @@ def test_query_equals_sql(spark, db, name):
     assert sorted(names) == cols
     want = sorted((tuple(norm(dict(zip(names, r, strict=True))[c]) for c in cols) for r in out.fetchall()), key=str)
     assert got == want
+
+
+def test_titles_that_end_within_a_reference(spark, tmp_path):
+    titles = ["a &amp; b &amp", "a &quot", "&lt;b&gt &am", "&eacute; &#233; &amp;lt;", "plain"]
+    rows = [(i, f"<title>{t}</title>") for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in QUERIES["unescaped_pages"](spark, str(tmp_path)).collect())
+    assert got == sorted(duckdb.sql(ORACLE["unescaped_pages"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall())
