@@ -1,4 +1,5 @@
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,3 +72,20 @@ def test_percentiles(spark):
 @pytest.mark.parametrize(("b", "c", "p"), [(0, 0, 1.0), (1, 0, 1.0), (8, 2, 0.109375), (20, 40, 2 * sum(math.comb(60, k) for k in range(21)) / 2**60)])
 def test_mcnemar(spark, b, c, p):
     assert one(spark, mcnemar_p(F.col("b"), F.col("c")), b=b, c=c) == pytest.approx(p, abs=1e-9)
+
+
+def test_mcnemar_of_large_counts(spark):
+    """The cost of a group grows with the root of its count; the sum is that of all terms."""
+
+    def exact(b, c):
+        n, k = b + c, min(b, c)
+        top = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(k + 1)]
+        return min(1.0, 2 * math.fsum(map(math.exp, top)))
+
+    pairs = [(0, 5), (1, 0), (3, 3), (17, 40), (16, 16), (2000, 2100), (100_000, 100_400), (1_000_000, 1_001_500), (90_000, 120_000)]
+    df = spark.createDataFrame(pairs, "b long, c long")
+    got = [r[0] for r in df.coalesce(1).select(mcnemar_p(F.col("b"), F.col("c"))).collect()]
+    assert got == pytest.approx([exact(b, c) for b, c in pairs], rel=1e-7, abs=1e-300)
+    began = time.perf_counter()
+    assert len(spark.range(300, numPartitions=1).select(mcnemar_p(F.lit(50_000) + F.col("id"), F.lit(50_500) + F.col("id")).alias("p")).where("p > 0").collect()) == 300
+    assert time.perf_counter() - began < 60

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,16 +63,36 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
+#: What Stirling's formula lacks of ln x!, for x below 16; beyond, its series has all digits.
+_SMALL = [0.0] + [math.lgamma(x + 1) - (x + 0.5) * math.log(x) + x - 0.5 * math.log(2 * math.pi) for x in range(1, 16)]
+
+
+def _stirling_error(x: Column) -> Column:
+    s = x * x
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - F.lit(1 / 1680) / s) / s) / s) / x
+    return F.when(x < 16, F.get(F.array(*[F.lit(v) for v in _SMALL]), x.cast("int"))).otherwise(series)
+
+
 def mcnemar_p(b: Column, c: Column) -> Column:
     """Exact two-sided p of discordant counts b and c; 1 if there are none, at most 1.
 
-    The binomial tail is summed in the log domain, so any count is safe.
+    The tail's largest term, that of k = min(b, c) of n, comes from Loader's form of the binomial, which loses no digits
+    to large factorials; each term below follows from the one above. After 6 sqrt(n) terms all that are left are below
+    e^-70 of the first and change no bit of the sum, so a group costs the root of its count and any count is safe.
     """
-    n, k = b + c, F.least(b, c)
-    logs = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(n, F.lit(1).cast("long"))), lambda i: F.log(i.cast("double")))
-    start = F.struct((-n * F.log(F.lit(2.0))).alias("term"), F.exp(-n * F.log(F.lit(2.0))).alias("total"))
-    step = lambda acc, i: F.struct((acc["term"] + F.get(logs, (n - i).cast("int")) - F.get(logs, (i - 1).cast("int"))).alias("term"), (acc["total"] + F.exp(acc["term"] + F.get(logs, (n - i).cast("int")) - F.get(logs, (i - 1).cast("int")))).alias("total"))
-    tail = F.aggregate(F.filter(F.sequence(F.lit(0).cast("long"), k), lambda i: i > 0), start, step, lambda acc: acc["total"])
+    n, k = (b + c).cast("double"), F.least(b, c).cast("double")
+    m, d = n - k, (n - 2 * k) / n
+    apart = k * F.log1p(-d) + m * F.log1p(d)
+    log = _stirling_error(n) - _stirling_error(k) - _stirling_error(m) - apart + 0.5 * F.log(n / (2 * math.pi * k * m))
+    first = F.exp(F.when(k == 0, -n * math.log(2.0)).otherwise(log))
+    terms = F.filter(F.sequence(F.lit(0).cast("long"), F.least(k, F.ceil(6 * F.sqrt(n))).cast("long")), lambda i: i > 0)
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+
+    def step(acc: Column, i: Column) -> Column:
+        term = acc["term"] * (k - i + 1) / (m + i)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    tail = first * F.aggregate(terms, start, step, lambda acc: acc["total"])
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
