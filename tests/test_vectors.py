@@ -1,6 +1,9 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
+from veridix.operators import retrieval as R
 from veridix.operators import vectors as V
 from veridix.operators.retrieval import cosine_top_k
 
@@ -39,3 +42,30 @@ def test_few_items_and_none(spark):
     assert V.vector_index(a.where("false")) is None
     with pytest.raises(ValueError, match="differ in length"):
         V.vector_index(frames(spark, [(1, [1, 0]), (2, [0, 1, 2])], [])[0])
+
+
+def test_nearest_holds_few_scores_at_once(monkeypatch):
+    """Blocks of any size give what one sort of all scores gives, ties to the smaller item, in memory that doesn't grow with
+    the queries and items that meet."""
+    rng = np.random.default_rng(3)
+    q, x = rng.integers(-2, 3, (700, 4)).astype(float), rng.integers(-2, 3, (900, 4)).astype(float)
+    q, x = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30) for v in (q, x))
+    items = rng.permutation(5000)[: len(x)]
+    want = [[(int(items[j]), s[j]) for j in np.lexsort((items, -s))[:3]] for s in np.round(q @ x.T, 6)]
+    for cells, meeting in ((1 << 20, 512), (1000, 70)):
+        monkeypatch.setattr(R, "CELLS", cells)
+        monkeypatch.setattr(R, "MEETING", meeting)
+        near = R.Nearest(np.arange(len(q)), q, 3)
+        for lo in range(0, len(x), 250):
+            near.meet(items[lo : lo + 250], x[lo : lo + 250])
+        got = {}
+        for b in near.found():
+            for r in b.to_pylist():
+                got.setdefault(r["query_id"], []).append((r["item_id"], r["score"]))
+        assert [got[i] for i in range(len(q))] == want
+    near = R.Nearest(np.arange(4096), rng.normal(size=(4096, 8)), 5)
+    monkeypatch.setattr(R, "CELLS", 1 << 20)
+    tracemalloc.start()
+    near.meet(np.arange(10_000), rng.normal(size=(10_000, 8)))
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20  # all pairs' scores alone are 330 MB
+    tracemalloc.stop()

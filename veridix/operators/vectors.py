@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridix.operators.retrieval import best, top_k
+from veridix.operators.retrieval import Nearest, top_k
 from veridix.session import written
 
 #: Items of a block on average, cells at most, vectors on which centres are fitted, and queries that meet a block at once.
@@ -107,7 +107,9 @@ def _met(index: VectorIndex, routed: DataFrame, k: int) -> DataFrame:
                 own = b.column(0)[i].values
                 ids, x = np.asarray(b.column(1)[i].values), np.frombuffer(b.column(2)[i].as_py(), np.float64).reshape(-1, dim)
                 q = _unit(own.field("v"), dim)
-                yield best(np.asarray(own.field("query_id")), ids, np.round(q @ x.T, 6), k)
+                nearest = Nearest(np.asarray(own.field("query_id")), q, k)
+                nearest.meet(ids, x)
+                yield from nearest.found()
 
     return index.table.join(asked, ["cell", "part"]).select("queries", "ids", "vectors").mapInArrow(run, "query_id long, item_id long, score double")
 
