@@ -110,6 +110,43 @@ def test_loose_copies_of_one_text_lose_no_link(spark):
     assert got == components(own, alike)
 
 
+def joined_rows(df):
+    """Rows that the joins of df's plan made."""
+    df.collect()
+    rows, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(p.plan())
+        else:
+            rows += p.metrics().apply("numOutputRows").value() if "Join" in name else 0
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+    return rows
+
+
+def test_loose_copies_make_rows_in_proportion(spark):
+    """Copies of one text share what their centre lost of it; that pairs none of them."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+
+    def edited():
+        w = list(base)
+        for i in rng.sample(range(300), 9):
+            w[i] = f"x{rng.randrange(10**6)}"
+        return " ".join(w)
+
+    def made(n):
+        centre = edited()
+        pairs = [(0, b, centre, edited()) for b in range(1, n + 1)]
+        stars = spark.createDataFrame(pairs, "a long, b long, s string, t string").mapInArrow(S._stars(5, 0.8), S.STAR)
+        return joined_rows(S.star_candidates(stars, 0.8))
+
+    assert made(180) <= 4.5 * made(60)
+
+
 def test_one_id_with_unlike_texts_loses_no_row(spark):
     text = lambda a: " ".join(f"{a}{i}" for i in range(60))
     rows = [(1, text("x"), "k"), (1, text("y"), "l"), (1, text("y"), "l"), (2, text("z"), "m"), (3, text("x"), "n"), (None, text("x"), "o"), (4, None, "p"), (5, "", "q")]

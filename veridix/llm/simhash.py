@@ -13,7 +13,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridix.llm.common import LOWER, WHITE, bounded, bytes_of, cut, flagged, maybe, mix64, prefix_sums, read_table, runs, settle, span_hash
@@ -238,20 +238,30 @@ def _verify(k: int, least: float):
     return run
 
 
-#: Longs in the bit mask of a text's own shingles, and the part of a text's shingles that a centre must hold to describe it.
-MASKS, HELD = 4, 0.25
-STAR = "a long, b long, hit boolean, size int, common int, own array<long>, " + ", ".join(f"m{i} long" for i in range(MASKS))
+#: Longs in the bit masks of a text's own shingles and of the centre's that it lacks, the part of a text's shingles that a
+#: centre must hold to describe it, and texts of a centre that may share an own shingle and still be paired by it.
+MASKS, LACKS, HELD, FEW = 4, 8, 0.25, 8
+OWN_BITS, LACK_BITS = [f"m{i}" for i in range(MASKS)], [f"l{i}" for i in range(LACKS)]
+STAR = "a long, b long, hit boolean, size int, common int, centre int, own array<long>, " + ", ".join(f"{x} long" for x in OWN_BITS + LACK_BITS)
+
+
+def _bits(h: np.ndarray, longs: int) -> np.ndarray:
+    """The hashes as a bit mask."""
+    marks = np.zeros(longs * 64, np.uint8)
+    marks[mix64(h) % np.uint64(longs * 64)] = 1
+    return np.packbits(marks).view(np.int64)
 
 
 def _stars(k: int, least: float):
     """(a, b, s, t) -> a STAR row for each text t that shares at least HELD of its shingles with the centre's text s.
 
-    own: hashes of the shingles that the centre lacks, in order; m0, m1, ...: the bits of these hashes.
+    own: hashes of the shingles that the centre lacks, in order; m0, m1, ...: the bits of these hashes; l0, l1, ...: the
+    bits of the centre's shingles that the text lacks; centre: the number of the centre's shingles.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, PAIRED):
-            at, hit, size, shared, own, masks = [], [], [], [], [], []
+            at, hit, size, shared, centre, own, masks = [], [], [], [], [], [], []
             for i, (x, y) in enumerate(_pairs(batch, k)):
                 held = _in(y, x)
                 common = int(held.sum())
@@ -259,18 +269,17 @@ def _stars(k: int, least: float):
                 if not alike and common < HELD * len(y):
                     continue
                 rest = y[~held]
-                marks = np.zeros(MASKS * 64, np.uint8)
-                marks[mix64(rest) % np.uint64(MASKS * 64)] = 1
                 at.append(i)
                 hit.append(alike)
                 size.append(len(y))
                 shared.append(common)
+                centre.append(len(x))
                 own.append(np.sort(rest.view(np.int64)))
-                masks.append(np.packbits(marks).view(np.int64))
+                masks.append(np.concatenate([_bits(rest, MASKS), _bits(x[~_in(x, y)], LACKS)]))
             bounds = pa.array(np.append(0, np.cumsum([len(x) for x in own])).astype(np.int32))
             flat = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([np.zeros(0, np.int64), *own])))
-            bits = np.array(masks, np.int64).reshape(len(at), MASKS)
-            columns = [*batch.select([0, 1]).take(pa.array(at, pa.int64())).columns, pa.array(hit, pa.bool_()), pa.array(size, pa.int32()), pa.array(shared, pa.int32()), flat, *(pa.array(bits[:, i]) for i in range(MASKS))]
+            bits = np.array(masks, np.int64).reshape(len(at), MASKS + LACKS)
+            columns = [*batch.select([0, 1]).take(pa.array(at, pa.int64())).columns, pa.array(hit, pa.bool_()), *(pa.array(x, pa.int32()) for x in (size, shared, centre)), flat, *(pa.array(bits[:, i]) for i in range(MASKS + LACKS))]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in STAR.split(", ")])
         settle()
 
@@ -281,31 +290,42 @@ def star_candidates(stars: DataFrame, least: float) -> DataFrame:
     """STAR rows -> (a, b): every pair of one centre's texts, not both linked to it, that can be `least` alike.
 
     Alike texts x and y share at least need = least / (1 + least) * (|x| + |y|) shingles. Of the centre's shingles they
-    share at most the smaller `common`; the rest must be own shingles that both have. So either no own shingle is needed
-    (found by size class), or they share one within a prefix of their own (found by that shingle), and enough of them
-    (bounded by their masks: each common bit, and each shingle beyond x's set bits, can be one). Exact: nothing alike is lost.
-    A text's home is the one of its centres that links most texts; texts of one home are paired there alone.
+    share at most the smaller `common`, and no more than those that neither lacks (a set bit of either mask is one that is
+    lacking at least). The rest must be own shingles that both have. An own shingle of over FEW of the centre's texts (one
+    that the centre lost from the text all were made of, say) pairs nobody: they share at most the smaller number of them.
+    So either x and y share a rarer own shingle, which pairs at most FEW texts, or they need none (found by size class).
+    Exact: nothing alike is lost. A text's home is the one of its centres that links most texts; texts of one home are
+    paired there alone. Rows that meet by an own shingle grow with the stars' rows; a size class is tested pair by pair.
     """
     linked = stars.groupBy("a").agg(F.sum(F.col("hit").cast("long")).alias("links"), F.min("hit").alias("all"))
     ranked = stars.select("a", "b").join(linked, "a").groupBy("b").agg(F.min_by("a", F.struct(-F.col("links"), "a")).alias("home"))
-    kept = stars.join(linked.where("not all").select("a"), "a", "left_semi").join(ranked, "b").withColumn("must", F.ceil(F.col("size") * least - 1e-9) - F.col("common"))
-    need = lambda x, y: (F.col(f"{x}.size") + F.col(f"{y}.size")) * (least / (1 + least)) - F.least(f"{x}.common", f"{y}.common") - 1e-9
+    kept = stars.where("size > 0").join(linked.where("not all").select("a"), "a", "left_semi").join(ranked, "b")
+    holders = F.count("*").over(Window.partitionBy("a", "shingle"))
+    known = cut(kept.select("a", "b", F.explode("own").alias("shingle")).withColumn("n", holders).where("n > 1"))
+    often = known.where(F.col("n") > FEW).groupBy("a", "b").agg(F.count("*").alias("often"))
+    spare = F.size("own") - sum((F.bit_count(m) for m in OWN_BITS), F.lit(0))
+    facts = cut(kept.join(often, ["a", "b"], "left").select("a", "b", "home", "hit", "size", "common", "centre", spare.alias("spare"), F.coalesce("often", F.lit(0)).cast("int").alias("often"), *OWN_BITS, *LACK_BITS))
+
+    def both(f, bits: list[str]) -> Column:
+        return sum((F.bit_count(f(F.col(f"x.{m}"), F.col(f"y.{m}"))) for m in bits), F.lit(0))
+
     pair = [F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")]
-    here = (F.col("x.a") == F.col("y.a")) & (F.col("x.b") != F.col("y.b")) & ((F.col("x.home") != F.col("y.home")) | (F.col("x.home") == F.col("x.a")))
-    # no own shingle is needed
+    here = (F.col("x.a") == F.col("y.a")) & ~(F.col("x.hit") & F.col("y.hit")) & ((F.col("x.home") != F.col("y.home")) | (F.col("x.home") == F.col("x.a")))
+    need = (F.col("x.size") + F.col("y.size")) * (least / (1 + least)) - 1e-9
+    old = F.least("x.common", "y.common", F.col("x.centre") - both(lambda p, q: p.bitwiseOR(q), LACK_BITS))
+    # no rare own shingle is needed
     level = F.floor(F.log(F.col("size").cast("double")) / float(-np.log(least))).cast("long")
-    full = kept.where("must <= 0 and size > 0").select("a", "b", "home", "hit", "size", "common", level.alias("level"))
-    around = full.select("a", "b", "home", "size", "common", F.explode(F.array(*[F.col("level") + i for i in (-1, 0, 1)])).alias("level"))
-    x, y = full.where("not hit").alias("x"), around.alias("y")
-    plain = x.join(y, here & (F.col("x.level") == F.col("y.level")) & (need("x", "y") <= 0)).select(*pair)
-    # a shared own shingle
-    prefix = F.slice("own", F.lit(1), F.greatest(F.lit(0).cast("long"), F.size("own") - F.greatest(F.col("must"), F.lit(1).cast("long")) + 1).cast("int"))
-    marks = [f"m{i}" for i in range(MASKS)]
-    spare = F.size("own") - sum((F.bit_count(m) for m in marks), F.lit(0))
-    parts = kept.select("a", "b", "home", "hit", "size", "common", spare.alias("spare"), *marks, F.explode(prefix).alias("shingle"))
-    x, y = parts.where("not hit").alias("x"), parts.alias("y")
-    most = sum((F.bit_count(F.col(f"x.{m}").bitwiseAND(F.col(f"y.{m}"))) for m in marks), F.lit(0)) + F.least("x.spare", "y.spare")
-    shared = x.join(y, here & (F.col("x.shingle") == F.col("y.shingle")) & (need("x", "y") <= most)).select(*pair)
+    full = facts.where(F.col("common") + F.col("often") >= F.col("size") * least - 1e-9).withColumn("level", level)
+    around = full.withColumn("level", F.explode(F.array(*[F.col("level") + i for i in (-1, 0, 1)])))
+    x, y = full.alias("x"), around.alias("y")
+    plain = x.join(y, here & (F.col("x.level") == F.col("y.level")) & (F.col("x.b") < F.col("y.b")) & (need <= old + F.least("x.often", "y.often"))).select(*pair)
+    # a shared rare own shingle; each common bit, and each shingle beyond x's set bits, can be a shared one
+    x, y = (known.where(F.col("n") <= FEW).alias(c) for c in "xy")
+    met = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.b") < F.col("y.b")))
+    met = met.select("x.a", F.col("x.b").alias("b"), F.col("y.b").alias("c")).distinct()
+    most = both(lambda p, q: p.bitwiseAND(q), OWN_BITS) + F.least("x.spare", "y.spare")
+    one = met.join(facts, ["a", "b"]).alias("x")
+    shared = one.join(facts.alias("y"), here & (F.col("x.c") == F.col("y.b")) & (need <= old + most)).select(*pair)
     return plain.unionAll(shared).distinct()
 
 
