@@ -299,12 +299,12 @@ def star_candidates(stars: DataFrame, least: float) -> DataFrame:
     """
     linked = stars.groupBy("a").agg(F.sum(F.col("hit").cast("long")).alias("links"), F.min("hit").alias("all"))
     ranked = stars.select("a", "b").join(linked, "a").groupBy("b").agg(F.min_by("a", F.struct(-F.col("links"), "a")).alias("home"))
-    kept = stars.where("size > 0").join(linked.where("not all").select("a"), "a", "left_semi").join(ranked, "b")
+    spare = F.size("own") - sum((F.bit_count(m) for m in OWN_BITS), F.lit(0))
+    kept = stars.where("size > 0").withColumn("spare", spare).join(linked.where("not all").select("a"), "a", "left_semi")
     holders = F.count("*").over(Window.partitionBy("a", "shingle"))
     known = cut(kept.select("a", "b", F.explode("own").alias("shingle")).withColumn("n", holders).where("n > 1"))
     often = known.where(F.col("n") > FEW).groupBy("a", "b").agg(F.count("*").alias("often"))
-    spare = F.size("own") - sum((F.bit_count(m) for m in OWN_BITS), F.lit(0))
-    facts = cut(kept.join(often, ["a", "b"], "left").select("a", "b", "home", "hit", "size", "common", "centre", spare.alias("spare"), F.coalesce("often", F.lit(0)).cast("int").alias("often"), *OWN_BITS, *LACK_BITS))
+    facts = cut(kept.drop("own").join(ranked, "b").join(often, ["a", "b"], "left").select("a", "b", "home", "hit", "size", "common", "centre", "spare", F.coalesce("often", F.lit(0)).cast("int").alias("often"), *OWN_BITS, *LACK_BITS))
 
     def both(f, bits: list[str]) -> Column:
         return sum((F.bit_count(f(F.col(f"x.{m}"), F.col(f"y.{m}"))) for m in bits), F.lit(0))
