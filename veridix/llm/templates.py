@@ -14,7 +14,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridix.llm.common import cut, maybe, read_table
+from veridix.llm.common import cut, flagged, maybe, read_table
 
 #: Leading tokens that route a line below its token count.
 DEPTH = 3
@@ -58,69 +58,74 @@ def _lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     for step in (F.lower, spaced_once, trimmed, mask_digits, mask_hexadecimal):
         masked = F.transform(masked, step)  # a lambda's variable is computed once, however often the step names it
     masked = docs.select("text_id", "doc_id", F.posexplode(F.split(masked[0], "\n")).alias("place", "masked"))
-    n = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
+    n = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
     return masked.withColumn("n", n).where((F.col("n") >= min_tokens) & (F.col("masked") != "")).withColumn("form", F.xxhash64("masked"))
 
 
-def _agreeing(tokens: DataFrame) -> DataFrame:
-    """(leaf, form, all, texts, n, at, token) -> (leaf, form): the forms that agree with their leaf at all its fixed
-    positions, of leaves with few enough variable ones."""
-    weight = tokens.groupBy("leaf", "at", "token").agg(F.sum("texts").alias("c"), F.max("all").alias("all"), F.max("n").alias("n"))
-    fixed = weight.where(F.col("c") > F.col("all") * DOMINANT).select("leaf", "at", "token", "n")
-    shape = fixed.groupBy("leaf").agg(F.count("*").alias("held"), F.max("n").alias("n")).where(F.col("held") >= F.col("n") * (1 - VARIABLE)).select("leaf", "held")
-    agreed = tokens.join(fixed.join(shape, "leaf").select("leaf", "at", "token", "held"), ["leaf", "at", "token"]).groupBy("leaf", "form").agg(F.count("*").alias("same"), F.max("held").alias("held"))
-    return agreed.where(F.col("same") == F.col("held")).select("leaf", "form")
+def _agreeing(words: DataFrame) -> DataFrame:
+    """words (leaf, form, all, texts, first, n, tokens) -> those that agree with their leaf at all its fixed positions, of
+    leaves with few enough variable ones. A position has one fixed token at most, so a leaf's are one short array, which
+    meets whole forms."""
+    weight = words.select("leaf", "all", "texts", "n", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.sum("texts").alias("c"), F.max("all").alias("all"), F.max("n").alias("n"))
+    fixed = weight.where(F.col("c") > F.col("all") * DOMINANT).groupBy("leaf").agg(F.collect_list(F.struct("at", "token")).alias("fixed"), F.max("n").alias("most"))
+    shape = fixed.where(F.size("fixed") >= F.col("most") * (1 - VARIABLE)).select("leaf", "fixed")
+    return words.join(shape, "leaf").where(F.forall("fixed", lambda f: F.get("tokens", f["at"]) == f["token"])).select("leaf", "form", "texts", "first")
 
 
-def _split(tokens: DataFrame, depth: int, min_texts: int, rare: bool) -> DataFrame:
-    """(leaf, form, all, texts, n, at, token) -> the same of smaller leaves: a form goes to the rarest (or the most common)
-    of its further tokens that stand in enough texts of its leaf, so neither another template nor unrelated lines outvote
-    its own. A form goes to one leaf, so there are no more rows than before."""
-    weight = tokens.where(F.col("at") >= depth).groupBy("leaf", "at", "token").agg(F.sum("texts").alias("all")).where(F.col("all") >= min_texts)
+def _split(words: DataFrame, depth: int, min_texts: int, rare: bool) -> DataFrame:
+    """words (leaf, form, all, texts, first, n, tokens) -> the same of smaller leaves: a form goes to the rarest (or the most
+    common) of its further tokens that stand in enough texts of its leaf, so neither another template nor unrelated lines
+    outvote its own. A form goes to one leaf, so there are no more rows than before."""
+    tokens = words.select("leaf", "form", "texts", F.posexplode("tokens").alias("at", "token")).where(F.col("at") >= depth)
+    weight = tokens.groupBy("leaf", "at", "token").agg(F.sum("texts").alias("all")).where(F.col("all") >= min_texts)
     pick = F.min(F.struct("all", "at", "token")) if rare else F.max(F.struct("all", "at", "token"))
-    named = tokens.drop("all").join(weight, ["leaf", "at", "token"]).groupBy("leaf", "form").agg(pick.alias("g"), F.max("texts").alias("texts"))
-    named = named.select("form", "texts", F.xxhash64("leaf", "g.at", "g.token").alias("leaf"))
+    named = tokens.join(weight, ["leaf", "at", "token"]).groupBy("leaf", "form").agg(pick.alias("g"), F.max("texts").alias("texts"))
+    named = cut(named.select("form", "texts", F.xxhash64("leaf", "g.at", "g.token").alias("leaf")))
     full = named.groupBy("leaf").agg(F.sum("texts").alias("all")).where(F.col("all") >= min_texts)
-    return tokens.drop("leaf", "all").join(named.join(full, "leaf").select("form", "leaf", "all"), "form")
+    return words.drop("leaf", "all").join(named.join(full, "leaf").select("form", "leaf", "all"), "form")
 
 
-def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """docs (text_id, doc_id, text) -> (text_id, place): lines to drop, by text and line number; text_id is a hash of
-    the text, so its copies are one text.
-
-    Masked forms that recur as they are; then, among leaves with enough different texts, forms generalised at the
-    leaf's variable positions; then the same twice among a leaf's forms that are left, split by a further token (see
-    _split). A template's first line, by (doc_id, place), stays.
-    """
-    lines = _lines(docs, min_tokens)
+def _hits(docs: DataFrame, min_texts: int, depth: int, min_tokens: int) -> DataFrame:
+    """recurring_lines, a line once for each copy of its text."""
     leaf = F.xxhash64("n", F.substring_index("masked", " ", depth))
-    # copies of a text and repeats in it fall together here, and a hot form is partly summed before it is shuffled
-    seen = cut(lines.select("text_id", "doc_id", "place", "n", "form", leaf.alias("leaf")).groupBy("leaf", "form", "n", "text_id", "place").agg(F.min("doc_id").alias("doc_id")))
+    seen = cut(_lines(docs, min_tokens).select("text_id", "doc_id", "place", "n", "form", leaf.alias("leaf")))
     first = F.struct("doc_id", "place", "text_id")
+    # copies of a text and repeats in it fall together here, and a hot form is partly summed before it is shuffled
     per_text = seen.groupBy("leaf", "form", "n", "text_id").agg(F.min(first).alias("first"))
     forms = cut(per_text.groupBy("leaf", "form", "n").agg(F.count("*").alias("texts"), F.min("first").alias("first")))
     exact = forms.where(F.col("texts") >= min_texts).select("form", "first")
 
     # leaves of several forms, none of them recurring by itself: their positions are looked at
     rest = forms.where(F.col("texts") < min_texts)
-    crowded = rest.groupBy("leaf").agg(F.sum("texts").alias("all"), F.count("*").alias("kinds")).where((F.col("kinds") > 1) & (F.col("all") >= min_texts)).select("leaf", "all")
-    wanted = cut(rest.join(crowded, "leaf").select("leaf", "form", "all", "texts", "first"))
+    crowded = cut(rest.groupBy("leaf").agg(F.sum("texts").alias("all"), F.count("*").alias("kinds")).where((F.col("kinds") > 1) & (F.col("all") >= min_texts)).select("leaf", "all"))
+    wanted = cut(maybe(rest, "leaf", crowded).join(crowded, "leaf").select("leaf", "form", "all", "texts", "first"))
     holders = maybe(docs, "text_id", wanted.select(F.col("first.text_id").alias("text_id")))
     some = maybe(_lines(holders, min_tokens).select("form", "n", "masked"), "form", wanted)
-    words = some.join(wanted, "form").select("leaf", "form", "all", "texts", "n", "masked").dropDuplicates(["leaf", "form"])
-    tokens = cut(words.select("leaf", "form", "all", "texts", "n", F.posexplode(F.transform(F.split("masked", " "), lambda t: F.xxhash64(t))).alias("at", "token")))
-    firsts = wanted.select("form", "texts", "first")
-    drop, left = exact, tokens
+    tokens = F.transform(F.split("masked", " "), lambda t: F.xxhash64(t))
+    left = cut(some.dropDuplicates(["form"]).join(wanted, "form").select("leaf", "form", "all", "texts", "first", "n", tokens.alias("tokens")))
+    drop = exact
     for rare in (None, True, False):
         parts = left if rare is None else cut(_split(left, depth, min_texts, rare))
-        held = cut(_agreeing(parts).join(firsts, "form"))
+        held = cut(_agreeing(parts))
         inside = held.groupBy("leaf").agg(F.sum("texts").alias("all"), F.min("first").alias("kept")).where(F.col("all") >= min_texts)
         whole = cut(held.join(inside, "leaf").select("form", F.col("kept").alias("first")))
         drop = drop.unionAll(whole)
-        left = left.join(whole.select("form"), "form", "left_anti")
+        if rare is not False:
+            left = cut(left.join(whole.select("form"), "form", "left_anti"))
     drop = cut(drop)
-    hit = seen.join(drop, "form").where((F.col("text_id") != F.col("first.text_id")) | (F.col("place") != F.col("first.place")))
-    return hit.select("text_id", "place").distinct()
+    hit = maybe(seen, "form", drop).join(drop, "form")
+    return hit.where((F.col("text_id") != F.col("first.text_id")) | (F.col("place") != F.col("first.place"))).select("text_id", "place")
+
+
+def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """docs (text_id, doc_id, text) -> (text_id, place): lines to drop, by text and line number; text_id is a hash of
+    the text, so its copies are one text.
+
+    Masked forms that recur as they are; then, among leaves with enough different texts, forms generalised at the
+    leaf's variable positions; then the same twice among a leaf's forms that are left, split by a further token (see
+    _split). A template's first line, by (doc_id, place), stays.
+    """
+    return _hits(docs, min_texts, depth, min_tokens).distinct()
 
 
 def drop_recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -136,8 +141,10 @@ def drop_recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, min_tokens
     text_id = F.xxhash64("text")
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     named = docs.where("text is not null").select(text_id.alias("text_id"), own.alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = cut(recurring_lines(named, min_texts, min_tokens=min_tokens).groupBy("text_id").agg(F.collect_set("place").alias("__gone")))
-    out = docs.withColumn("__h", text_id).join(marks.withColumnRenamed("text_id", "__h").hint("merge"), "__h", "left")  # the plan of any large input
+    marks = cut(_hits(named, min_texts, DEPTH, min_tokens).groupBy(F.col("text_id").alias("__h")).agg(F.collect_set("place").alias("__gone")))
+    told = flagged(docs.withColumn("__h", text_id), "__h", marks)  # texts that surely keep all their lines aren't shuffled
+    some = told.where("__maybe").join(marks.hint("merge"), "__h", "left")  # the plan of any large input
+    out = told.where("not __maybe").withColumn("__gone", F.lit(None).cast("array<int>")).unionByName(some).drop("__maybe")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).alias("dropped"))
