@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veridix.llm.common import LOWER, WHITE, bounded, bytes_of, cut, flagged, maybe, mix64, prefix_sums, read_table, runs, settle, span_hash
+from veridix.llm.common import LOWER, WHITE, bounded, bytes_of, cut, flagged, maybe, mix64, prefix_sums, read_table, remove_written, runs, settle, span_hash, tables_written
 from veridix.llm.graph import connected_components
 
 #: Reference fingerprints of the pivot table: mixed counters, so about half the bits of each are set.
@@ -350,15 +350,21 @@ def _groups(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     keyed = _text_keys(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     names = cut(keyed.select("doc_id", "hi", "lo"))
     texts = _nodes(keyed, names)
+    at = tables_written()
     wide = cut(texts.select("id", "text").mapInArrow(_wide, "id long, fp long, bands array<int>"))
     rows = wide.select("id", "fp", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    rows = cut(maybe(rows, "key", shared).withColumn("d", pivot_table(F.col("fp"))))
-    centres = rows.groupBy("key").agg(F.min(F.struct("id", "fp", "d")).alias("c"), F.count("*").alias("n")).where("n > 1")
-    held = rows.join(centres.select("key", F.col("c.id").alias("a"), F.col("c.fp").alias("afp"), F.col("c.d").alias("ad")), "key").where(F.col("a") < F.col("id"))
+    rows = cut(maybe(rows, "key", shared))
+    remove_written(at, keep=1)
 
-    def close(afp: str, fp: str, ad: str, d: str) -> Column:
-        return within(F.col(ad), F.col(d), FAR) & (F.bit_count(F.col(afp).bitwiseXOR(F.col(fp))) <= FAR)
+    def close(x: str, y: str) -> Column:
+        """The pivot table follows from the fingerprints, so it isn't shuffled with them."""
+        x, y = F.col(x), F.col(y)
+        return (F.bit_count(x.bitwiseXOR(y)) <= FAR) & within(pivot_table(x), pivot_table(y), FAR)
+
+    centres = rows.groupBy("key").agg(F.min(F.struct("id", "fp")).alias("c"), F.count("*").alias("n")).where("n > 1").select("key", F.col("c.id").alias("a"), F.col("c.fp").alias("afp"), (F.col("n") > 2).alias("more"))
+    held = rows.join(centres, "key").where(F.col("a") < F.col("id"))
+    held = cut(held.withColumn("a", F.when(close("afp", "fp"), F.col("a"))).where("more or a is not null").select("key", "id", "fp", "a", "more"))
 
     def compared(pairs: DataFrame, by, schema: str) -> DataFrame:
         pairs = cut(pairs)
@@ -366,12 +372,15 @@ def _groups(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
         two = maybe(texts.select(F.col("id").alias("b"), F.col("text").alias("t")), "b", pairs)
         return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(by(shingle, similarity), schema))
 
-    stars = compared(held.where(close("afp", "fp", "ad", "d")).select("a", F.col("id").alias("b")).distinct(), _stars, STAR)
+    stars = compared(held.where("a is not null").select("a", F.col("id").alias("b")).distinct(), _stars, STAR)
     first = stars.where("hit").select("a", "b")
     told = stars.select(F.col("a").alias("sa"), F.col("b").alias("sb"))
-    apart = held.join(told, (F.col("a") == F.col("sa")) & (F.col("id") == F.col("sb")), "left_anti").select("key", "id", "fp", "d")
-    x, y = apart.alias("x"), rows.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & close("x.fp", "y.fp", "x.d", "y.d"))
+    # a bucket's centre has met all its texts, so only the others meet again, where there are two of them
+    others = held.where("more")
+    met = others.where("a is not null").join(told, (F.col("a") == F.col("sa")) & (F.col("id") == F.col("sb")), "left_anti")
+    apart = others.where("a is null").unionAll(met).select("key", "id", "fp")
+    x, y = apart.alias("x"), others.select("key", "id", "fp").alias("y")
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & close("x.fp", "y.fp"))
     rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     second = compared(rest.unionAll(star_candidates(stars, similarity)).distinct().join(first, ["a", "b"], "left_anti"), _verify, "a long, b long")
     roots = connected_components(first.unionAll(second))
@@ -400,7 +409,9 @@ def keep_one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float
     """docs (doc_id, text, ...) -> the same columns, one row for each group of near_duplicate_groups: that of the smallest
     doc_id. Rows with one id and unlike texts are different texts and both stay; rows without an id aren't grouped and stay."""
     keys = ["doc_id", "hi", "lo"]
+    first = tables_written()
     found = cut(_groups(docs, shingle, similarity))
+    remove_written(first, keep=1)
     kept = found.groupBy("root").agg(F.min(F.struct(*keys)).alias("k")).select("k.*")
     # rows that surely are the only one of their text and the first of their group aren't shuffled
     again = found.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select("hi")
