@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
-from veridix.llm import templates
-from veridix.llm.common import cut
+from veridix.llm import simhash, templates
+from veridix.llm.common import _WRITTEN, cut, remove_written, tables_written
 
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -44,3 +45,18 @@ def test_texts_that_keep_their_lines_are_not_shuffled(spark, tmp_path):
     got = {r["doc_id"]: (r["text"], r["dropped"]) for r in templates.drop_recurring_lines(docs).collect()}
     assert got == {i: (t, 0) if i <= 300 else (t.split("\n")[0], 1) for i, t in rows}
     assert shuffled_bytes(spark) - before < 1_000_000  # all texts: 12 MB
+
+
+def test_only_what_is_still_read_stays_written(spark):
+    """Line dedup keeps its marks, near_dedup its groups; another thread's tables and those before stay."""
+    rows = [(i, f"{'abcd'[i]} own words stand here alone\nplease share this page with all your friends") for i in range(4)]
+    docs = cut(spark.createDataFrame(rows, "doc_id long, text string"))
+    with ThreadPoolExecutor(1) as pool:
+        at, other = tables_written(), pool.submit(cut, docs).result()
+        lines = templates.drop_recurring_lines(docs)
+        assert len([n for n in _WRITTEN if n >= at]) == 2
+        kept = simhash.keep_one_of_each_group(docs)
+        assert len([n for n in _WRITTEN if n >= at]) == 3
+        assert (lines.agg(F.sum("dropped")).first()[0], kept.count(), other.count()) == (3, 1, 4)
+        remove_written(at)
+        assert other.count() == docs.count() == 4

@@ -14,7 +14,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridix.llm.common import cut, flagged, maybe, read_table
+from veridix.llm.common import cut, flagged, maybe, read_table, remove_written, tables_written
 
 #: Leading tokens that route a line below its token count.
 DEPTH = 3
@@ -141,7 +141,9 @@ def drop_recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, min_tokens
     text_id = F.xxhash64("text")
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     named = docs.where("text is not null").select(text_id.alias("text_id"), own.alias("doc_id"), F.col("text").cast("string").alias("text"))
+    at = tables_written()
     marks = cut(_hits(named, min_texts, DEPTH, min_tokens).groupBy(F.col("text_id").alias("__h")).agg(F.collect_set("place").alias("__gone")))
+    remove_written(at, keep=1)
     told = flagged(docs.withColumn("__h", text_id), "__h", marks)  # texts that surely keep all their lines aren't shuffled
     some = told.where("__maybe").join(marks.hint("merge"), "__h", "left")  # the plan of any large input
     out = told.where("not __maybe").withColumn("__gone", F.lit(None).cast("array<int>")).unionByName(some).drop("__maybe")
